@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 # The characters that count as white space when a line is stripped.
 STRIPPED_CHARS = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0        "
-    "        　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 
 # Line separators that Spark's text source leaves inside a line.
@@ -49,7 +50,7 @@ def is_blank(text: Column) -> Column:
 
 def drop_undecodable(text: Column) -> Column:
     """Remove the replacement characters the text source put in for bad bytes."""
-    return F.translate(text, "�", "")
+    return F.translate(text, "\ufffd", "")
 
 
 def base_name(path: Column) -> Column:
