@@ -14,6 +14,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A finite stand-in: like NaN and Infinity it is a truthy number other than 1.
 _NOT_FINITE = 2
@@ -49,12 +50,12 @@ def _rewrite(text: str | None, literals: bool) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _json_only(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: _rewrite(t, literals=False))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _json_or_literal(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: _rewrite(t, literals=True))
 
