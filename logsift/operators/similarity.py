@@ -74,14 +74,21 @@ def _with_cells(df: DataFrame, vector: str, pivots: np.ndarray) -> DataFrame:
     return df.mapInArrow(nearest, schema)
 
 
-def _cell_stats(df: DataFrame) -> dict[int, tuple[int, float]]:
+def _size(df: DataFrame, vector: str) -> tuple[int, int]:
+    """Rows and dimension."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("dim")).first()
+    return row["n"], row["dim"] or 0
+
+
+def _cell_stats(df: DataFrame, rows: int, pivots: int) -> dict[int, tuple[int, float]]:
     """Rows and radius per cell; at most one row per pivot reaches the driver."""
+    if pivots <= 1:
+        return {0: (rows, math.pi)}
     rows = df.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_angle").alias("r")).collect()
     return {row["_cell"]: (row["n"], row["r"]) for row in rows}
 
 
-def _plan_grid(queries, store, pivots, threshold, block_rows) -> _Grid:
-    query_stats, store_stats = _cell_stats(queries), _cell_stats(store)
+def _plan_grid(query_stats, store_stats, pivots, threshold, block_rows) -> _Grid:
     pairs = [(q, s) for q in query_stats for s in store_stats]
     if len(pivots) > 1 and threshold is not None:
         between = np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0))
@@ -169,10 +176,10 @@ def top_matches(
     """
     spark = queries.sparkSession
     queries, store = queries.select("qid", "qvec"), store.select("sid", "svec")
-    n_query, n_store = queries.count(), store.count()
+    n_query, _ = _size(queries, "qvec")
+    n_store, dim = _size(store, "svec")
     if n_query == 0 or n_store == 0:
         return spark.createDataFrame([], HIT_SCHEMA + ", rank int")
-    dim = len(store.select("svec").first()["svec"])
     if block_rows is None:
         block_rows = _block_rows(n_query, n_store, dim, spark.sparkContext.defaultParallelism)
 
@@ -187,7 +194,9 @@ def top_matches(
     else:
         centres = np.zeros((1, dim))
     queries, store = _with_cells(queries, "qvec", centres), _with_cells(store, "svec", centres)
-    grid = _plan_grid(queries, store, centres, threshold, block_rows)
+    query_stats = _cell_stats(queries, n_query, len(centres))
+    store_stats = _cell_stats(store, n_store, len(centres))
+    grid = _plan_grid(query_stats, store_stats, centres, threshold, block_rows)
     if not grid.pairs:
         return spark.createDataFrame([], HIT_SCHEMA + ", rank int")
     left = _spread(queries, "qid", "q", "s", grid.query_blocks, grid.store_blocks, grid.pairs)

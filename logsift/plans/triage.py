@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsift.operators.batching import assign_batches, batch_text, collect_entries
@@ -77,7 +77,7 @@ def triage_with_reuse(
     ``batches`` has ``batch_id``, ``entries``, ``text`` and ``vec``. Only
     leaders are classified. A leader whose classification fails, or whose text
     is too long, is never stored; then the leaders are chosen again without it
-    and only the new ones are classified, until none fails.
+    and only the new ones are classified, until no leader fails.
     """
     batches = stage(batches, "batches")
     threshold = options.threshold
@@ -88,23 +88,19 @@ def triage_with_reuse(
         missed.where(storable).select(F.col("batch_id").alias("ord"), "vec"), "candidates"
     )
 
-    verdicts = None
+    verdicts, width = None, 1
     while True:
-        leaders = stage(
-            select_leaders(candidates, threshold, options.head_rows).select("ord", "vec"), "leaders"
-        )
-        unseen = leaders.select(F.col("ord").alias("batch_id"))
-        if verdicts is not None:
-            unseen = unseen.join(verdicts.select("batch_id"), "batch_id", "left_anti")
-        fresh = batches.select("batch_id", "entries").join(unseen, "batch_id", "left_semi")
-        fresh = stage(classify_batches(fresh, classifier), "verdicts")
-        verdicts = fresh if verdicts is None else verdicts.unionByName(fresh)
-        failed = fresh.where(F.col("error").isNotNull()).select(F.col("batch_id").alias("ord"))
+        leaders = stage(select_leaders(candidates, threshold, options.head_rows), "leaders")
+        verdicts = _classify_new(batches, leaders.select("ord"), verdicts, classifier)
+        failed = stage(leaders.join(_failures(verdicts), "ord", "left_semi"), "failed")
         if failed.isEmpty():
             break
-        candidates = stage(candidates.join(failed, "ord", "left_anti"), "candidates")
+        queue = _next_in_line(candidates, leaders, failed, width, threshold)
+        verdicts = _classify_new(batches, queue, verdicts, classifier)
+        candidates = stage(candidates.join(_failures(verdicts), "ord", "left_anti"), "candidates")
+        width *= 4
 
-    result = _resolve(batches, store, hits, leaders, verdicts, classifier, options)
+    result = _resolve(batches, store, hits, leaders, verdicts, options)
     text = batches.select("batch_id", F.col("text").alias("raw_text"), F.col("vec").alias("vector"))
     names = verdicts.select(
         "batch_id",
@@ -116,7 +112,36 @@ def triage_with_reuse(
     return ReuseResult(result, text.join(names.join(chosen, "batch_id", "left_semi"), "batch_id"))
 
 
-def _resolve(batches, store, hits, leaders, verdicts, classifier, options) -> DataFrame:
+def _classify_new(batches, wanted, verdicts, classifier) -> DataFrame:
+    """Classify the wanted batches that have no verdict yet, once."""
+    wanted = wanted.withColumnRenamed("ord", "batch_id")
+    if verdicts is not None:
+        wanted = wanted.join(verdicts.select("batch_id"), "batch_id", "left_anti")
+    fresh = batches.select("batch_id", "entries").join(wanted, "batch_id", "left_semi")
+    fresh = stage(classify_batches(fresh, classifier), "verdicts")
+    return fresh if verdicts is None else verdicts.unionByName(fresh)
+
+
+def _failures(verdicts: DataFrame) -> DataFrame:
+    return verdicts.where(F.col("error").isNotNull()).select(F.col("batch_id").alias("ord"))
+
+
+def _next_in_line(candidates, leaders, failed, width, threshold) -> DataFrame:
+    """The first ``width`` followers of each failed leader.
+
+    Without their leader they may become leaders and fail in turn. Asking ahead
+    for ever more of them keeps the number of rounds logarithmic; a verdict that
+    turns out not to be needed is never used.
+    """
+    others = stage(candidates.join(leaders.select("ord"), "ord", "left_anti"), "others")
+    behind = follow(others, leaders, threshold).join(
+        failed.select(F.col("ord").alias("leader")), "leader", "left_semi"
+    )
+    place = F.row_number().over(Window.partitionBy("leader").orderBy("ord"))
+    return behind.withColumn("_place", place).where(F.col("_place") <= width).select("ord")
+
+
+def _resolve(batches, store, hits, leaders, verdicts, options) -> DataFrame:
     """One verdict per batch: the leaders' own, then the closest of stored row and leader."""
     embedder = F.lit(options.embedder_name).cast("string")
     leader_ids = leaders.select(F.col("ord").alias("batch_id"))

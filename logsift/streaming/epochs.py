@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from logsift.functions.text import chomp, clamp_batch_size, clamp_poll_seconds, is_blank, strip
 from logsift.operators.batching import collect_entries, summary
@@ -23,6 +23,7 @@ from logsift.plans.triage import ReuseOptions, embed_batches, triage_with_reuse
 from logsift.schemas import DEFAULT_BATCH_SIZE, DEFAULT_POLL_SECONDS, STORE, SUMMARY
 from logsift.sources.logfiles import number_rows
 from logsift.sources.store import VectorStore
+from logsift.staging import read_written
 
 COUNTERS = "next_index long, next_batch long, next_id long"
 
@@ -63,13 +64,11 @@ class EpochFolders:
 
     def store_before(self, spark: SparkSession, epoch: int) -> DataFrame:
         """The stored rows of earlier epochs; folders of later ones are pruned."""
-        schema = STORE.simpleString()[len("struct<") : -1]
-        fields = [f.name for f in STORE.fields]
-        try:
-            rows = spark.read.schema(f"{schema}, epoch long").parquet(self.all("store"))
-        except AnalysisException:
+        schema = StructType([*STORE.fields, StructField("epoch", LongType())])
+        rows = read_written(spark, schema, self.all("store"))
+        if rows is None:
             return spark.createDataFrame([], STORE)
-        return rows.where(F.col("epoch") < epoch).select(*fields)
+        return rows.where(F.col("epoch") < epoch).select(*STORE.names)
 
 
 def _epoch_batches(lines: DataFrame, size: int, first_index: int, first_batch: int) -> DataFrame:
