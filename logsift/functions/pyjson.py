@@ -1,8 +1,10 @@
-"""Text that Spark's JSON parser refuses but Python accepts.
+"""JSON parsing that accepts exactly what Python accepts.
 
-Repeated keys, ``NaN``/``Infinity`` and Python literals (``{'a': True}``) are
-rewritten as plain JSON. The function receives null for every row that Spark
-parsed itself, so only the refused rows cost Python work.
+Spark's parser stops after the first value and ignores what follows it, so the
+text is parsed together with an end mark. Repeated keys, ``NaN``/``Infinity``
+and Python literals (``{'a': True}``), which it refuses, are rewritten as plain
+JSON. The function receives null for every row that Spark parsed itself, so
+only the refused rows cost Python work.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import json
 import math
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +22,23 @@ from pyspark.sql import types as T
 _NOT_FINITE = 2
 
 
+_END = "logsift: end of text"
+
+
+def _marked(text: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f', "{_END}"]')))
+
+
+def _unmarked(marked: Column) -> Column:
+    ended = F.try_variant_get(marked, "$[1]", "string") == _END
+    return F.when(ended, F.try_variant_get(marked, "$[0]", "variant"))
+
+
+def whole_json(text: Column) -> Column:
+    """The variant of a JSON text, null unless all of the text is one value."""
+    return _unmarked(_marked(text))
+
+
 def _plain(value):
     if value is None or isinstance(value, (bool, str)):
         return value
@@ -64,3 +83,14 @@ def repaired(text: Column, parsed: Column, literals: bool) -> Column:
     """JSON text for rows where ``parsed`` is null, else null."""
     udf = _json_or_literal if literals else _json_only
     return udf(F.when(parsed.isNull(), text))
+
+
+def add_parsed(df: DataFrame, text: str, into: str, literals: bool) -> DataFrame:
+    """Add the variant of a text column: Spark's parser first, the rewriting for the rest."""
+    return (
+        df.withColumn("_marked", _marked(F.col(text)))  # on its own, so it is parsed once
+        .withColumn("_parsed", _unmarked(F.col("_marked")))
+        .withColumn("_repaired", repaired(F.col(text), F.col("_parsed"), literals))
+        .withColumn(into, F.coalesce("_parsed", F.try_parse_json("_repaired")))
+        .drop("_marked", "_parsed", "_repaired")
+    )

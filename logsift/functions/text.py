@@ -19,19 +19,17 @@ STRIPPED_CHARS = (
 # Line separators that Spark's text source leaves inside a line.
 EXTRA_LINE_BREAKS = "[\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 
-# Word characters are letters, numbers of any kind and the underscore. Explicit
-# look-arounds are used because Java's Unicode \b also counts combining marks.
-_NOT_AFTER_WORD = "(?<![\\p{L}\\p{N}_])"
-_NOT_BEFORE_WORD = "(?![\\p{L}\\p{N}_])"
-
-_IP = (
-    f"(?=\\p{{Nd}}){_NOT_AFTER_WORD}\\p{{Nd}}{{1,3}}\\.\\p{{Nd}}{{1,3}}\\.\\p{{Nd}}{{1,3}}\\.\\p{{Nd}}{{1,3}}"
-    f"{_NOT_BEFORE_WORD}"
-)
-_UUID = (
-    f"{_NOT_AFTER_WORD}[a-fA-F0-9]{{8}}(?:-[a-fA-F0-9]{{4}}){{3}}-[a-fA-F0-9]{{12}}{_NOT_BEFORE_WORD}"
-)
-_NUMBER = f"(?=\\p{{Nd}}){_NOT_AFTER_WORD}\\p{{Nd}}++{_NOT_BEFORE_WORD}"
+# Word characters are letters, numbers of any kind and the underscore. They are
+# spelt out because Java's Unicode \b also counts combining marks. The digit is
+# matched before the look-behind, so most positions fail on the first test.
+_WORD = "[\\w\\p{L}\\p{N}]"
+_FIRST_DIGIT = f"\\p{{Nd}}(?<!{_WORD}\\p{{Nd}})"
+_NOT_BEFORE_WORD = f"(?!{_WORD})"
+_OCTET = "\\p{Nd}{1,3}+"
+
+_IP = f"{_FIRST_DIGIT}\\p{{Nd}}{{0,2}}+\\.{_OCTET}\\.{_OCTET}\\.{_OCTET}{_NOT_BEFORE_WORD}"
+_UUID = f"(?<!{_WORD})[a-fA-F0-9]{{8}}(?:-[a-fA-F0-9]{{4}}){{3}}-[a-fA-F0-9]{{12}}{_NOT_BEFORE_WORD}"
+_NUMBER = f"{_FIRST_DIGIT}\\p{{Nd}}*+{_NOT_BEFORE_WORD}"
 
 
 def strip(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsift.functions.pyjson import repaired
+from logsift.functions.pyjson import add_parsed
 from logsift.functions.text import strip
 
 # The prompt wording. The batch text follows the last character.
@@ -71,13 +71,10 @@ def parse_verdicts(df: DataFrame, reply: str) -> DataFrame:
     A reply without a JSON object, or with a broken one, means no error.
     """
     found = F.nullif(json_object_text(F.col(reply)), F.lit(""))
+    parsed = add_parsed(df.withColumn("_object", found), "_object", "_reply", literals=False)
     return (
-        df.withColumn("_object", found)
-        .withColumn("_parsed", F.try_parse_json("_object"))
-        .withColumn("_repaired", repaired(F.col("_object"), F.col("_parsed"), literals=False))
-        .withColumn("_reply", F.coalesce("_parsed", F.try_parse_json("_repaired")))
-        .withColumn("error_found", truthy(member(F.col("_reply"), "is_error")))
+        parsed.withColumn("error_found", truthy(member(F.col("_reply"), "is_error")))
         .withColumn("error_description", text_field(F.col("_reply"), "error_description"))
         .withColumn("recommended_action", text_field(F.col("_reply"), "recommended_action"))
-        .drop("_object", "_parsed", "_repaired", "_reply")
+        .drop("_object", "_reply")
     )

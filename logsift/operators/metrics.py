@@ -26,7 +26,7 @@ def confusion_counts(pairs: DataFrame, positive_label: Any = True) -> DataFrame:
     """One row ``tn, fp, fn, tp`` over the columns ``y_true`` and ``y_pred``."""
     coded = coerce_labels(pairs, "y_true", "y_pred", positive_label=positive_label)
     true, pred = F.col("y_true") == 1, F.col("y_pred") == 1
-    extra = [F.max("_unpaired").alias("_unpaired")] if "_unpaired" in pairs.columns else []
+    extra = [F.min("_unpaired").alias("_unpaired")] if "_unpaired" in pairs.columns else []
     return coded.agg(
         F.count_if(~true & ~pred).alias("tn"),
         F.count_if(~true & pred).alias("fp"),
@@ -161,13 +161,11 @@ def evaluate(
     """The full metrics record: one aggregate, one projection, one row."""
     counts = confusion_counts(pairs, positive_label)
     if "_unpaired" in counts.columns:
-        lengths = F.concat(
+        message = F.concat(
             F.lit("the two label lists differ in length, first unpaired position: "), F.col("_unpaired")
         )
-        # The check sits on a count that every metric needs, so it cannot be pruned.
-        counts = counts.withColumn(
-            "tn", F.when(F.col("_unpaired").isNotNull(), F.raise_error(lengths)).otherwise(F.col("tn"))
-        )
+        # As a filter, so that it stays whichever metrics are selected.
+        counts = counts.where(F.assert_true(F.col("_unpaired").isNull(), message).isNull())
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
     return counts.select(
         accuracy().alias("accuracy"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logsift.functions.pyjson import whole_json
 from logsift.functions.rules import DEFAULT_SERVICE, labelled_record
 from logsift.functions.verdict import kind
 from logsift.operators.batching import summary
@@ -55,7 +56,7 @@ def summary_items(results: DataFrame, run: int = 0) -> DataFrame:
 
 def existing_items(spark: SparkSession, path: str) -> DataFrame:
     """Items of an array document written earlier; anything but an array counts as none."""
-    parsed = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    parsed = spark.read.text(path, wholetext=True).select(whole_json(F.col("value")).alias("v"))
     listed = parsed.where(kind(F.col("v")).startswith("ARRAY"))
     items = listed.select(F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("at", "item"))
     return items.select(

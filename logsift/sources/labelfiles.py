@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.functions.pyjson import repaired
+from logsift.functions.pyjson import add_parsed
 from logsift.functions.text import EXTRA_LINE_BREAKS, is_blank
 from logsift.functions.verdict import kind, member
 from logsift.operators.indexing import index_scanned
@@ -19,12 +19,7 @@ from logsift.sources.logfiles import number_rows, scan_text
 
 def parse_records(df: DataFrame, text: str, literals: bool = True) -> DataFrame:
     """Add ``record``: the variant of a JSON or Python-literal text, null if it is neither."""
-    return (
-        df.withColumn("_parsed", F.try_parse_json(text))
-        .withColumn("_repaired", repaired(F.col(text), F.col("_parsed"), literals))
-        .withColumn("record", F.coalesce("_parsed", F.try_parse_json("_repaired")))
-        .drop("_parsed", "_repaired")
-    )
+    return add_parsed(df, text, "record", literals)
 
 
 def is_object(record: Column) -> Column:

@@ -37,7 +37,7 @@ SELECT event_id AS reply_id, CASE event_id % 13
  WHEN 8 THEN '{"is_error": ""}'
  WHEN 9 THEN '{"is_error": null, "error_description": "none"}'
  WHEN 10 THEN '{"is_error": tru}'
- WHEN 11 THEN '{"a": 1} or {"is_error": true}'
+ WHEN 11 THEN '{"is_error": true} or {"is_error": true}'
  ELSE '{"is_error": [0], "recommended_action": "restart"}' END AS reply
 FROM events"""
 

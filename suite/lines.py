@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logsift.functions import rules, text
+from logsift.functions.pyjson import whole_json
 from logsift.functions.verdict import json_object_text, parse_verdicts, prompt, truthy, without_echo
 from logsift.operators.batching import (
     assign_batches,
@@ -253,7 +254,7 @@ def parsed_verdicts(spark, sf):
 
 
 def truth_values(spark, sf):
-    values = derived(spark, sf, REPLIES).withColumn("v", F.try_parse_json(json_object_text(F.col("reply"))))
+    values = derived(spark, sf, REPLIES).withColumn("v", whole_json(json_object_text(F.col("reply"))))
     member = F.try_variant_get("v", "$.is_error", "variant")
     return values.select("reply_id", truthy(member).alias("truthy"))
 
