@@ -87,7 +87,7 @@ def line_batches(spark, sf):
 def unit_vectors(spark, sf):
     scaled = unit(F.transform("embedding", lambda x: x * 3))
     values = vectors(spark, sf).select("vec_id", F.posexplode(scaled).alias("place", "x"))
-    return values.select("vec_id", "place", F.round("x", 5).alias("x"))
+    return values.select("vec_id", "place", (F.round("x", 5) + 0.0).alias("x"))  # no negative zero
 
 
 def cosine_of_columns(spark, sf):
@@ -318,7 +318,7 @@ CASES = {
     "unit_vectors": (
         unit_vectors,
         """SELECT vec_id, CAST(unnest(range(len(e))) AS INTEGER) AS place,
-        round(unnest(list_transform(e, lambda x: x / n)), 5) AS x FROM (
+        round(unnest(list_transform(e, lambda x: x / n)), 5) + 0.0::DOUBLE AS x FROM (
         SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n
         FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings))""",
     ),
