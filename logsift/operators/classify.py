@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logsift.functions.verdict import parse_verdicts, prompt, without_echo
-from logsift.operators.batching import batch_text, entry_verdicts
+from logsift.operators.batching import batch_text, entry_verdicts, rule_verdicts
 from logsift.schemas import LINE_RESULT
 
 RESULT = T.StructType(
@@ -77,6 +77,11 @@ def rule_classifier(model_name: str | None = RULE_MODEL) -> Classifier:
     return lambda batches: _shaped(entry_verdicts(batches).withColumn("model_name", F.lit(model_name)))
 
 
+def rule_results(batched: DataFrame, model_name: str | None = RULE_MODEL) -> DataFrame:
+    """The same verdicts straight from lines with a ``batch_id``."""
+    return _shaped(rule_verdicts(batched).withColumn("model_name", F.lit(model_name)))
+
+
 def _timed(work: Callable[[dict], dict], row: dict) -> dict:
     """Run one batch; an exception turns into an ``error`` text."""
     start = time.perf_counter()

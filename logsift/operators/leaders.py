@@ -14,15 +14,13 @@ neighbour lists themselves are never built.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.operators.similarity import _DIGITS, _nonzero, matrix, top_matches
-from logsift.staging import stage
+from logsift.operators.similarity import _DIGITS, _nonzero, held_in_blocks, matrix, top_matches
+from logsift.staging import scratch_path, stage, stage_at
 
 HEAD_ROWS = 4096
 
@@ -76,33 +74,44 @@ def _without(rows: DataFrame, decided: DataFrame) -> DataFrame:
     return rows.join(decided.select(F.col("qid").alias("ord")), "ord", "left_anti")
 
 
+def _held_back(rest: DataFrame, threshold: float, **search) -> DataFrame:
+    """``qid`` of the rows with an earlier undecided neighbour.
+
+    Rows held back inside their own block are not looked up in the others.
+    """
+    store = _as_store(rest)
+    nearby = stage(held_in_blocks(store, threshold, **search), "held")
+    open_rows = stage(_without(rest, nearby), "open")
+    far = top_matches(_as_queries(open_rows), store, threshold=threshold, earlier_only=True, **search)
+    return stage(nearby.unionByName(far.select("qid")), "held")
+
+
 def select_leaders(rows: DataFrame, threshold: float, head_rows: int = HEAD_ROWS, **search) -> DataFrame:
-    """The leaders, as ``(ord, vec)``, of rows with a unique order ``ord`` and a vector ``vec``."""
+    """The leaders, as ``(ord, vec)``, of rows with a unique order ``ord`` and a vector ``vec``.
+
+    They are a written table; every round adds its leaders to it.
+    """
+    spark = rows.sparkSession
     undecided = stage(_first_copies(rows, threshold), "undecided")
-    rounds = []
+    path, part = scratch_path(spark, "leaders"), 0
     while True:
-        leaders = stage(_head_leaders(undecided, threshold, head_rows), "leaders")
-        rounds.append(leaders)
-        waiting = undecided.count()
-        if waiting <= head_rows:
+        leaders = stage_at(_head_leaders(undecided, threshold, head_rows), f"{path}/part={part}")
+        if undecided.count() <= head_rows:
             break
         last = undecided.select("ord").orderBy("ord").limit(head_rows).agg(F.max("ord")).first()[0]
-        rest = stage(undecided.where(F.col("ord") > last), "rest")
+        rest = undecided.where(F.col("ord") > last)
         followers = top_matches(_as_queries(rest), _as_store(leaders), threshold=threshold, **search)
         rest = stage(_without(rest, followers), "rest")
 
-        held = top_matches(
-            _as_queries(rest), _as_store(rest), threshold=threshold, earlier_only=True, **search
-        )
-        held = stage(held, "held")
-        free = stage(_without(rest, held), "leaders")
-        rounds.append(free)
-        waiting_rows = stage(rest.join(held.select(F.col("qid").alias("ord")), "ord", "left_semi"), "held")
+        held = _held_back(rest, threshold, **search)
+        free = stage_at(_without(rest, held), f"{path}/part={part + 1}")
+        waiting = stage(rest.join(held.select(F.col("qid").alias("ord")), "ord", "left_semi"), "waiting")
         followers = top_matches(
-            _as_queries(waiting_rows), _as_store(free), threshold=threshold, earlier_only=True, **search
+            _as_queries(waiting), _as_store(free), threshold=threshold, earlier_only=True, **search
         )
-        undecided = stage(_without(waiting_rows, followers), "undecided")
-    return reduce(DataFrame.unionByName, rounds)
+        undecided = stage(_without(waiting, followers), "undecided")
+        part += 2
+    return spark.read.schema(undecided.schema).parquet(path).select("ord", "vec")
 
 
 def follow(rows: DataFrame, leaders: DataFrame, threshold: float, **search) -> DataFrame:

@@ -15,13 +15,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logsift.operators.skew import join_unique
+
 HIT_SCHEMA = "qid long, sid long, sim double"
-_TILE = 4096
-_BLOCK_BYTES = 64 << 20
+_TILE = 2048
+# A task holds two blocks of this size, and their Arrow form at half of it. Larger
+# blocks mean fewer copies of each row in the shuffle.
+_BLOCK_BYTES = 256 << 20
 _MIN_BLOCK = 512
 _MAX_PIVOTS = 256
 # Similarities are rounded before any comparison, so equal vectors score exactly 1.
@@ -56,6 +60,13 @@ def _block_rows(n_query: int, n_store: int, dim: int, parallelism: int) -> int:
     return min(fits, max(_MIN_BLOCK, spread))
 
 
+def _tasks(spark: SparkSession, pieces: int) -> int:
+    wanted = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism
+    )
+    return max(1, min(pieces, wanted))
+
+
 def _with_cells(df: DataFrame, vector: str, pivots: np.ndarray) -> DataFrame:
     """Nearest pivot of each row and the angle to it."""
     if len(pivots) <= 1:
@@ -88,6 +99,16 @@ def _cell_stats(df: DataFrame, rows: int, pivots: int) -> dict[int, tuple[int, f
     return {row["_cell"]: (row["n"], row["r"]) for row in rows}
 
 
+def _centres(store: DataFrame, rows: int, dim: int, block_rows: int, pivots: int | None) -> np.ndarray:
+    """Vectors to measure angles from: an even choice of store rows, at most a few hundred."""
+    if pivots is None:
+        pivots = min(_MAX_PIVOTS, rows // (8 * block_rows))
+    if pivots <= 1:
+        return np.zeros((1, dim))
+    chosen = store.orderBy(F.xxhash64("sid"), "sid").limit(pivots).select("svec").toArrow()
+    return matrix(chosen.column("svec"))
+
+
 def _plan_grid(query_stats, store_stats, pivots, threshold, block_rows) -> _Grid:
     pairs = [(q, s) for q in query_stats for s in store_stats]
     if len(pivots) > 1 and threshold is not None:
@@ -186,13 +207,7 @@ def top_matches(
     prune = threshold is not None and threshold > 0
     if prune:  # a zero vector has similarity 0 to everything
         queries, store = queries.where(_nonzero("qvec")), store.where(_nonzero("svec"))
-    if pivots is None:
-        pivots = min(_MAX_PIVOTS, n_store // (8 * block_rows))
-    if prune and pivots > 1:
-        chosen = store.orderBy(F.xxhash64("sid"), "sid").limit(pivots).select("svec").toArrow()
-        centres = matrix(chosen.column("svec"))
-    else:
-        centres = np.zeros((1, dim))
+    centres = _centres(store, n_store, dim, block_rows, pivots if prune else 1)
     queries, store = _with_cells(queries, "qvec", centres), _with_cells(store, "svec", centres)
     query_stats = _cell_stats(queries, n_query, len(centres))
     store_stats = _cell_stats(store, n_store, len(centres))
@@ -225,6 +240,9 @@ def top_matches(
         )
 
     keys = ["qc", "qb", "sc", "sb"]
+    # Few bytes can mean much work here, so the number of tasks is set by block pairs.
+    tasks = _tasks(spark, sum(grid.query_blocks[q] * grid.store_blocks[s] for q, s in grid.pairs))
+    left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
     hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(block, HIT_SCHEMA)
     if k == 1:
         best = F.max(F.struct(F.col("sim"), (-F.col("sid")).alias("neg")))
@@ -241,6 +259,36 @@ def _nonzero(vector: str) -> Column:
     return F.exists(vector, lambda x: x != 0)
 
 
+def held_in_blocks(
+    rows: DataFrame, threshold: float, block_rows: int | None = None, pivots: int | None = None
+) -> DataFrame:
+    """``qid`` of rows with an earlier row in their own block that reaches the threshold.
+
+    A cheap first pass before all blocks meet: near copies share a cell, so
+    nearly all of them are held back here, without copying any row.
+    """
+    rows = rows.select("sid", "svec").where(_nonzero("svec")) if threshold > 0 else rows.select("sid", "svec")
+    spark = rows.sparkSession
+    n_rows, dim = _size(rows, "svec")
+    if block_rows is None:
+        block_rows = _block_rows(n_rows, n_rows, dim, spark.sparkContext.defaultParallelism)
+    centres = _centres(rows, n_rows, dim, block_rows, pivots if threshold > 0 else 1)
+    celled = _with_cells(rows, "svec", centres)
+    blocks = {cell: math.ceil(n / block_rows) for cell, (n, _) in _cell_stats(celled, n_rows, len(centres)).items()}
+    table = spark.createDataFrame(list(blocks.items()) or [(0, 1)], "_cell int, _n int")
+    salted = celled.join(F.broadcast(table), "_cell").withColumn(  # one row per pivot at most
+        "_block", F.pmod(F.xxhash64("sid"), F.col("_n"))
+    )
+
+    def block(table: pa.Table) -> pa.Table:
+        ids, units = table.column("sid").to_numpy(), matrix(table.column("svec"))
+        held, _, _ = best_in_block(ids, units, ids, units, 1, threshold, True)
+        return pa.table({"qid": pa.array(held, pa.int64())})
+
+    tasks = _tasks(spark, sum(blocks.values()))
+    return salted.repartition(tasks, "_cell", "_block").groupBy("_cell", "_block").applyInArrow(block, "qid long")
+
+
 def search_batch(queries: DataFrame, store: DataFrame, k: int = 1, **options) -> DataFrame:
     """``(qid, hits)`` for every query; ``hits`` is empty where the store has none.
 
@@ -257,7 +305,7 @@ def search_batch(queries: DataFrame, store: DataFrame, k: int = 1, **options) ->
         F.col("rank"), F.col("sid").alias("id"), F.col("sim").alias("distance"), F.col("entity")
     )
     lists = (
-        found.join(fields, "sid")
+        join_unique(found, fields, "sid", broadcast_rows=1000)  # texts of up to 64 KiB
         .groupBy("qid")
         .agg(F.sort_array(F.collect_list(hit)).alias("_hits"))
         .withColumn("hits", F.transform("_hits", lambda h: h.dropFields("rank")))

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsift.operators.batching import assign_batches, batch_text, collect_entries
-from logsift.operators.classify import RESULT, Classifier, classify_batches
+from logsift.operators.classify import Classifier, classify_batches, rule_results
 from logsift.operators.embed import HASHED_ENCODER, hashed_embedding
 from logsift.operators.leaders import HEAD_ROWS, follow, select_leaders
 from logsift.operators.similarity import top_matches
+from logsift.operators.skew import join_unique
 from logsift.schemas import DEFAULT_BATCH_SIZE, DEFAULT_REUSE_THRESHOLD, MAX_STORED_TEXT
 from logsift.sources.store import VectorStore
 from logsift.staging import stage
@@ -31,7 +32,13 @@ def batches_of(indexed: DataFrame, batch_size: int = DEFAULT_BATCH_SIZE) -> Data
 def triage_batches(
     indexed: DataFrame, batch_size: int = DEFAULT_BATCH_SIZE, classifier: Classifier | None = None
 ) -> DataFrame:
-    """Every batch is classified: one shuffle by batch, then a narrow stage."""
+    """Every batch is classified: one shuffle by batch, then a narrow stage.
+
+    The keyword rule needs no collected batch: its flags are combined before
+    the shuffle, and no line text moves.
+    """
+    if classifier is None:
+        return rule_results(assign_batches(indexed, batch_size))
     return classify_batches(batches_of(indexed, batch_size), classifier)
 
 
@@ -53,8 +60,7 @@ def lookup(batches: DataFrame, store: DataFrame, threshold: float = DEFAULT_REUS
     """Verdict columns of the matched stored row; null where a batch has none."""
     hits = stored_verdicts(batches, store, threshold)
     fields = store.select("id", "is_error", "model_name", "embedder_model_name")
-    # At most one row per batch on the left; the join reads no vectors or texts.
-    matched = hits.join(fields, "id")
+    matched = join_unique(hits, fields, "id")
     return batches.select("batch_id").join(matched, "batch_id", "left")
 
 
@@ -84,15 +90,13 @@ def triage_with_reuse(
     hits = stage(stored_verdicts(batches, store, threshold), "hits")
     missed = batches.join(hits.select("batch_id"), "batch_id", "left_anti")
     storable = F.octet_length("text") <= MAX_STORED_TEXT
-    candidates = stage(
-        missed.where(storable).select(F.col("batch_id").alias("ord"), "vec"), "candidates"
-    )
+    candidates = missed.where(storable).select(F.col("batch_id").alias("ord"), "vec")
 
     verdicts, width = None, 1
     while True:
-        leaders = stage(select_leaders(candidates, threshold, options.head_rows), "leaders")
+        leaders = select_leaders(candidates, threshold, options.head_rows)
         verdicts = _classify_new(batches, leaders.select("ord"), verdicts, classifier)
-        failed = stage(leaders.join(_failures(verdicts), "ord", "left_semi"), "failed")
+        failed = leaders.join(_failures(verdicts), "ord", "left_semi")
         if failed.isEmpty():
             break
         queue = _next_in_line(candidates, leaders, failed, width, threshold)
@@ -169,9 +173,9 @@ def _resolve(batches, store, hits, leaders, verdicts, options) -> DataFrame:
     ]
     none = F.lit(None)
 
+    fields = store.select("id", "is_error", "model_name", "embedder_model_name")
     from_store = (
-        closest.where("_stored")
-        .join(store.select("id", "is_error", "model_name", "embedder_model_name"), "id")
+        join_unique(closest.where("_stored"), fields, "id")
         .select(
             "batch_id", F.col("is_error").alias("error_found"), "model_name", "embedder_model_name",
             F.lit("stored").alias("origin"), F.col("id").alias("matched_id"),
@@ -179,9 +183,9 @@ def _resolve(batches, store, hits, leaders, verdicts, options) -> DataFrame:
         )
     )
     own = verdicts.select("batch_id", "error_found", "model_name", "error")
+    by_leader = own.select(F.col("batch_id").alias("leader"), "error_found", "model_name")
     from_run = (
-        closest.where(~F.col("_stored") & F.col("leader").isNotNull())
-        .join(own.select(F.col("batch_id").alias("leader"), "error_found", "model_name"), "leader")
+        join_unique(closest.where(~F.col("_stored") & F.col("leader").isNotNull()), by_leader, "leader")
         .select(
             "batch_id", "error_found", "model_name", embedder.alias("embedder_model_name"),
             F.lit("run").alias("origin"), F.col("leader").alias("matched_id"),
@@ -223,8 +227,3 @@ def triage_and_store(
     store.insert(result.new_rows)
     return result.verdicts
 
-
-__all__ = [
-    "RESULT", "ReuseOptions", "ReuseResult", "batches_of", "embed_batches", "lookup",
-    "stored_verdicts", "triage_and_store", "triage_batches", "triage_with_reuse",
-]

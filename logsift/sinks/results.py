@@ -10,6 +10,7 @@ from logsift.functions.rules import DEFAULT_SERVICE, labelled_record
 from logsift.functions.verdict import kind
 from logsift.operators.batching import summary
 from logsift.schemas import SUMMARY
+from logsift.staging import stage
 
 
 def json_text(*columns: str | Column) -> Column:
@@ -44,7 +45,7 @@ def array_lines(items: DataFrame, order: list[str]) -> DataFrame:
 
 def write_json_array(items: DataFrame, order: list[str], path: str) -> None:
     """Text parts that form one JSON array when read in name order."""
-    lines = array_lines(items, order)
+    lines = array_lines(stage(items, "items"), order)
     lines.orderBy(*order).select("line").write.mode("overwrite").text(path)
 
 

@@ -23,7 +23,7 @@ from logsift.plans.triage import ReuseOptions, embed_batches, triage_with_reuse
 from logsift.schemas import DEFAULT_BATCH_SIZE, DEFAULT_POLL_SECONDS, STORE, SUMMARY
 from logsift.sources.logfiles import number_rows
 from logsift.sources.store import VectorStore
-from logsift.staging import read_written
+from logsift.staging import read_written, temporary_stages
 
 COUNTERS = "next_index long, next_batch long, next_id long"
 
@@ -103,20 +103,20 @@ def process_epoch(
     kept = spark.read.parquet(folders.of("lines", epoch))
     n_lines = kept.count()
     index, batch, row_id = folders.counters(spark, epoch)
-    batches = _epoch_batches(kept, size, index, batch)
 
-    if reuse is None:
-        verdicts = classify_batches(batches, classifier)
-    else:
-        store = folders.store_before(spark, epoch)
-        result = triage_with_reuse(embed_batches(batches, encoder), store, classifier, reuse)
-        verdicts = result.verdicts
-        added = VectorStore.with_ids(result.new_rows, "batch_id", row_id)
-        added.write.mode("overwrite").parquet(folders.of("store", epoch))
-        row_id += spark.read.schema(STORE).parquet(folders.of("store", epoch)).count()
-    summary(verdicts).write.mode("overwrite").option("ignoreNullFields", "false").json(
-        folders.of("verdicts", epoch)
-    )
+    with temporary_stages(spark):
+        if reuse is None:
+            verdicts = classify_batches(_epoch_batches(kept, size, index, batch), classifier)
+        else:
+            batches = embed_batches(_epoch_batches(kept, size, index, batch), encoder)
+            result = triage_with_reuse(batches, folders.store_before(spark, epoch), classifier, reuse)
+            verdicts = result.verdicts
+            added = VectorStore.with_ids(result.new_rows, "batch_id", row_id)
+            added.write.mode("overwrite").parquet(folders.of("store", epoch))
+            row_id += spark.read.schema(STORE).parquet(folders.of("store", epoch)).count()
+        summary(verdicts).write.mode("overwrite").option("ignoreNullFields", "false").json(
+            folders.of("verdicts", epoch)
+        )
     n_batches = -(-n_lines // size)
     folders.save_counters(spark, epoch, (index + n_lines, batch + n_batches, row_id))
 
