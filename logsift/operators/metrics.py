@@ -72,11 +72,12 @@ def _fallback(zero_division: float) -> Column:
 
 
 def _measure(name: str, hit: Column, true: Column, pred: Column, zero_division: float) -> Column:
-    ratio = {
-        "precision": F.try_divide(hit, pred),
-        "recall": F.try_divide(hit, true),
-        "f1_score": F.try_divide(2 * hit, true + pred),
-    }[name]
+    if name == "precision":
+        ratio = F.try_divide(hit, pred)
+    elif name == "recall":
+        ratio = F.try_divide(hit, true)
+    else:
+        ratio = F.try_divide(2 * hit, true + pred)
     return F.coalesce(ratio.cast("double"), _fallback(zero_division))
 
 

@@ -85,10 +85,9 @@ def _with_cells(df: DataFrame, vector: str, pivots: np.ndarray) -> DataFrame:
     return df.mapInArrow(nearest, schema)
 
 
-def _size(df: DataFrame, vector: str) -> tuple[int, int]:
-    """Rows and dimension."""
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("dim")).first()
-    return row["n"], row["dim"] or 0
+def _dimension(store: DataFrame) -> int:
+    row = store.select(F.size("svec").alias("dim")).first()
+    return row["dim"] if row else 0
 
 
 def _cell_stats(df: DataFrame, rows: int, pivots: int) -> dict[int, tuple[int, float]]:
@@ -197,10 +196,10 @@ def top_matches(
     """
     spark = queries.sparkSession
     queries, store = queries.select("qid", "qvec"), store.select("sid", "svec")
-    n_query, _ = _size(queries, "qvec")
-    n_store, dim = _size(store, "svec")
+    n_query, n_store = queries.count(), store.count()  # from the Parquet footers of stored tables
     if n_query == 0 or n_store == 0:
         return spark.createDataFrame([], HIT_SCHEMA + ", rank int")
+    dim = _dimension(store)
     if block_rows is None:
         block_rows = _block_rows(n_query, n_store, dim, spark.sparkContext.defaultParallelism)
 
@@ -269,7 +268,7 @@ def held_in_blocks(
     """
     rows = rows.select("sid", "svec").where(_nonzero("svec")) if threshold > 0 else rows.select("sid", "svec")
     spark = rows.sparkSession
-    n_rows, dim = _size(rows, "svec")
+    n_rows, dim = rows.count(), _dimension(rows)
     if block_rows is None:
         block_rows = _block_rows(n_rows, n_rows, dim, spark.sparkContext.defaultParallelism)
     centres = _centres(rows, n_rows, dim, block_rows, pivots if threshold > 0 else 1)

@@ -13,10 +13,13 @@ SALTS = 32
 def join_unique(facts: DataFrame, unique: DataFrame, key: str, broadcast_rows: int = 500_000) -> DataFrame:
     """Inner join of ``facts`` to the rows of ``unique`` it needs, one per ``key``.
 
-    Distinct keys are taken first, combined before the shuffle. If few are
-    needed their rows are broadcast, and no fact moves. Otherwise the facts are
-    salted, so that a hot key is spread over many tasks.
+    A counted small table is broadcast, and no fact moves. Of a larger one only
+    the needed rows are taken: distinct keys first, combined before the shuffle.
+    If these are too many as well, the facts are salted, so that a hot key is
+    spread over many tasks.
     """
+    if unique.count() <= broadcast_rows:
+        return facts.join(F.broadcast(unique), key)
     keys = facts.select(key).distinct()
     needed = stage(unique.join(keys, key, "left_semi"), "needed")
     if needed.count() <= broadcast_rows:

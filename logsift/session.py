@@ -10,6 +10,8 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JIT does not compile methods beyond 8000 bytes; smaller pieces run faster.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -8,12 +8,12 @@ from logsift.functions import rules
 from logsift.functions.labels import NEGATIVE_WORDS, POSITIVE_WORDS, coerce_labels
 from logsift.operators import metrics
 from logsift.operators.pairing import pair_by_key, pair_by_position
-from logsift.operators.batching import assign_batches, rule_verdicts
+from logsift.operators.batching import assign_batches
 from logsift.operators.indexing import index_ordered
 from logsift.plans.evaluation import compare_files, compare_tables
 from logsift.sinks.results import append_summaries, metrics_json
 from logsift.sources.labelfiles import document_labels, loose_labels, parse_records, read_labels
-from logsift.staging import scratch_path
+from logsift.staging import scratch_path, stage
 from suite.fixture import LABEL_DOCUMENTS, LABEL_LINES, LABEL_VALUES, LINES, derived, lines, table
 from suite.lines import batched, labelled, verdicts
 
@@ -199,10 +199,13 @@ def pairs_by_position(spark, sf):
 
 def _batch_labels(spark, sf):
     """Keyword rule against HTTP sign, per batch of five lines."""
-    batches = assign_batches(index_ordered(lines(spark, sf)), 5)
-    truth = rule_verdicts(batches).select("batch_id", F.col("error_found").alias("label"))
-    http = F.bool_or(F.col("raw_text").contains("HTTP"))
-    return truth, batches.groupBy("batch_id").agg(http.alias("label"))
+    lined = assign_batches(index_ordered(lines(spark, sf)), 5)
+    flagged = lined.withColumn("error", rules.error_flag(F.col("raw_text"), F.upper("raw_text")))
+    both = flagged.groupBy("batch_id").agg(
+        F.bool_or("error").alias("rule"), F.bool_or(F.col("raw_text").contains("HTTP")).alias("http")
+    )
+    both = stage(both, "labels")
+    return tuple(both.select("batch_id", F.col(c).alias("label")) for c in ("rule", "http"))
 
 
 def pairs_by_key(spark, sf):
