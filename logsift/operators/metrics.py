@@ -9,7 +9,6 @@ gives null), averages weigh the classes that occur in the labels.
 from __future__ import annotations
 
 import math
-from functools import reduce
 from typing import Any, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -50,102 +49,98 @@ def confusion_matrix(
     cell = {(0, 0): "tn", (0, 1): "fp", (1, 0): "fn", (1, 1): "tp"}
     count = lambda t, p: F.col(cell[t, p]) if (t, p) in cell else F.lit(0).cast("long")
     rows = F.array(*[F.array(*[count(t, p) for p in labels]) for t in labels])
-    seen = reduce(lambda a, b: a + b, [_class(c)["true"] for c in labels if c in CLASSES], F.lit(0))
-    total = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
+    seen = " + ".join(["0"] + [_class(c)["true"] for c in labels if c in CLASSES])
     checked = F.when(
-        (total > 0) & (seen == 0), F.raise_error(F.lit("At least one label specified must be in y_true"))
+        F.expr(f"{_TOTAL} > 0 AND {seen} = 0"),
+        F.raise_error(F.lit("At least one label specified must be in y_true")),
     ).otherwise(rows)
     return counts.select(checked.alias("confusion_matrix"))
 
 
-def _class(label: int) -> dict[str, Column]:
+# The arithmetic is put together as SQL text over the four counts and becomes a
+# column at the end, one call per metric instead of one per operator.
+_TOTAL = "(tn + fp + fn + tp)"
+
+
+def _class(label: int) -> dict[str, str]:
     hit, missed, false = ("tp", "fn", "fp") if label == 1 else ("tn", "fp", "fn")
-    return {
-        "hit": F.col(hit),
-        "true": F.col(hit) + F.col(missed),
-        "pred": F.col(hit) + F.col(false),
-    }
+    return {"hit": hit, "true": f"({hit} + {missed})", "pred": f"({hit} + {false})"}
 
 
-def _fallback(zero_division: float) -> Column:
-    return F.lit(None).cast("double") if math.isnan(zero_division) else F.lit(float(zero_division))
+def _ratio(value: str, total: str) -> str:
+    return f"cast(try_divide({value}, {total}) AS DOUBLE)"
 
 
-def _measure(name: str, hit: Column, true: Column, pred: Column, zero_division: float) -> Column:
-    if name == "precision":
-        ratio = F.try_divide(hit, pred)
-    elif name == "recall":
-        ratio = F.try_divide(hit, true)
-    else:
-        ratio = F.try_divide(2 * hit, true + pred)
-    return F.coalesce(ratio.cast("double"), _fallback(zero_division))
+def _measure(name: str, hit: str, true: str, pred: str, zero_division: float) -> str:
+    ratio = {
+        "precision": _ratio(hit, pred),
+        "recall": _ratio(hit, true),
+        "f1_score": _ratio(f"2 * {hit}", f"({true} + {pred})"),
+    }[name]
+    other = "cast(NULL AS DOUBLE)" if math.isnan(zero_division) else f"{float(zero_division)}D"
+    return f"coalesce({ratio}, {other})"
 
 
-def _mean(values: list[Column], weights: list[Column]) -> Column:
+def _mean(values: list[str], weights: list[str]) -> str:
     """Weighted mean that leaves out null values."""
-    add = lambda a, b: a + b
-    total = reduce(add, [F.coalesce(v * w, F.lit(0.0)) for v, w in zip(values, weights)])
-    weight = reduce(add, [F.when(v.isNull(), 0.0).otherwise(w) for v, w in zip(values, weights)])
-    return F.try_divide(total, weight)
+    total = " + ".join(f"coalesce({v} * {w}, 0D)" for v, w in zip(values, weights))
+    weight = " + ".join(f"if({v} IS NULL, 0D, {w})" for v, w in zip(values, weights))
+    return f"try_divide({total}, {weight})"
 
 
-def averaged(
-    name: str,
-    average: str,
-    pos_label: int = 1,
-    zero_division: float = 0.0,
-    labels: Sequence[int] | None = None,
-) -> Column:
-    """One of the measures over the four counts.
-
-    Without ``labels`` a class counts in an average only if it occurs.
-    """
+def _averaged(name: str, average: str, pos_label: int, zero_division: float, labels) -> str:
     if average == "binary":
         if pos_label not in CLASSES:
             raise ValueError(f"pos_label={pos_label} is not a valid label: {list(CLASSES)}")
-        one = _class(pos_label)
-        return _measure(name, one["hit"], one["true"], one["pred"], zero_division)
+        return _measure(name, **_class(pos_label), zero_division=zero_division)
     chosen = [_class(c) for c in (labels or CLASSES)]
     if average == "micro":
-        hit, true, pred = (reduce(lambda a, b: a + b, [c[k] for c in chosen]) for k in ("hit", "true", "pred"))
-        return _measure(name, hit, true, pred, zero_division)
-    values = [_measure(name, c["hit"], c["true"], c["pred"], zero_division) for c in chosen]
+        summed = {k: "(" + " + ".join(c[k] for c in chosen) + ")" for k in chosen[0]}
+        return _measure(name, **summed, zero_division=zero_division)
+    values = [_measure(name, **c, zero_division=zero_division) for c in chosen]
     if average == "weighted":
-        return _mean(values, [c["true"].cast("double") for c in chosen])
+        return _mean(values, [f"cast({c['true']} AS DOUBLE)" for c in chosen])
     if average == "macro":
-        occurs = lambda c: ((c["true"] + c["pred"]) > 0).cast("double")
-        return _mean(values, [F.lit(1.0) if labels else occurs(c) for c in chosen])
+        occurs = [f"cast({c['true']} + {c['pred']} > 0 AS DOUBLE)" for c in chosen]
+        return _mean(values, ["1D"] * len(chosen) if labels else occurs)
     raise ValueError(f"average must be one of {AVERAGES} or None, got {average!r}")
 
 
-def _ratio(value: Column, total: Column) -> Column:
-    return F.try_divide(value, total).cast("double")
-
+def averaged(
+    name: str,
+    average: str,
+    pos_label: int = 1,
+    zero_division: float = 0.0,
+    labels: Sequence[int] | None = None,
+) -> Column:
+    """One of the measures over the four counts.
 
-def _total() -> Column:
-    return F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
+    Without ``labels`` a class counts in an average only if it occurs.
+    """
+    return F.expr(_averaged(name, average, pos_label, zero_division, labels))
 
 
 def accuracy() -> Column:
-    return _ratio(F.col("tp") + F.col("tn"), _total())
+    return F.expr(_ratio("(tp + tn)", _TOTAL))
 
 
 def balanced_accuracy() -> Column:
     """Mean recall of the classes that occur in ``y_true``."""
-    recalls = [_ratio(_class(c)["hit"], _class(c)["true"]) for c in CLASSES]
-    return _mean(recalls, [F.lit(1.0), F.lit(1.0)])
+    return F.expr(_mean([_ratio(_class(c)["hit"], _class(c)["true"]) for c in CLASSES], ["1D", "1D"]))
 
 
 def matthews_corrcoef() -> Column:
-    """Counts become doubles before they are multiplied; 0 if undefined."""
-    tn, fp, fn, tp = (F.col(c).cast("double") for c in ("tn", "fp", "fn", "tp"))
-    # Square roots are taken one by one, so the product stays in range.
-    spread = F.sqrt(tp + fp) * F.sqrt(tp + fn) * F.sqrt(tn + fp) * F.sqrt(tn + fn)
-    return F.coalesce(F.try_divide(tp * tn - fp * fn, spread), F.lit(0.0))
+    """Counts become doubles before they are multiplied; 0 if undefined.
+
+    Square roots are taken one by one, so that the product stays in range.
+    """
+    spread = "sqrt(tp + fp) * sqrt(tp + fn) * sqrt(tn + fp) * sqrt(tn + fn)"
+    agreement = "cast(tp AS DOUBLE) * tn - cast(fp AS DOUBLE) * fn"
+    return F.expr(f"coalesce(try_divide({agreement}, {spread}), 0D)")
 
 
 def zero_one_loss() -> Column:
-    return _ratio(F.col("fp") + F.col("fn"), _total())
+    return F.expr(_ratio("(fp + fn)", _TOTAL))
 
 
 def hamming_loss() -> Column:
@@ -173,7 +168,7 @@ def evaluate(
         balanced_accuracy().alias("balanced_accuracy"),
         *[averaged(m, average, 1, zero_division).alias(m) for m in MEASURES],
         F.array(F.array(tn, fp), F.array(fn, tp)).alias("confusion_matrix"),
-        _report(CLASSES, zero_division).alias("classification_report"),
+        F.expr(_report(CLASSES, zero_division)).alias("classification_report"),
         matthews_corrcoef().alias("matthews_corrcoef"),
         zero_one_loss().alias("zero_one_loss"),
         hamming_loss().alias("hamming_loss"),
@@ -182,7 +177,7 @@ def evaluate(
         fn.alias("false_negative"),
         tp.alias("true_positive"),
         F.struct((tn + fp).alias("negative"), (fn + tp).alias("positive")).alias("support"),
-        _total().alias("total_samples"),
+        F.expr(_TOTAL).alias("total_samples"),
     )
 
 
@@ -193,14 +188,18 @@ def metrics_by_class(
     positive_label: Any = True,
 ) -> DataFrame:
     """One row per class: precision, recall, F1 and support."""
-    rows = [_class_row(c, zero_division) for c in (labels or CLASSES)]
-    return confusion_counts(pairs, positive_label).select(F.inline(F.array(*rows)))
+    rows = [_class_row(c, f"{c}", zero_division) for c in (labels or CLASSES)]
+    return confusion_counts(pairs, positive_label).select(F.expr(f"inline(array({', '.join(rows)}))"))
 
 
-def _class_row(label: int, zero_division: float) -> Column:
+def _row(first: str, values: list[str], support: str | None = None) -> str:
+    members = first + "".join(f", '{m}', {v}" for m, v in zip(MEASURES, values))
+    return f"named_struct({members}" + (f", 'support', {support})" if support else ")")
+
+
+def _class_row(label: int, shown: str, zero_division: float) -> str:
     one = _class(label)
-    values = [_measure(m, one["hit"], one["true"], one["pred"], zero_division).alias(m) for m in MEASURES]
-    return F.struct(F.lit(label).alias("label"), *values, one["true"].alias("support"))
+    return _row(f"'label', {shown}", [_measure(m, **one, zero_division=zero_division) for m in MEASURES], one["true"])
 
 
 def metrics_averaged(
@@ -213,40 +212,29 @@ def metrics_averaged(
 ) -> DataFrame:
     """One row per kind of average: precision, recall and F1."""
     rows = [
-        F.struct(
-            F.lit(kind).alias("average"),
-            *[averaged(m, kind, pos_label, zero_division, labels).alias(m) for m in MEASURES],
-        )
+        _row(f"'average', '{kind}'", [_averaged(m, kind, pos_label, zero_division, labels) for m in MEASURES])
         for kind in averages
     ]
-    return confusion_counts(pairs, positive_label).select(F.inline(F.array(*rows)))
-
+    return confusion_counts(pairs, positive_label).select(F.expr(f"inline(array({', '.join(rows)}))"))
 
-def _report(labels: Sequence[int], zero_division: float) -> Column:
-    support = reduce(lambda a, b: a + b, [_class(c)["true"] for c in labels])
 
-    def row(name: str, values: list[Column], count: Column) -> Column:
-        named = [v.alias(m) for v, m in zip(values, MEASURES)]
-        return F.struct(F.lit(name).alias("label"), *named, count.alias("support"))
+def _report(labels: Sequence[int], zero_division: float) -> str:
+    support = "(" + " + ".join(_class(c)["true"] for c in labels) + ")"
 
-    def mean_row(name: str, kind: str) -> Column:
-        return row(name, [averaged(m, kind, 1, zero_division, labels) for m in MEASURES], support)
+    def mean_row(name: str, kind: str) -> str:
+        return _row(f"'label', '{name}'", [_averaged(m, kind, 1, zero_division, labels) for m in MEASURES], support)
 
-    per_class = [
-        row(
-            str(c),
-            [
-                _measure(m, _class(c)["hit"], _class(c)["true"], _class(c)["pred"], zero_division)
-                for m in MEASURES
-            ],
-            _class(c)["true"],
-        )
-        for c in labels
-    ]
-    none = F.lit(None).cast("double")
+    none = "cast(NULL AS DOUBLE)"
     whole = set(CLASSES) <= set(labels)
-    middle = row("accuracy", [none, none, accuracy()], support) if whole else mean_row("micro avg", "micro")
-    return F.array(*per_class, middle, mean_row("macro avg", "macro"), mean_row("weighted avg", "weighted"))
+    rows = [
+        *[_class_row(c, f"'{c}'", zero_division) for c in labels],
+        _row("'label', 'accuracy'", [none, none, _ratio("(tp + tn)", _TOTAL)], support)
+        if whole
+        else mean_row("micro avg", "micro"),
+        mean_row("macro avg", "macro"),
+        mean_row("weighted avg", "weighted"),
+    ]
+    return f"array({', '.join(rows)})"
 
 
 def classification_report(
@@ -257,4 +245,4 @@ def classification_report(
 ) -> DataFrame:
     """The report as rows: classes, accuracy, macro average and weighted average."""
     counts = confusion_counts(pairs, positive_label)
-    return counts.select(F.inline(_report(tuple(labels or CLASSES), zero_division)))
+    return counts.select(F.expr(f"inline({_report(tuple(labels or CLASSES), zero_division)})"))
