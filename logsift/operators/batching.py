@@ -13,7 +13,7 @@ from logsift.schemas import DEFAULT_BATCH_SIZE
 def assign_batches(indexed: DataFrame, batch_size: int = DEFAULT_BATCH_SIZE) -> DataFrame:
     """Batches run across file boundaries; only the last one may be short."""
     size = clamp_batch_size(batch_size)
-    return indexed.withColumn("batch_id", F.floor(F.col("index") / F.lit(size)).cast("long"))
+    return indexed.withColumn("batch_id", F.expr(f"index div {size}L"))
 
 
 def collect_entries(batched: DataFrame) -> DataFrame:

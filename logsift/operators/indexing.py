@@ -2,7 +2,7 @@
 
 Both forms count first and number afterwards. What is added to each row is a
 running total over a table with one row per input split (or per chunk of the
-sequence), never over the lines.
+sequence), never over the lines, and that table is itself summed up in slices.
 """
 
 from __future__ import annotations
@@ -14,16 +14,32 @@ from logsift.staging import stage
 
 # A split row is three short columns; this many stay well under 100 MB.
 MAX_BROADCAST_SPLITS = 400_000
+MAX_SLICES = 256
 
 
-def _offsets(counts: DataFrame, source: str, part: str, size: str) -> DataFrame:
-    """Rows before each (source, part): sums within a source plus sums of earlier sources."""
-    inside = Window.partitionBy(source).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.orderBy(source).rowsBetween(Window.unboundedPreceding, -1)
-    totals = counts.groupBy(source).agg(F.sum(size).alias("_total"))
-    before = totals.select(source, F.coalesce(F.sum("_total").over(across), F.lit(0)).alias("_before"))
-    within = counts.withColumn("_within", F.coalesce(F.sum(size).over(inside), F.lit(0)))
-    return within.join(before, source).withColumn("_offset", F.col("_before") + F.col("_within"))
+def _offsets(counts: DataFrame, order: list[str], size: str) -> DataFrame:
+    """Add ``_offset``, the total ``size`` of the rows before each row.
+
+    The rows are range-partitioned into slices and written down, so that every
+    later pass sees the same slices. A task sums up one slice; only the totals
+    of the slices, a few hundred at most, are summed up in one place.
+    """
+    slices = min(MAX_SLICES, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sliced = counts.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id())
+    sliced = stage(sliced, "counts")
+    inside = Window.partitionBy("_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        sliced.groupBy("_slice")
+        .agg(F.sum(size).alias("_total"))
+        .select("_slice", F.coalesce(F.sum("_total").over(across), F.lit(0)).alias("_start"))
+    )
+    within = sliced.withColumn("_within", F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    return (
+        within.join(F.broadcast(starts), "_slice")  # at most MAX_SLICES rows
+        .withColumn("_offset", F.col("_start") + F.col("_within"))
+        .drop("_slice", "_start", "_within")
+    )
 
 
 def index_scanned(scanned: DataFrame) -> DataFrame:
@@ -33,12 +49,9 @@ def index_scanned(scanned: DataFrame) -> DataFrame:
     and the table of block offsets is broadcast while its counted size allows it.
     """
     keys = ["source_file", "_block"]
-    counts = stage(
-        scanned.groupBy(*keys).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_lines")),
-        "splits",
-    )
-    offsets = _offsets(counts, "source_file", "_block", "_lines").select(*keys, "_first", "_offset")
-    if counts.count() <= MAX_BROADCAST_SPLITS:
+    counts = scanned.groupBy(*keys).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    offsets = _offsets(counts, keys, "_lines").drop("_lines")
+    if offsets.count() <= MAX_BROADCAST_SPLITS:
         offsets = F.broadcast(offsets)
     return (
         scanned.join(offsets, keys)
@@ -57,11 +70,12 @@ def index_ordered(
 
     Each source is cut into chunks of the sequence, so a source with a third of
     all rows is spread like any other. One shuffle: rows are ranked inside their
-    chunk, and the offsets join reuses that partitioning.
+    chunk, and the offsets join reuses that partitioning. The chunks are counted
+    when this is called.
     """
-    keyed = lines.withColumn("_chunk", F.floor(F.col(sequence) / F.lit(chunk)))
+    keyed = lines.withColumn("_chunk", F.expr(f"`{sequence}` div {chunk}L"))
     counts = keyed.groupBy(source, "_chunk").agg(F.count(F.lit(1)).alias("_rows"))
-    offsets = _offsets(counts, source, "_chunk", "_rows").select(source, "_chunk", "_offset")
+    offsets = _offsets(counts, [source, "_chunk"], "_rows").drop("_rows")
     inside = Window.partitionBy(source, "_chunk").orderBy(sequence)
     return (
         keyed.withColumn("_rank", F.row_number().over(inside) - 1)

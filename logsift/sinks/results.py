@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,16 +33,19 @@ def array_lines(items: DataFrame, order: list[str]) -> DataFrame:
     """The lines of one JSON array over ``json`` strings, in order.
 
     The first line opens the array, the last one closes it, and the others
-    start with a comma. Sorting is by range, so no task sees the whole array;
-    only the smallest and the largest key are looked up beforehand.
+    start with a comma. Only the smallest and the largest key are looked up
+    beforehand, so lines can be written by any number of tasks.
     """
     key = F.struct(*order)
-    ends = items.agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
-    opened = F.when(key == F.col("_first"), F.lit("[")).otherwise(F.lit(","))
-    closed = F.when(key == F.col("_last"), F.lit("]")).otherwise(F.lit(""))
-    return items.join(F.broadcast(ends)).select(  # ends is a single row
-        *order, F.concat(opened, F.col("json"), closed).alias("line")
-    )
+    ends = items.agg(F.min(key).alias("first"), F.max(key).alias("last")).first()
+
+    def at(end: str) -> Column:
+        row = ends[end]
+        return reduce(lambda a, b: a & b, [F.col(c) == F.lit(row[c]) for c in order]) if row else F.lit(False)
+
+    opened = F.when(at("first"), F.lit("[")).otherwise(F.lit(","))
+    closed = F.when(at("last"), F.lit("]")).otherwise(F.lit(""))
+    return items.select(*order, F.concat(opened, F.col("json"), closed).alias("line"))
 
 
 def write_json_array(items: DataFrame, order: list[str], path: str) -> None:

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from logsift.functions.text import chomp, clamp_batch_size, clamp_poll_seconds, is_blank, strip
-from logsift.operators.batching import collect_entries, summary
+from logsift.operators.batching import assign_batches, collect_entries, summary
 from logsift.operators.classify import Classifier, classify_batches
 from logsift.operators.indexing import index_scanned
 from logsift.plans.triage import ReuseOptions, embed_batches, triage_with_reuse
@@ -73,9 +73,10 @@ class EpochFolders:
 
 def _epoch_batches(lines: DataFrame, size: int, first_index: int, first_batch: int) -> DataFrame:
     """Batches start anew with each epoch; the last one of an epoch may be short."""
-    local = index_scanned(lines)
-    numbered = local.withColumn("batch_id", F.floor(F.col("index") / size) + first_batch)
-    return collect_entries(numbered.withColumn("index", F.col("index") + first_index))
+    local = assign_batches(index_scanned(lines), size)
+    return collect_entries(
+        local.withColumns({"batch_id": F.col("batch_id") + first_batch, "index": F.col("index") + first_index})
+    )
 
 
 def process_epoch(
