@@ -80,17 +80,17 @@ def triage_with_reuse(
 ) -> ReuseResult:
     """What a loop over the batches would do that stores each newly classified one.
 
-    ``batches`` has ``batch_id``, ``entries``, ``text`` and ``vec``. Only
-    leaders are classified. A leader whose classification fails, or whose text
+    ``batches`` has ``batch_id``, ``entries`` and ``vec``. Only leaders are
+    classified. A leader whose classification fails, or whose text
     is too long, is never stored; then the leaders are chosen again without it
     and only the new ones are classified, until no leader fails.
     """
-    batches = stage(batches, "batches")
+    size = F.octet_length(batch_text(F.col("entries"))).alias("bytes")
+    batches = stage(batches.select("batch_id", "entries", "vec", size), "batches")
     threshold = options.threshold
     hits = stage(stored_verdicts(batches, store, threshold), "hits")
     missed = batches.join(hits.select("batch_id"), "batch_id", "left_anti")
-    storable = F.octet_length("text") <= MAX_STORED_TEXT
-    candidates = missed.where(storable).select(F.col("batch_id").alias("ord"), "vec")
+    candidates = missed.where(F.col("bytes") <= MAX_STORED_TEXT).select(F.col("batch_id").alias("ord"), "vec")
 
     verdicts, width = None, 1
     while True:
@@ -105,7 +105,9 @@ def triage_with_reuse(
         width *= 4
 
     result = _resolve(batches, store, hits, leaders, verdicts, options)
-    text = batches.select("batch_id", F.col("text").alias("raw_text"), F.col("vec").alias("vector"))
+    text = batches.select(
+        "batch_id", batch_text(F.col("entries")).alias("raw_text"), F.col("vec").alias("vector")
+    )
     names = verdicts.select(
         "batch_id",
         F.col("error_found").alias("is_error"),

@@ -61,7 +61,11 @@ def summary_items(results: DataFrame, run: int = 0) -> DataFrame:
 
 
 def existing_items(spark: SparkSession, path: str) -> DataFrame:
-    """Items of an array document written earlier; anything but an array counts as none."""
+    """Items of an array document written earlier; anything but an array counts as none.
+
+    A document is one value, so one task parses it; results that keep growing
+    belong in JSON lines, from which the array is derived.
+    """
     parsed = spark.read.text(path, wholetext=True).select(whole_json(F.col("value")).alias("v"))
     listed = parsed.where(kind(F.col("v")).startswith("ARRAY"))
     items = listed.select(F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("at", "item"))
