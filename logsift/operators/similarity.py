@@ -120,17 +120,23 @@ def _plan_grid(query_stats, store_stats, pivots, threshold, block_rows) -> _Grid
     return _Grid(pivots, blocks(query_stats), blocks(store_stats), pairs)
 
 
-def _spread(df: DataFrame, row_id: str, own: str, other: str, own_blocks, other_blocks, pairs) -> DataFrame:
+def _spread(df: DataFrame, row_id: str, own: str, grid: _Grid) -> DataFrame:
     """Send each row, in its block, to every block of the other side it has to meet."""
-    spark = df.sparkSession
+    other = "s" if own == "q" else "q"
+    blocks = {"q": grid.query_blocks, "s": grid.store_blocks}
     partners: dict[int, list[tuple[int, int]]] = {}
-    for mine, theirs in pairs:
-        partners.setdefault(mine, []).append((theirs, other_blocks[theirs]))
-    cells = [(cell, own_blocks[cell], targets) for cell, targets in partners.items()]
-    table = spark.createDataFrame(cells, "_cell int, _n int, _to array<struct<cell:int, n:int>>")
+    for pair in grid.pairs:
+        mine, theirs = pair if own == "q" else pair[::-1]
+        partners.setdefault(mine, []).append((theirs, blocks[other][theirs]))
+    if len(grid.pivots) <= 1:
+        only = F.struct(F.lit(0).alias("cell"), F.lit(blocks[other][0]).alias("n"))
+        placed = df.withColumn("_n", F.lit(blocks[own][0])).withColumn("_to", F.array(only))
+    else:
+        cells = [(cell, blocks[own][cell], targets) for cell, targets in partners.items()]
+        schema = "_cell int, _n int, _to array<struct<cell:int, n:int>>"
+        placed = df.join(F.broadcast(df.sparkSession.createDataFrame(cells, schema)), "_cell")  # a row per pivot
     return (
-        df.join(F.broadcast(table), "_cell")  # one row per pivot at most
-        .withColumn(f"{own}b", F.pmod(F.xxhash64(row_id), F.col("_n")).cast("int"))
+        placed.withColumn(f"{own}b", F.pmod(F.xxhash64(row_id), F.col("_n")).cast("int"))
         .withColumn("_t", F.explode("_to"))
         .withColumn(f"{other}b", F.explode(F.sequence(F.lit(0), F.col("_t.n") - 1)))
         .withColumn(f"{own}c", F.col("_cell"))
@@ -213,10 +219,7 @@ def top_matches(
     grid = _plan_grid(query_stats, store_stats, centres, threshold, block_rows)
     if not grid.pairs:
         return spark.createDataFrame([], HIT_SCHEMA + ", rank int")
-    left = _spread(queries, "qid", "q", "s", grid.query_blocks, grid.store_blocks, grid.pairs)
-    right = _spread(
-        store, "sid", "s", "q", grid.store_blocks, grid.query_blocks, [(s, q) for q, s in grid.pairs]
-    )
+    left, right = _spread(queries, "qid", "q", grid), _spread(store, "sid", "s", grid)
 
     def block(left_rows: pa.Table, right_rows: pa.Table) -> pa.Table:
         found = ([], [], [])
@@ -274,10 +277,12 @@ def held_in_blocks(
     centres = _centres(rows, n_rows, dim, block_rows, pivots if threshold > 0 else 1)
     celled = _with_cells(rows, "svec", centres)
     blocks = {cell: math.ceil(n / block_rows) for cell, (n, _) in _cell_stats(celled, n_rows, len(centres)).items()}
-    table = spark.createDataFrame(list(blocks.items()) or [(0, 1)], "_cell int, _n int")
-    salted = celled.join(F.broadcast(table), "_cell").withColumn(  # one row per pivot at most
-        "_block", F.pmod(F.xxhash64("sid"), F.col("_n"))
-    )
+    if len(centres) <= 1:
+        placed = celled.withColumn("_n", F.lit(max(1, blocks[0])))
+    else:
+        table = spark.createDataFrame(list(blocks.items()), "_cell int, _n int")
+        placed = celled.join(F.broadcast(table), "_cell")  # a row per pivot
+    salted = placed.withColumn("_block", F.pmod(F.xxhash64("sid"), F.col("_n")))
 
     def block(table: pa.Table) -> pa.Table:
         ids, units = table.column("sid").to_numpy(), matrix(table.column("svec"))

@@ -12,7 +12,7 @@ from logsift.operators.classify import Classifier, classify_batches, rule_result
 from logsift.operators.embed import HASHED_ENCODER, hashed_embedding
 from logsift.operators.leaders import HEAD_ROWS, follow, select_leaders
 from logsift.operators.similarity import top_matches
-from logsift.operators.skew import join_unique
+from logsift.operators.skew import SALTS, join_unique
 from logsift.schemas import DEFAULT_BATCH_SIZE, DEFAULT_REUSE_THRESHOLD, MAX_STORED_TEXT
 from logsift.sources.store import VectorStore
 from logsift.staging import stage
@@ -143,8 +143,12 @@ def _next_in_line(candidates, leaders, failed, width, threshold) -> DataFrame:
     behind = follow(others, leaders, threshold).join(
         failed.select(F.col("ord").alias("leader")), "leader", "left_semi"
     )
-    place = F.row_number().over(Window.partitionBy("leader").orderBy("ord"))
-    return behind.withColumn("_place", place).where(F.col("_place") <= width).select("ord")
+    # First within salted parts of a leader's followers, then among what these leave.
+    for keys in (["leader", "_salt"], ["leader"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("ord"))
+        behind = behind.withColumn("_salt", F.pmod(F.xxhash64("ord"), F.lit(SALTS)))
+        behind = behind.withColumn("_place", place).where(F.col("_place") <= width)
+    return behind.select("ord")
 
 
 def _resolve(batches, store, hits, leaders, verdicts, options) -> DataFrame:
