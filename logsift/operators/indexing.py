@@ -47,16 +47,20 @@ def index_scanned(scanned: DataFrame) -> DataFrame:
 
     The lines are not shuffled: the position inside a block comes from the scan,
     and the table of block offsets is broadcast while its counted size allows it.
+    A line outside the counted blocks fails the query; none is lost or numbered twice.
     """
     keys = ["source_file", "_block"]
     counts = scanned.groupBy(*keys).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_lines"))
-    offsets = _offsets(counts, keys, "_lines").drop("_lines")
+    offsets = _offsets(counts, keys, "_lines")
     if offsets.count() <= MAX_BROADCAST_SPLITS:
         offsets = F.broadcast(offsets)
+    place = F.col("_row") - F.col("_first")
+    known = (place >= 0) & (place < F.col("_lines"))
+    changed = F.raise_error(F.lit("the files or their splits changed while they were indexed"))
     return (
-        scanned.join(offsets, keys)
-        .withColumn("index", F.col("_offset") + F.col("_row") - F.col("_first"))
-        .drop("_block", "_row", "_first", "_offset")
+        scanned.join(offsets, keys, "left")
+        .withColumn("index", F.when(known, F.col("_offset") + place).otherwise(changed))
+        .drop("_block", "_row", "_first", "_lines", "_offset")
     )
 
 

@@ -9,12 +9,23 @@ from pyspark.sql import functions as F
 from logsift.functions.text import drop_undecodable, is_blank
 
 
+def pin_splits(spark: SparkSession) -> None:
+    """Fix how files are split for as long as the session lives.
+
+    By default the split size follows the number of live cores. A lost executor
+    would then give the second pass over the files other blocks than the first.
+    """
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+
+
 def scan_text(spark: SparkSession, path: str, missing: str | None = None) -> DataFrame:
     """One row per line with its place: file, block within the file, row within the task.
 
     ``_row`` only rises within a task. Lines of one block stay together in one
     task, so their differences are positions inside the block.
     """
+    pin_splits(spark)
     try:
         lines = spark.read.text(path)
     except AnalysisException as error:

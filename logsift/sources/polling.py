@@ -7,6 +7,7 @@ import logging
 import time
 import urllib.request
 from collections.abc import Iterable, Iterator
+from http.client import HTTPException
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -63,7 +64,7 @@ class PollReader(DataSourceStreamReader):
             with self.opener(partition.url, self.timeout) as body:
                 for line in decoded_lines(iter(lambda: body.read(_CHUNK), b"")):
                     yield partition.url, partition.poll, line
-        except OSError as failure:
+        except (OSError, HTTPException) as failure:
             logging.getLogger(__name__).warning(
                 "read of %s failed, next poll tries again: %s", partition.url, failure
             )

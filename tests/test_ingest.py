@@ -56,6 +56,20 @@ def test_indexing_scanned_lines_does_not_shuffle_them(spark, tmp_path):
     assert len(line_side) == 1 and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def test_other_splits_in_the_second_pass_are_noticed(spark, tmp_path):
+    (tmp_path / "a.log").write_text("".join(f"line {i}\n" for i in range(4000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    indexed = index_scanned(scan_log_dir(spark, str(tmp_path)))
+    assert spark.conf.get("spark.sql.files.minPartitionNum") is not None
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        with pytest.raises(Exception, match="changed while they were indexed"):
+            indexed.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert indexed.select("index").distinct().count() == 4000
+
+
 def test_label_source_drops_bad_bytes_and_blank_lines(spark, tmp_path):
     (tmp_path / "x.log").write_bytes(b"x\xff y\n \t \n\nz\n")
     rows = index_scanned(scan_text_file(spark, str(tmp_path / "x.log"))).orderBy("index").collect()
