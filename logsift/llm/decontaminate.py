@@ -36,7 +36,7 @@ def _set(text: Column) -> Column:
 def sketches(items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per item its shingles, their number, its size partition and its sketch."""
     sized = items.select("item_id", F.array_sort(_set(F.col("text"))).alias("hashes")).withColumn("n_item", F.size("hashes")).filter("n_item > 0")
-    largest = F.shiftleft(F.lit(2), F.col("partition")) - 1
+    largest = F.pow(F.lit(2), F.col("partition") + 1) - 1
     enough = F.floor(largest * (100 - percent) / 100).cast("int") + 1
     return sized.withColumn("partition", F.floor(F.log2(F.col("n_item") + F.lit(0.5))).cast("int")).withColumn(
         "sketch", F.slice("hashes", 1, F.least(enough, F.lit(LONGEST_SKETCH)))
