@@ -45,6 +45,16 @@ def shingles(tokens: Column, size: int = 5) -> Column:
     return F.when(n >= size, window).when(n > 0, whole).otherwise(F.array().cast("array<bigint>"))
 
 
+def with_shingles(rows: DataFrame, text: str, out: str) -> DataFrame:
+    """``rows`` with the set of shingle hashes of a folded text.
+
+    The words are a column of their own: inside the windows' lambda they would
+    be split anew for every window.
+    """
+    cut = rows.withColumn("_words", words(fold(F.col(text))))
+    return cut.withColumn(out, F.array_distinct(shingles(F.col("_words")))).drop("_words")
+
+
 def row_key(*columns: str) -> Column:
     """A key of the row's content: equal rows share it, null and empty differ.
 

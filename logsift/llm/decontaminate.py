@@ -18,10 +18,10 @@ give their best. A null ``doc_id`` is reported as null. Only built-in functions
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import attach, fold, row_key, shingles, words
+from logsift.llm.common import attach, row_key, with_shingles
 from logsift.staging import scratch_path, stage, stage_at, temporary_stages
 
 PERCENT = 75
@@ -29,13 +29,10 @@ LONGEST_SKETCH = 24
 _KEY = "_doc"
 
 
-def _set(text: Column) -> Column:
-    return F.array_distinct(shingles(words(fold(text))))
-
-
 def sketches(items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per item its shingles, their number, its size partition and its sketch."""
-    sized = items.select("item_id", F.array_sort(_set(F.col("text"))).alias("hashes")).withColumn("n_item", F.size("hashes")).filter("n_item > 0")
+    sized = with_shingles(items.select("item_id", "text"), "text", "hashes").withColumn("hashes", F.array_sort("hashes"))
+    sized = sized.select("item_id", "hashes", F.size("hashes").alias("n_item")).filter("n_item > 0")
     largest = F.pow(F.lit(2), F.col("partition") + 1) - 1
     enough = F.floor(largest * (100 - percent) / 100).cast("int") + 1
     return sized.withColumn("partition", F.floor(F.log2(F.col("n_item") + F.lit(0.5))).cast("int")).withColumn(
@@ -53,11 +50,13 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -
     with temporary_stages(spark):
         known = stage(sketches(items, percent), "items")
         probes = known.select("item_id", "n_item", F.explode("sketch").alias("hash"))
-        hashed = docs.select(row_key("doc_id", "text").alias(_KEY), "doc_id", _set(F.col("text")).alias("hashes"))
+        keyed = docs.select(row_key("doc_id", "text").alias(_KEY), "doc_id", "text")
+        hashed = with_shingles(keyed, "text", "hashes").drop("text")
         single = hashed.select(_KEY, F.size("hashes").alias("n_doc"), F.explode("hashes").alias("hash"))
         hits = attach(single, "hash", probes, 32, "inner").filter(F.col("n_doc") * 100 >= F.col("n_item") * percent)
         hits = stage(hits.select(_KEY, "item_id").distinct(), "candidates")
-        again = hashed.join(hits.select(_KEY).distinct(), _KEY, "left_semi").select(_KEY, "doc_id", F.explode("hashes").alias("hash"))
+        again = with_shingles(keyed.join(hits.select(_KEY).distinct(), _KEY, "left_semi"), "text", "hashes")
+        again = again.select(_KEY, "doc_id", F.explode("hashes").alias("hash"))
         full = known.select("item_id", "n_item", F.explode("hashes").alias("hash"))
         shared = attach(again, "hash", full, 32, "inner").join(hits, [_KEY, "item_id"], "left_semi")
         counted = shared.groupBy(_KEY, "doc_id", "item_id", "n_item").agg(F.count_distinct("hash").alias("n_shared"))

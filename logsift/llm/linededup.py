@@ -141,7 +141,8 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def delete_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with edited ``text``, and ``n_lines``, ``n_deleted``, ``n_deleted_words``."""
     gone = later_copies(docs, min_words)
-    joined = docs.withColumn(_KEY, row_key("doc_id", "text")).join(gone, _KEY, "left")
+    # One plan at every size: which documents lose lines is not bounded.
+    joined = docs.withColumn(_KEY, row_key("doc_id", "text")).join(gone.hint("merge"), _KEY, "left")
     spoken = F.filter(_lines(F.col("text")), lambda x: F.size(words(x)) > 0)
     kept = F.filter(_lines(F.col("text")), lambda x, i: ~F.array_contains("_gone", i))
     count = F.coalesce(F.size("_gone"), F.lit(0))

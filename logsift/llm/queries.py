@@ -5,9 +5,84 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.llm import decontaminate, langid, linededup, mixing, neardup
+from logsift.llm import decontaminate, extract, langid, linededup, mixing, neardup, outliers, secrets, toolcalls, toxicity
 from logsift.llm.common import crc_mod, table
 
+# Tools of the derived calls; "forget" is unknown on purpose.
+TOOLS = {
+    "search": {
+        "type": "object",
+        "properties": {"query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 1, "maximum": 5}},
+        "required": ["query", "limit"],
+        "additionalProperties": False,
+    },
+    "translate": {"type": "object", "properties": {"text": {"type": "string"}, "lang": {"enum": ["de", "en"]}}, "required": ["lang", "text"]},
+    "summarise": {"type": "object", "properties": {"text": {"type": "string"}, "words": {"type": "integer"}}, "required": ["text", "words"]},
+}
+
+
+def derived_calls(turns: DataFrame) -> DataFrame:
+    """Every assistant turn as a call, most of them built on the one before; some are broken."""
+    name = F.get(F.array(*map(F.lit, [*TOOLS, "forget"])), (F.col("conv_id") + F.col("turn")).cast("int") % 4)
+    arguments = (
+        F.when(F.col("conv_id") % 17 == 0, F.lit('{"query": '))
+        .when(F.col("name") == "search", F.to_json(F.struct(F.col("text").alias("query"), F.col("turn").alias("limit"))))
+        .when(F.col("name") == "translate", F.to_json(F.struct("text", F.get(F.array(F.lit("en"), F.lit("de"), F.lit("xx")), F.col("conv_id").cast("int") % 3).alias("lang"))))
+        .otherwise(F.to_json(F.struct("text")))
+    )
+    label = lambda n: F.concat(F.lit("call-"), (F.col("turn") + n).cast("string"))
+    after = F.when((F.col("turn") >= 2) & (F.col("conv_id") % 5 != 0), label(-2)).when((F.col("turn") == 1) & (F.col("conv_id") % 23 == 0), label(2))
+    calls = turns.filter("role = 'assistant'").withColumn("name", name)
+    return calls.select("conv_id", label(0).alias("call_id"), "turn", "name", arguments.alias("arguments"), after.alias("after"))
+
+
+def derived_results(turns: DataFrame) -> DataFrame:
+    """Every user turn as the result of the call before it; a first turn answers nothing."""
+    number = F.concat(F.lit("call-"), (F.col("turn") - 1).cast("string"))
+    return turns.filter("role = 'user'").select("conv_id", number.alias("call_id"), "turn", F.col("text").alias("content"))
+
+
+def op1_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations")
+    linked = toolcalls.link(derived_calls(turns), derived_results(turns), TOOLS)
+    return linked.withColumn("errors", F.array_join("errors", "; "))
+
+
+OP1 = r"""
+WITH RECURSIVE named AS (
+ SELECT *, ['search', 'translate', 'summarise', 'forget'][(conv_id + turn) % 4 + 1] AS name FROM conversations WHERE role = 'assistant'),
+calls AS (
+ SELECT conv_id, 'call-' || turn AS call_id, turn, name, conv_id % 17 = 0 AS broken, text,
+  CASE WHEN turn >= 2 AND conv_id % 5 <> 0 THEN 'call-' || (turn - 2) WHEN turn = 1 AND conv_id % 23 = 0 THEN 'call-3' END AS wanted FROM named),
+known AS (SELECT c.*, p.call_id AS after FROM calls c LEFT JOIN calls p ON p.conv_id = c.conv_id AND p.call_id = c.wanted),
+depth AS (
+ SELECT conv_id, call_id, CAST(0 AS BIGINT) AS level FROM known WHERE after IS NULL
+ UNION ALL SELECT k.conv_id, k.call_id, d.level + 1 FROM known k JOIN depth d ON k.conv_id = d.conv_id AND k.after = d.call_id),
+results AS (SELECT conv_id, 'call-' || (turn - 1) AS call_id, turn AS result_turn, text AS content FROM conversations WHERE role = 'user')
+SELECT coalesce(k.conv_id, r.conv_id) AS conv_id, coalesce(k.call_id, r.call_id) AS call_id, coalesce(k.turn, r.result_turn) AS turn, k.name, d.level, k.after,
+ CASE WHEN k.call_id IS NULL THEN 'result without call' WHEN r.call_id IS NULL THEN 'call without result'
+  WHEN d.level IS NULL THEN 'cycle' ELSE 'linked' END AS status,
+ CAST(k.call_id IS NOT NULL AS BIGINT) AS n_calls, CAST(r.call_id IS NOT NULL AS BIGINT) AS n_results,
+ CASE WHEN k.call_id IS NULL THEN '' ELSE array_to_string(list_filter([
+  CASE WHEN broken THEN 'arguments: not valid JSON' END, CASE WHEN k.name = 'forget' THEN 'name: unknown tool' END,
+  CASE WHEN broken THEN NULL WHEN k.name = 'search' AND k.turn > 5 THEN '$.limit: above 5' WHEN k.name = 'search' AND k.turn < 1 THEN '$.limit: below 1' END,
+  CASE WHEN NOT broken AND k.name = 'search' AND k.text = '' THEN '$.query: too short' END,
+  CASE WHEN NOT broken AND k.name = 'translate' AND k.conv_id % 3 = 2 THEN '$.lang: not one of the allowed values' END,
+  CASE WHEN NOT broken AND k.name = 'summarise' THEN '$.words: missing' END], lambda x: x IS NOT NULL), '; ') END AS errors,
+ '{"arguments":' || CASE WHEN k.call_id IS NULL OR broken THEN 'null'
+   WHEN k.name = 'search' THEN '{"limit":' || k.turn || ',"query":' || CAST(to_json(k.text) AS VARCHAR) || '}'
+   WHEN k.name = 'translate' THEN '{"lang":"' || ['en', 'de', 'xx'][k.conv_id % 3 + 1] || '","text":' || CAST(to_json(k.text) AS VARCHAR) || '}'
+   ELSE '{"text":' || CAST(to_json(k.text) AS VARCHAR) || '}' END
+  || ',"call_id":"' || coalesce(k.call_id, r.call_id) || '","name":' || coalesce('"' || k.name || '"', 'null')
+  || ',"result":' || coalesce(CAST(to_json(r.content) AS VARCHAR), 'null') || '}' AS json
+FROM known k FULL JOIN results r ON r.conv_id = k.conv_id AND r.call_id = k.call_id
+LEFT JOIN depth d ON d.conv_id = k.conv_id AND d.call_id = k.call_id"""
+
+
+def op2_outliers(spark: SparkSession, sf: str) -> DataFrame:
+    judged = outliers.judge(table(spark, sf, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
 
 def op3_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
@@ -49,6 +124,10 @@ SELECT s.doc_id, s.n AS n_shingles, min(r.v) AS component_id, min(r.v) = s.doc_i
 FROM sizes s JOIN reached r ON r.u = s.doc_id GROUP BY s.doc_id, s.n"""
 
 
+def op5_extract(spark: SparkSession, sf: str) -> DataFrame:
+    return extract.extract(table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"))
 
@@ -75,6 +154,10 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM placed"""
 
 
+def op7_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     edited = linededup.delete_copies(table(spark, sf, "documents"))
     return edited.select("doc_id", "n_lines", "n_deleted", "n_deleted_words", "text")
@@ -103,6 +186,14 @@ SELECT d.doc_id, count(m.w) AS n_lines, count_if(coalesce(m.gone, false)) AS n_d
 FROM documents d LEFT JOIN marked m ON m.doc_id = d.doc_id GROUP BY d.doc_id, d.text"""
 
 
+def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    learnt = F.coalesce(crc_mod("doc_id", 5) != 0, F.lit(False))
+    index, vocabulary = toxicity.fit(docs, docs.filter(learnt), labels.filter(learnt), toxicity.Settings())
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    return toxicity.score(docs, index, vocabulary).select("doc_id", held_out, "score", "predicted", "evidence", "terms")
+
+
 def op10_langid(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     net = langid.fit(docs.filter(F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(False))))
@@ -111,9 +202,14 @@ def op10_langid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CASES = {
+    "op1_tool_calls": (op1_tool_calls, OP1),
+    "op2_outliers": (op2_outliers, None),
     "op3_decontaminate": (op3_decontaminate, OP3),
     "op4_near_dedup": (op4_near_dedup, OP4),
+    "op5_extract": (op5_extract, None),
     "op6_mix": (op6_mix, OP6),
+    "op7_secrets": (op7_secrets, None),
     "op8_line_dedup": (op8_line_dedup, OP8),
+    "op9_toxicity": (op9_toxicity, None),
     "op10_langid": (op10_langid, None),
 }
