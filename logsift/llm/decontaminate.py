@@ -52,11 +52,13 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -
         probes = known.select("item_id", "n_item", F.explode("sketch").alias("hash"))
         keyed = docs.select(row_key("doc_id", "text").alias(_KEY), "doc_id", "text")
         hashed = with_shingles(keyed, "text", "hashes").drop("text")
-        single = hashed.select(_KEY, F.size("hashes").alias("n_doc"), F.explode("hashes").alias("hash"))
+        # An outer explode and a count that is never null: else Spark infers filters on the hashes and evaluates
+        # them below the words, which are then split anew for every window.
+        single = hashed.select(_KEY, F.coalesce(F.size("hashes"), F.lit(0)).alias("n_doc"), F.explode_outer("hashes").alias("hash"))
         hits = attach(single, "hash", probes, 32, "inner").filter(F.col("n_doc") * 100 >= F.col("n_item") * percent)
         hits = stage(hits.select(_KEY, "item_id").distinct(), "candidates")
         again = with_shingles(keyed.join(hits.select(_KEY).distinct(), _KEY, "left_semi"), "text", "hashes")
-        again = again.select(_KEY, "doc_id", F.explode("hashes").alias("hash"))
+        again = again.select(_KEY, "doc_id", F.explode_outer("hashes").alias("hash"))
         full = known.select("item_id", "n_item", F.explode("hashes").alias("hash"))
         shared = attach(again, "hash", full, 32, "inner").join(hits, [_KEY, "item_id"], "left_semi")
         counted = shared.groupBy(_KEY, "doc_id", "item_id", "n_item").agg(F.count_distinct("hash").alias("n_shared"))

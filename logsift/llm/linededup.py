@@ -48,7 +48,8 @@ def positions(docs: DataFrame) -> DataFrame:
     """One row per line with a word: document, place among such lines, line number, name and words."""
     cells = F.transform(_lines(F.col("text")), lambda x, i: F.struct(i.alias("line"), x.alias("text"), F.size(words(x)).alias("words")))
     spoken = F.filter(cells, lambda c: c["words"] > 0)
-    rows = docs.select("doc_id", row_key("doc_id", "text").alias(_KEY), F.posexplode(spoken).alias("pos", "cell"))
+    rows = docs.select("doc_id", row_key("doc_id", "text").alias(_KEY), F.posexplode_outer(spoken).alias("pos", "cell"))
+    rows = rows.filter("pos IS NOT NULL")  # unlike the filter of an inner explode, not evaluated on the text
     return rows.select(_KEY, "doc_id", "pos", F.col("cell.line"), F.col("cell.words"), *_name(F.col("cell.text")))
 
 

@@ -100,7 +100,7 @@ grams AS (
 sizes AS (SELECT id, count(*) AS n_item FROM grams WHERE kind = 1 GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, s.n_item, count(*) AS n_shared, count(*) / s.n_item AS containment
 FROM grams d JOIN grams i ON d.gram = i.gram AND d.kind = 0 AND i.kind = 1 JOIN sizes s ON s.id = i.id
-GROUP BY ALL HAVING 100 * count(*) >= 75 * s.n_item"""
+GROUP BY d.id, i.id, s.n_item HAVING 100 * count(*) >= 75 * s.n_item"""
 
 
 def op4_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
