@@ -42,8 +42,11 @@ class Settings:
     bands: int = 32
     rows: int = 4
     # Signatures agree in about 0.75 of 128 places at the limit, with a deviation of 0.038.
-    least_agreement: float = 0.5
+    least_agreement: float = 0.55
     seed: int = 5
+    # Buckets up to this size are joined with themselves, larger ones compared in blocks.
+    small_bucket: int = 8
+    block: int = 512
 
 
 class _WordHashes(dict):
@@ -150,30 +153,94 @@ def _similar(settings: Settings):
         for one, other in batches:
             out = []
             for s, t in zip(one, other, strict=True):
-                x, y = of(s), of(t)
-                if min(len(x), len(y)) * 100 < settings.percent * max(len(x), len(y)):
-                    out.append(False)
-                    continue
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(100 * shared >= settings.percent * (len(x) + len(y) - shared))
+                out.append(_linked(of(s), of(t), settings.percent))
             yield pd.Series(out, dtype=bool)
 
     return similar
 
 
-def _confirm(pairs: DataFrame, keyed: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs (a, b) of keys whose sets are similar enough; ``pairs`` is a written table."""
-    needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    rows = stage(keyed.join(stage(needed, "needed"), "key", "left_semi").select("key", F.col("rep").alias("doc_id")), "rows")
+def _texts(keys: DataFrame, keyed: DataFrame, docs: DataFrame) -> DataFrame:
+    """One text of each of the ``keys``; a written table."""
+    rows = stage(keyed.join(stage(keys.distinct(), "needed"), "key", "left_semi").select("key", F.col("rep").alias("doc_id")), "rows")
     # The text of a representative: among rows of its id the one with its words.
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
     texts = _rekey(texts).join(rows, ["doc_id", "key"], "left_semi").dropDuplicates(["key"]).select("key", "text")
-    texts = stage(texts, "texts")
+    return stage(texts, "texts")
+
+
+def _confirm(pairs: DataFrame, keyed: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
+    """The pairs (a, b) of keys whose sets are similar enough; ``pairs`` is a written table."""
+    texts = _texts(pairs.select(F.col("a").alias("key")).union(pairs.select("b")), keyed, docs)
     one, other = (texts.select(F.col("key").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
     both = pairs.join(one, "a").join(other, "b")
     return both.filter(_similar(settings)("text_a", "text_b")).select("a", "b")
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
+        return False
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def _sets(texts: DataFrame, settings: Settings) -> DataFrame:
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler = Shingler(settings.size)
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at : at + 256]
+                yield pd.DataFrame({"key": part["key"], "set": [shingler.hashes(shingler.words(t)).tobytes() for t in part["text"]]})
+
+    return stage(texts.mapInPandas(build, "key binary, set binary"), "sets")
+
+
+def _merging_links(members: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) between different components inside large buckets, enough to merge all that are linked.
+
+    ``members``: bucket, size, key, component, bands, sig, set. A bucket is cut into
+    parts by hash and each pair of parts compared by one task. A pair that
+    shares several buckets is compared in that of the first band.
+    """
+    parts = F.ceil(F.col("size") / settings.block)
+    mine, other = F.pmod(F.xxhash64("key"), parts), F.explode(F.sequence(F.lit(0), parts - 1))
+    cells = members.withColumns({"_mine": mine, "_other": other})
+    cells = cells.withColumns({"low": F.least("_mine", "_other"), "high": F.greatest("_mine", "_other")}).drop("_other", "size")
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        bands, sig = np.stack(block["bands"].to_numpy()), np.frombuffer(b"".join(block["sig"]), np.uint8).reshape(len(block), -1)
+        names, component = np.unique(block["component"].to_numpy(), return_inverse=True)
+        side, keys = block["_mine"].to_numpy(), block["key"].to_numpy()
+        crossed, band = block["low"].iloc[0] != block["high"].iloc[0], int(np.argmax(bands[0] == block["bucket"].iloc[0]))
+        found = []
+        for at in range(0, len(block), 32):
+            rows = slice(at, at + 32)
+            fit = component[rows, None] != component[None]
+            fit &= (side[rows, None] < side[None]) if crossed else (np.arange(at, min(at + 32, len(block)))[:, None] < np.arange(len(block))[None])
+            i, j = np.nonzero(fit)
+            first = (bands[i + at] == bands[j]).argmax(axis=1) == band
+            i, j = i[first] + at, j[first]
+            agreed = (sig[i] == sig[j]).mean(axis=1)
+            found += [(-e, a, b) for e, a, b in zip(agreed, i, j, strict=True) if e >= settings.least_agreement]
+        parent, sets, links = list(range(len(names))), {}, []
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for _, a, b in sorted(found):
+            x, y = root(component[a]), root(component[b])
+            if x != y:
+                one, two = (sets.setdefault(k, np.frombuffer(block["set"].iloc[k], np.uint64)) for k in (a, b))
+                if _linked(one, two, settings.percent):
+                    parent[x] = y
+                    links.append((keys[a], keys[b]))
+        return pd.DataFrame(links, columns=["a", "b"])
+
+    return cells.groupBy("bucket", "low", "high").applyInPandas(compare, "a binary, b binary")
+
+
 def _rekey(rows: DataFrame) -> DataFrame:
     def key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -217,17 +284,22 @@ def link(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         edges = stage(edges.unionByName(tied), "edges")
         component = connected_components(edges)
         # What shares a bucket without being in one component yet.
-        placed = members.join(reps.select("key", "rep", "sig"), "key").join(component, F.col("rep") == F.col("node"), "left")
-        placed = stage(placed.select("bucket", "key", "sig", F.coalesce("component", "rep").alias("component")), "placed")
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        placed = stage(placed.join(stage(mixed.filter("low < high").select("bucket"), "mixed"), "bucket", "left_semi"), "placed")
-        one, other = (placed.select("bucket", F.col("key").alias(k), F.col("sig").alias(f"sig_{k}"), F.col("component").alias(f"in_{k}")) for k in "ab")
-        rest = one.join(other, "bucket").filter("in_a < in_b").filter(_agree(settings)("sig_a", "sig_b"))
-        rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        rest = stage(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-        if not rest.isEmpty():
-            more = _edges(_confirm(rest, reps, docs, settings), reps)
-            component = connected_components(edges.unionByName(more))
+        placed = members.join(reps.select("key", "rep"), "key").join(component, F.col("rep") == F.col("node"), "left")
+        placed = stage(placed.select("bucket", "key", F.coalesce("component", "rep").alias("component")), "placed")
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
+        mixed = stage(mixed.filter("low < high").select("bucket", "size"), "mixed")
+        placed = stage(placed.join(mixed, "bucket"), "placed")
+        few = placed.filter(F.col("size") <= settings.small_bucket)
+        one, other = (few.select("bucket", F.col("key").alias(k), F.col("component").alias(f"in_{k}")) for k in "ab")
+        rest = one.join(other, "bucket").filter("in_a < in_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        rest = rest.join(pairs, ["a", "b"], "left_anti").join(sigs[0], "a").join(sigs[1], "b")
+        rest = stage(rest.filter(_agree(settings)("sig_a", "sig_b")).select("a", "b"), "rest")
+        more = stage(_confirm(rest, reps, docs, settings), "confirmed")
+        many = stage(placed.filter(F.col("size") > settings.small_bucket), "many")
+        sets = _sets(_texts(many.select("key"), reps, docs), settings)
+        merging = _merging_links(many.join(reps.select("key", "bands", "sig"), "key").join(sets, "key"), settings)
+        edges = stage(edges.unionByName(_edges(more.unionByName(stage(merging, "merging")), reps)), "edges")
+        component = connected_components(edges)
         classes = first.join(component, F.col("rep") == F.col("node"), "left")
         classes = stage_at(classes.select("key", "rep", F.coalesce("component", "rep").alias("component")), out)
     linked = signed.select("doc_id", "key", "n_shingles").join(classes, "key", "left")
