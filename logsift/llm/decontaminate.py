@@ -57,7 +57,7 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -
         single = hashed.select(_KEY, F.coalesce(F.size("hashes"), F.lit(0)).alias("n_doc"), F.explode_outer("hashes").alias("hash"))
         hits = attach(single, "hash", probes, 32, "inner").filter(F.col("n_doc") * 100 >= F.col("n_item") * percent)
         hits = stage(hits.select(_KEY, "item_id").distinct(), "candidates")
-        again = with_shingles(keyed.join(hits.select(_KEY).distinct(), _KEY, "left_semi"), "text", "hashes")
+        again = with_shingles(attach(keyed, _KEY, hits.select(_KEY).distinct(), 64, "left_semi"), "text", "hashes")
         again = again.select(_KEY, "doc_id", F.explode_outer("hashes").alias("hash"))
         full = known.select("item_id", "n_item", F.explode("hashes").alias("hash"))
         shared = attach(again, "hash", full, 32, "inner").join(hits, [_KEY, "item_id"], "left_semi")
@@ -74,5 +74,5 @@ def contamination(docs: DataFrame, items: DataFrame, percent: int = PERCENT) ->
 
 def without_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the rows whose text contains an item."""
-    gone = stage(contained_items(docs, items, percent).select(_KEY).distinct(), "leaks")
-    return docs.withColumn(_KEY, row_key("doc_id", "text")).join(gone, _KEY, "left_anti").drop(_KEY)
+    gone = contained_items(docs, items, percent).select(_KEY).distinct()
+    return attach(docs.withColumn(_KEY, row_key("doc_id", "text")), _KEY, gone, 64, "left_anti").drop(_KEY)
