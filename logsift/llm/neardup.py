@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import FOLD, WORDS
+from logsift.llm.common import FOLD, WORDS, attach
 from logsift.llm.components import connected_components
 from logsift.staging import scratch_path, stage, stage_at, temporary_stages
 
@@ -163,7 +163,7 @@ def _texts(keys: DataFrame, keyed: DataFrame, docs: DataFrame) -> DataFrame:
     """One text of each of the ``keys``; a written table."""
     rows = stage(keyed.join(stage(keys.distinct(), "needed"), "key", "left_semi").select("key", F.col("rep").alias("doc_id")), "rows")
     # The text of a representative: among rows of its id the one with its words.
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = attach(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", rows.select("doc_id").distinct(), 24, "left_semi")
     texts = _rekey(texts).join(rows, ["doc_id", "key"], "left_semi").dropDuplicates(["key"]).select("key", "text")
     return stage(texts, "texts")
 
@@ -310,5 +310,5 @@ def link(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 def keep_first(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``docs`` without the documents that are linked to one of smaller id."""
-    gone = stage(link(docs, settings).filter("NOT kept").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = link(docs, settings).filter("NOT kept").select("doc_id").distinct()
+    return attach(docs, "doc_id", gone, 24, "left_anti")
