@@ -1,7 +1,7 @@
 """Deletes later copies of line runs that repeat in the corpus.
 
 The corpus is the sequence of its lines with a word, document after document in
-the order of ``doc_id`` (nulls last). Its suffixes are kept in groups of equal
+the order of ``doc_id`` (nulls last, different texts of one id by a hash). Its suffixes are kept in groups of equal
 beginnings, as in a suffix array, and the groups are refined by distributed
 prefix doubling: the group of the first 2^(k+1) lines is named by the groups
 of the two halves. Suffixes alone in their group are retired after each

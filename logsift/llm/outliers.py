@@ -45,8 +45,8 @@ _MODEL = [*(f"m{i}" for i in range(P)), *(f"w{i}{j}" for i, j in _PAIRS), "logde
 class Settings:
     fraction: float = 0.75
     min_rows: int = 60
-    # A distance few regular documents reach, in place of a chi-square quantile: statistics of text have long tails.
-    cutoff: float = 60.0
+    # The 0.9999 quantile of the chi-square distribution with five degrees of freedom.
+    cutoff: float = 25.74
     most_steps: int = 12
 
 
@@ -176,9 +176,9 @@ def estimates(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
     best = stage(best, "best")
 
     def scaled(fitted: DataFrame) -> DataFrame:
-        """With the factor that brings the median distance to its chi-square value."""
+        """With the factor that brings a larger median distance to its chi-square value; the floors may make it smaller."""
         ranked = attach(rows, "_group", fitted, 256, "inner").groupBy("_group").agg(F.percentile(_rank(), F.lit(0.5)).alias("middle"))
-        factor = F.greatest((F.exp(F.col("middle") / 1000) - 1) / CHI2_MEDIAN, F.lit(1e-3))
+        factor = F.greatest((F.exp(F.col("middle") / 1000) - 1) / CHI2_MEDIAN, F.lit(1.0))
         return stage(fitted.join(ranked, "_group").withColumn("scale", factor).drop("middle"), "scaled")
 
     near = attach(rows, "_group", scaled(best), 256, "inner").filter(_distance() <= CHI2_975 * F.col("scale"))
