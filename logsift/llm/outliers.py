@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsift.llm.common import WORD, attach, words
+from logsift.llm.common import BROADCAST_BYTES, WORD, attach, words
 from logsift.staging import scratch_path, stage, stage_at, temporary_stages
 
 FEATURES = ["word_length", "symbols", "lines", "repeats", "length"]
@@ -47,7 +47,7 @@ class Settings:
     min_rows: int = 60
     # The 0.9999 quantile of the chi-square distribution with five degrees of freedom.
     cutoff: float = 25.74
-    most_steps: int = 12
+    most_steps: int = 8
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -160,12 +160,18 @@ def estimates(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     ``rows`` is a written table of ``_group`` and the statistics ``x``.
     """
-    keys, model, last = ["_group", "start"], _starts(rows), None
+    keys, model, last = ["_group", "start"], stage(_starts(rows), "model"), None
+    # Two models of at most 512 bytes a group, counted once.
+    fits = model.count() * 512 <= BROADCAST_BYTES
+
+    def under(models: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(models) if fits else models, "_group")
+
     for _ in range(settings.most_steps):
-        ranked = attach(rows, "_group", model, 256, "inner").withColumn("rank", _rank())
+        ranked = under(model).withColumn("rank", _rank())
         cut = ranked.groupBy(*keys).agg(F.percentile("rank", F.lit(settings.fraction)).alias("cut"))
         both = stage(model.join(cut, keys), "steps")
-        near = attach(rows, "_group", both, 256, "inner").filter(_rank() <= F.col("cut"))
+        near = under(both).filter(_rank() <= F.col("cut"))
         sums = stage(near.groupBy(*keys).agg(*_sums()), "sums")
         model = stage(_model(_moments(sums, keys), keys), "model")
         mark = tuple(sums.agg(F.count("*"), F.bit_xor(F.xxhash64(*keys, *_SUMS))).first())
@@ -177,11 +183,11 @@ def estimates(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     def scaled(fitted: DataFrame) -> DataFrame:
         """With the factor that brings a larger median distance to its chi-square value; the floors may make it smaller."""
-        ranked = attach(rows, "_group", fitted, 256, "inner").groupBy("_group").agg(F.percentile(_rank(), F.lit(0.5)).alias("middle"))
+        ranked = under(fitted).groupBy("_group").agg(F.percentile(_rank(), F.lit(0.5)).alias("middle"))
         factor = F.greatest((F.exp(F.col("middle") / 1000) - 1) / CHI2_MEDIAN, F.lit(1.0))
         return stage(fitted.join(ranked, "_group").withColumn("scale", factor).drop("middle"), "scaled")
 
-    near = attach(rows, "_group", scaled(best), 256, "inner").filter(_distance() <= CHI2_975 * F.col("scale"))
+    near = under(scaled(best)).filter(_distance() <= CHI2_975 * F.col("scale"))
     return scaled(stage(_model(_moments(near.groupBy("_group").agg(*_sums()), ["_group"]), ["_group"]), "reweighted"))
 
 
