@@ -11,6 +11,12 @@ def dot(left: Column, right: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
 
+def is_finite(vector: Column) -> Column:
+    """Whether a vector has values and only finite ones; never null."""
+    plain = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return F.coalesce(plain & (F.size(vector) > 0), F.lit(False))
+
+
 def norm(vector: Column) -> Column:
     return F.sqrt(dot(vector, vector))
 

@@ -75,15 +75,18 @@ def index_ordered(
     Each source is cut into chunks of the sequence, so a source with a third of
     all rows is spread like any other. One shuffle: rows are ranked inside their
     chunk, and the offsets join reuses that partitioning. The chunks are counted
-    when this is called.
+    when this is called. Null sources come first, and so do null sequences in
+    their source, in no fixed order.
     """
     keyed = lines.withColumn("_chunk", F.expr(f"`{sequence}` div {chunk}L"))
-    counts = keyed.groupBy(source, "_chunk").agg(F.count(F.lit(1)).alias("_rows"))
-    offsets = _offsets(counts, [source, "_chunk"], "_rows").drop("_rows")
-    inside = Window.partitionBy(source, "_chunk").orderBy(sequence)
+    # As a struct the pair is never null, so null keys meet their offset.
+    keyed = keyed.withColumn("_part", F.struct(F.col(source).alias("source"), "_chunk"))
+    counts = keyed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    offsets = _offsets(counts, ["_part"], "_rows").drop("_rows")
+    inside = Window.partitionBy("_part").orderBy(sequence)
     return (
         keyed.withColumn("_rank", F.row_number().over(inside) - 1)
-        .join(offsets, [source, "_chunk"])
+        .join(offsets, "_part")
         .withColumn("index", F.col("_offset") + F.col("_rank"))
-        .drop("_chunk", "_rank", "_offset")
+        .drop("_part", "_chunk", "_rank", "_offset")
     )

@@ -63,6 +63,8 @@ _TOTAL = "(tn + fp + fn + tp)"
 
 
 def _class(label: int) -> dict[str, str]:
+    if label not in CLASSES:  # labels are coerced to the two classes, so no other occurs
+        return {"hit": "0L", "true": "0L", "pred": "0L"}
     hit, missed, false = ("tp", "fn", "fp") if label == 1 else ("tn", "fp", "fn")
     return {"hit": hit, "true": f"({hit} + {missed})", "pred": f"({hit} + {false})"}
 
@@ -210,7 +212,8 @@ def metrics_averaged(
     zero_division: float = 0.0,
     positive_label: Any = True,
 ) -> DataFrame:
-    """One row per kind of average: precision, recall and F1."""
+    """One row per kind of average: precision, recall and F1, over both classes unless ``labels`` says otherwise."""
+    labels = labels or CLASSES
     rows = [
         _row(f"'average', '{kind}'", [_averaged(m, kind, pos_label, zero_division, labels) for m in MEASURES])
         for kind in averages

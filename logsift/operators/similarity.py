@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logsift.functions.vectors import is_finite
 from logsift.operators.skew import join_unique
 
 HIT_SCHEMA = "qid long, sid long, sim double"
@@ -33,12 +34,15 @@ _DIGITS = 12
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """A list column as rows of unit length (zero rows stay zero)."""
+    """A list column as rows of unit length; zero rows stay zero, null and non-finite ones become zero."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if len(array) == 0:
-        return np.zeros((0, 0))
+    held = array.is_valid().to_numpy(zero_copy_only=False)
+    if not held.any():
+        return np.zeros((len(array), 0))
     values = array.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    rows = values.reshape(len(array), -1)
+    values = values.reshape(int(held.sum()), -1)
+    rows = np.zeros((len(array), values.shape[1]))
+    rows[held] = np.where(np.isfinite(values).all(axis=1, keepdims=True), values, 0.0)
     length = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(length == 0, 1.0, length)
 
@@ -201,8 +205,10 @@ def top_matches(
     should be stored tables.
     """
     spark = queries.sparkSession
-    queries, store = queries.select("qid", "qvec"), store.select("sid", "svec")
-    n_query, n_store = queries.count(), store.count()  # from the Parquet footers of stored tables
+    # A broken vector is similar to nothing, and must not hide others.
+    queries = queries.select("qid", "qvec").where(is_finite(F.col("qvec")))
+    store = store.select("sid", "svec").where(is_finite(F.col("svec")))
+    n_query, n_store = queries.count(), store.count()
     if n_query == 0 or n_store == 0:
         return spark.createDataFrame([], HIT_SCHEMA + ", rank int")
     dim = _dimension(store)
@@ -258,7 +264,7 @@ def top_matches(
 
 
 def _nonzero(vector: str) -> Column:
-    return F.exists(vector, lambda x: x != 0)
+    return is_finite(F.col(vector)) & F.exists(vector, lambda x: x != 0)
 
 
 def held_in_blocks(
@@ -309,7 +315,7 @@ def search_batch(queries: DataFrame, store: DataFrame, k: int = 1, **options) ->
         F.col("rank"), F.col("sid").alias("id"), F.col("sim").alias("distance"), F.col("entity")
     )
     lists = (
-        join_unique(found, fields, "sid", broadcast_rows=1000)  # texts of up to 64 KiB
+        join_unique(found, fields, "sid")
         .groupBy("qid")
         .agg(F.sort_array(F.collect_list(hit)).alias("_hits"))
         .withColumn("hits", F.transform("_hits", lambda h: h.dropFields("rank")))

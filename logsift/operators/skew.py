@@ -10,19 +10,25 @@ from logsift.staging import stage
 SALTS = 32
 
 
-def join_unique(facts: DataFrame, unique: DataFrame, key: str, broadcast_rows: int = 500_000) -> DataFrame:
+def _bytes(rows: DataFrame) -> int:
+    """What the rows take, long texts included."""
+    width = F.octet_length(F.to_json(F.struct(*rows.columns))).cast("long")
+    return rows.agg(F.sum(width)).first()[0] or 0
+
+
+def join_unique(facts: DataFrame, unique: DataFrame, key: str, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """Inner join of ``facts`` to the rows of ``unique`` it needs, one per ``key``.
 
-    A counted small table is broadcast, and no fact moves. Of a larger one only
+    A table of few bytes is broadcast, and no fact moves. Of a larger one only
     the needed rows are taken: distinct keys first, combined before the shuffle.
     If these are too many as well, the facts are salted, so that a hot key is
     spread over many tasks.
     """
-    if unique.count() <= broadcast_rows:
+    if _bytes(unique) <= broadcast_bytes:
         return facts.join(F.broadcast(unique), key)
     keys = facts.select(key).distinct()
     needed = stage(unique.join(keys, key, "left_semi"), "needed")
-    if needed.count() <= broadcast_rows:
+    if _bytes(needed) <= broadcast_bytes:
         return facts.join(F.broadcast(needed), key)
     salt = F.pmod(F.xxhash64(*facts.columns), F.lit(SALTS)).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))

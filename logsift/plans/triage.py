@@ -7,13 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logsift.functions.vectors import is_finite
 from logsift.operators.batching import assign_batches, batch_text, collect_entries
 from logsift.operators.classify import Classifier, classify_batches, rule_results
 from logsift.operators.embed import HASHED_ENCODER, hashed_embedding
 from logsift.operators.leaders import HEAD_ROWS, follow, select_leaders
 from logsift.operators.similarity import top_matches
 from logsift.operators.skew import SALTS, join_unique
-from logsift.schemas import DEFAULT_BATCH_SIZE, DEFAULT_REUSE_THRESHOLD, MAX_STORED_TEXT
+from logsift.schemas import DEFAULT_BATCH_SIZE, DEFAULT_REUSE_THRESHOLD
 from logsift.sources.store import VectorStore
 from logsift.staging import stage
 
@@ -81,16 +82,14 @@ def triage_with_reuse(
     """What a loop over the batches would do that stores each newly classified one.
 
     ``batches`` has ``batch_id``, ``entries`` and ``vec``. Only leaders are
-    classified. A leader whose classification fails, or whose text
-    is too long, is never stored; then the leaders are chosen again without it
+    classified, however long their text. A leader whose classification fails is never stored; then the leaders are chosen again without it
     and only the new ones are classified, until no leader fails.
     """
-    size = F.octet_length(batch_text(F.col("entries"))).alias("bytes")
-    batches = stage(batches.select("batch_id", "entries", "vec", size), "batches")
+    batches = stage(batches.select("batch_id", "entries", "vec"), "batches")
     threshold = options.threshold
     hits = stage(stored_verdicts(batches, store, threshold), "hits")
     missed = batches.join(hits.select("batch_id"), "batch_id", "left_anti")
-    candidates = missed.where(F.col("bytes") <= MAX_STORED_TEXT).select(F.col("batch_id").alias("ord"), "vec")
+    candidates = missed.select(F.col("batch_id").alias("ord"), "vec")
 
     verdicts, width = None, 1
     while True:
@@ -105,7 +104,8 @@ def triage_with_reuse(
         width *= 4
 
     result = _resolve(batches, store, hits, leaders, verdicts, options)
-    text = batches.select(
+    # A broken vector is never stored.
+    text = batches.where(is_finite(F.col("vec"))).select(
         "batch_id", batch_text(F.col("entries")).alias("raw_text"), F.col("vec").alias("vector")
     )
     names = verdicts.select(
@@ -115,7 +115,8 @@ def triage_with_reuse(
         F.lit(options.embedder_name).cast("string").alias("embedder_model_name"),
     )
     chosen = leaders.select(F.col("ord").alias("batch_id"))
-    return ReuseResult(result, text.join(names.join(chosen, "batch_id", "left_semi"), "batch_id"))
+    new_rows = stage(text.join(names.join(chosen, "batch_id", "left_semi"), "batch_id"), "new_rows")
+    return ReuseResult(result, new_rows)
 
 
 def _classify_new(batches, wanted, verdicts, classifier) -> DataFrame:
@@ -203,14 +204,13 @@ def _resolve(batches, store, hits, leaders, verdicts, options) -> DataFrame:
         F.lit("classified").alias("origin"), none.cast("long").alias("matched_id"),
         none.cast("double").alias("similarity"), "error",
     )
-    # Left over: classification failed, or the text is too long to be stored.
+    # Left over: classification failed.
     unresolved = closest.where(~F.col("_stored") & F.col("leader").isNull()).select("batch_id")
     names = own.select("batch_id", "model_name", "error")
-    too_long = F.lit(f"text longer than {MAX_STORED_TEXT} bytes")
     failed = unresolved.join(names, "batch_id", "left").select(
         "batch_id", F.lit(True).alias("error_found"), "model_name", embedder.alias("embedder_model_name"),
         F.lit("failed").alias("origin"), none.cast("long").alias("matched_id"),
-        none.cast("double").alias("similarity"), F.coalesce("error", too_long).alias("error"),
+        none.cast("double").alias("similarity"), "error",
     )
     union = from_store
     for part in (from_run, classified, failed):

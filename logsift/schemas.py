@@ -50,6 +50,4 @@ DEFAULT_BATCH_SIZE = 100
 DEFAULT_POLL_SECONDS = 5.0
 DEFAULT_REUSE_THRESHOLD = 0.8
 DEFAULT_DIMENSION = 384
-MAX_STORED_TEXT = 65535
-MAX_STORED_NAME = 256
 DEFAULT_LABEL_KEY = "error_found"

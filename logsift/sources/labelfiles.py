@@ -120,11 +120,15 @@ def read_json_labels(
     whole = spark.read.text(path, wholetext=True)
     name = key or default_key
     shape = parse_records(whole, "value", literals=False).select(
-        F.col("record").isNull().alias("broken"), has_label_shape(F.col("record"), name).alias("shaped")
+        F.col("record").isNull().alias("broken"),
+        has_label_shape(F.col("record"), name).alias("shaped"),
+        (~kind(member(F.col("record"), name)).startswith("ARRAY")).alias("single"),
     )
     state = shape.first()
     if state is None or state["broken"]:
         raise ValueError(f"{path} is not a JSON document")
+    if state["single"]:
+        raise ValueError(f"{path} holds no list under {name!r}")
     if not state["shaped"]:
         return read_text_labels(spark, path, key, default_key)
     labels = document_labels(whole, "value", name)

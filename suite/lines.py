@@ -195,6 +195,13 @@ def index_lines(spark, sf):
     return _indexed(spark, sf).select("index", "source_file", "line_no")
 
 
+def index_null_sources(spark, sf):
+    """Lines without a source come first and keep the index dense."""
+    source = F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("app-"), (F.col("user_id") % 3).cast("string")))
+    rows = table(spark, sf, "events").select(source.alias("source_file"), F.col("event_id").alias("line_no"))
+    return index_ordered(rows).select("index", "source_file", "line_no")
+
+
 def index_lines_small_chunks(spark, sf):
     return _indexed(spark, sf, chunk=64).select("index", "source_file", "line_no")
 
@@ -404,6 +411,11 @@ CASES = {
         f"SELECT index, template, error_category FROM ({labelled(INDEXED)})",
     ),
     "index_lines": (index_lines, f"SELECT index, source_file, line_no FROM ({INDEXED})"),
+    "index_null_sources": (
+        index_null_sources,
+        """SELECT row_number() OVER (ORDER BY source_file NULLS FIRST, line_no) - 1 AS index, source_file, line_no
+        FROM (SELECT CASE WHEN event_id % 3 <> 0 THEN concat('app-', user_id % 3) END AS source_file, event_id AS line_no FROM events)""",
+    ),
     "index_lines_small_chunks": (
         index_lines_small_chunks, f"SELECT index, source_file, line_no FROM ({INDEXED})",
     ),

@@ -164,9 +164,14 @@ def metrics_averaged(spark, sf):
 
 
 def metrics_one_sided(spark, sf):
-    """Only one class occurs on either side, so the macro average has one class."""
-    pairs = lines(spark, sf).select(F.lit(False).alias("y_true"), F.lit(0).alias("y_pred"))
-    return _rounded(metrics.metrics_averaged(pairs, zero_division=1.0))
+    """No true positive occurs: class 1 counts in the averages all the same."""
+    pairs = lines(spark, sf).select(F.lit(False).alias("y_true"), F.col("raw_text").contains("timeout").alias("y_pred"))
+    return _rounded(metrics.metrics_averaged(pairs, zero_division=0.0))
+
+
+def metrics_wider_labels(spark, sf):
+    """A label that cannot occur has no support and the value for empty ratios."""
+    return _rounded(metrics.metrics_by_class(quality_pairs(spark, sf), labels=[0, 1, 2], zero_division=0.0))
 
 
 def report_rows(spark, sf):
@@ -374,8 +379,16 @@ CASES = {
     "metrics_averaged": (metrics_averaged, _AVERAGES),
     "metrics_one_sided": (
         metrics_one_sided,
-        """SELECT unnest(['binary', 'micro', 'macro', 'weighted']) AS average, CAST(1 AS DOUBLE) AS precision,
-        CAST(1 AS DOUBLE) AS recall, CAST(1 AS DOUBLE) AS f1_score""",
+        f"""WITH c AS (SELECT count(*) AS n, count_if(raw_text NOT LIKE '%timeout%') AS tn FROM ({LINES}))
+        SELECT 'binary' AS average, CAST(0 AS DOUBLE) AS precision, CAST(0 AS DOUBLE) AS recall, CAST(0 AS DOUBLE) AS f1_score
+        UNION ALL SELECT 'micro', round(tn / n, 9), round(tn / n, 9), round(tn / n, 9) FROM c
+        UNION ALL SELECT 'macro', 0.5, round(tn / n / 2, 9), round(2 * tn / (n + tn) / 2, 9) FROM c
+        UNION ALL SELECT 'weighted', 1.0, round(tn / n, 9), round(2 * tn / (n + tn), 9) FROM c""",
+    ),
+    "metrics_wider_labels": (
+        metrics_wider_labels,
+        f"""SELECT label, precision, recall, f1_score, support FROM (SELECT label, {_ROUND}, support FROM ({class_rows(QUALITY_PAIRS)}))
+        UNION ALL SELECT 2, 0.0, 0.0, 0.0, 0""",
     ),
     "report_rows": (report_rows, report(LINE_PAIRS)),
     "report_one_label": (report_one_label, _ONE_LABEL),

@@ -104,6 +104,15 @@ def knn(spark, sf):
     return found.select("qid", "rank", "sid", F.round("sim", 6).alias("sim"))
 
 
+def knn_with_broken_vectors(spark, sf):
+    """Every tenth stored vector holds a NaN: it is not found, and hides no other."""
+    v = vectors(spark, sf)
+    broken = F.concat(F.array(F.lit(float("nan")).cast("float")), F.slice("embedding", 2, F.size("embedding") - 1))
+    stored = v.select(F.col("vec_id").alias("sid"), F.when(F.col("vec_id") % 10 == 0, broken).otherwise(F.col("embedding")).alias("svec"))
+    found = top_matches(v.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")), stored, k=3)
+    return found.select("qid", "rank", "sid", F.round("sim", 6).alias("sim"))
+
+
 def knn_threshold(spark, sf):
     """All pairs of cells that can reach the threshold, several blocks and pivots."""
     v = vectors(spark, sf)
@@ -176,6 +185,20 @@ def reuse_new_rows(spark, sf):
     return store.read().select("id", "raw_text", "is_error", "model_name", "embedder_model_name")
 
 
+def reuse_long_batches(spark, sf):
+    """Batches of more than 65,535 bytes are classified and stored like any other."""
+    text = F.repeat("text", (F.lit(70000) / F.length("text")).cast("int") + 1)
+    docs = table(spark, sf, "documents").where("length(text) > 0")
+    entry = F.struct(F.col("doc_id").alias("index"), F.col("source").alias("source_file"), text.alias("raw_text"))
+    batches = docs.select(F.col("doc_id").alias("batch_id"), F.array(entry).alias("entries"), F.array(F.lit(1.0), F.col("doc_id").cast("double")).alias("vec"))
+    store = VectorStore(spark, scratch_path(spark, "store"))
+    # No similarity reaches this threshold.
+    verdicts = triage_and_store(batches, store, options=ReuseOptions(1.5, "none"), clear_store=True)
+    number = F.regexp_extract("raw_text", r"^\[(\d+)\]", 1).cast("long")
+    kept = store.read().select(number.alias("batch_id"), F.octet_length("raw_text").alias("stored_bytes"))
+    return verdicts.select("batch_id", "origin", "error_found").join(kept, "batch_id", "left")
+
+
 def reuse_lines(spark, sf):
     """Log lines end to end: batches, vectors, leaders, verdicts."""
     store = VectorStore(spark, scratch_path(spark, "store"))
@@ -332,6 +355,11 @@ CASES = {
         f"""SELECT ord AS qid, CAST(rank AS INTEGER) AS rank, id AS sid, round(sim, 6) AS sim
         FROM ({top_sql(_V, _V.replace('AS ord', 'AS id'), 3)})""",
     ),
+    "knn_with_broken_vectors": (
+        knn_with_broken_vectors,
+        f"""SELECT ord AS qid, CAST(rank AS INTEGER) AS rank, id AS sid, round(sim, 6) AS sim
+        FROM ({top_sql(_V, _V.replace('AS ord', 'AS id') + ' WHERE vec_id % 10 <> 0', 3)})""",
+    ),
     "knn_threshold": (
         knn_threshold,
         f"""SELECT ord AS qid, CAST(rank AS INTEGER) AS rank, id AS sid, round(sim, 6) AS sim
@@ -372,6 +400,13 @@ CASES = {
          error_found, model_name, embedder_model_name
         FROM ({reuse_sql(_BATCH_ROWS, _STORE_SQL, THRESHOLD, 'table-encoder')}) WHERE origin = 'classified'""",
     ),
+    "reuse_long_batches": (
+        reuse_long_batches,
+        """WITH b AS (SELECT doc_id, concat('[', doc_id, '] ', repeat(text, CAST(floor(70000 / length(text)) AS INTEGER) + 1)) AS t
+         FROM documents WHERE length(text) > 0)
+        SELECT doc_id AS batch_id, 'classified' AS origin, regexp_matches(upper(t), 'ERROR|FATAL|CRITICAL|EXCEPTION|FAILED|TIMEOUT|REFUSED')
+         OR contains(t, ' 500 ') OR regexp_matches(t, 'HTTP/[^\\n]{3}" 5\\d\\d') AS error_found, CAST(strlen(t) AS INTEGER) AS stored_bytes FROM b""",
+    ),
     "reuse_lines": (reuse_lines, reuse_sql(_LINE_ROWS, _NO_STORE, LINE_THRESHOLD, "keyword-counts")),
     "reuse_lines_failures": (
         reuse_lines_failures,

@@ -24,7 +24,7 @@ def test_hot_key_join_keeps_every_row(spark, limit):
         F.col("id").alias("row"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("key")
     )
     unique = spark.range(40).select(F.col("id").alias("key"), (F.col("id") * 10).alias("value"))
-    joined = join_unique(facts, unique, "key", broadcast_rows=limit)
+    joined = join_unique(facts, unique, "key", broadcast_bytes=limit)
     got = sorted((r["row"], r["key"], r["value"]) for r in joined.select("row", "key", "value").collect())
     keys = [(i, 7 if i % 3 == 0 else i % 50) for i in range(600)]
     assert got == [(i, k, k * 10) for i, k in keys if k < 40]

@@ -13,7 +13,7 @@ from logsift.operators.embed import encoder_embedding, hashed_embedding
 from logsift.operators.leaders import follow, select_leaders
 from logsift.operators.similarity import search, search_batch, top_matches
 from logsift.plans.triage import ReuseOptions, triage_and_store, triage_with_reuse
-from logsift.schemas import MAX_STORED_TEXT, STORE
+from logsift.schemas import STORE
 from logsift.sources.store import VectorStore
 
 
@@ -147,11 +147,11 @@ def test_store_ids_names_and_limits(spark, tmp_path):
     assert got == [(1, "three", "m", "e"), (2, "five", None, None), (3, "five", None, None)]
     hit = search([2.0, 0.1], store.read()).first()
     assert (hit["rank"], hit["id"], hit["entity"]["raw_text"]) == (1, 2, "five")
-    too_long = [(1, [1.0, 0.0], "x" * (MAX_STORED_TEXT + 1), True, None, None)]
-    with pytest.raises(Exception, match="longer than 65535 bytes"):
-        store.insert(spark.createDataFrame(too_long, names))
+    long = [(1, [1.0, 0.0], "x" * 70_000, True, "m" * 300, None)]
+    store.insert(spark.createDataFrame(long, names))
     store.create_if_missing()
-    assert store.read().count() == 3
+    last = store.read().orderBy("id").collect()[-1]
+    assert (last["id"], len(last["raw_text"]), len(last["model_name"])) == (4, 70_000, 300)
     store.clear()
     assert store.read().count() == 0
 
@@ -167,7 +167,7 @@ def loop_reuse(rows, texts, stored, threshold, verdict, fails):
         best = max(range(len(sims)), key=lambda j: (sims[j], -j), default=None)
         if best is not None and sims[best] >= threshold:
             out.append((i, table[best][1], table[best][2], "stored" if table[best][2] == "old" else "run", table[best][3]))
-        elif fails(i) or len(texts[i].encode()) > MAX_STORED_TEXT:
+        elif fails(i):
             out.append((i, True, "new", "failed", None))
         else:
             table.append((u, verdict(i), "new", i))
