@@ -13,7 +13,7 @@ needless fractions, and other characters than quotes, backslashes and controls a
 
 Cases: rows without a conversation or call identifier are left out. A call without result, a result without call, an unknown tool,
 arguments that are null, no JSON object or hold a repeated key are reported in ``status`` and ``errors``; ``after`` naming no call
-counts as no dependency and is reported. Columns beyond those named are ignored.
+counts as no dependency and is null in the result. Columns beyond those named are ignored.
 """
 
 from __future__ import annotations
@@ -159,8 +159,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     answers = answers.select(*KEY, F.col("answer.turn").alias("result_turn"), F.col("answer.content").alias("content"), "n_results")
     named = known.select("conv_id", F.col("call_id").alias("after"), F.lit(True).alias("there"))
     parents = known.select(*KEY, "after").join(named, ["conv_id", "after"], "left").withColumn("after", F.when(F.col("there"), F.col("after")))
-    depth = levels(stage(parents.select(*KEY, "after"), "parents"))
-    both = known.join(depth, KEY).join(answers.hint("shuffle_hash"), KEY, "full")
+    parents = stage(parents.select(*KEY, "after"), "parents")
+    both = known.drop("after").join(parents, KEY).join(levels(parents), KEY).join(answers.hint("shuffle_hash"), KEY, "full")
     status = (
         F.when(F.col("n_calls").isNull(), "result without call")
         .when(F.col("n_results").isNull(), "call without result")

@@ -123,10 +123,12 @@ class Index:
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best rising step function by pooling neighbours that fall: where steps begin, and their values."""
+    points, place = np.unique(x, return_inverse=True)
+    mass, yes = np.bincount(place, weight), np.bincount(place, y * weight)
     pools: list[list[float]] = []
-    for i in np.argsort(x, kind="stable"):
-        pools.append([x[i], y[i] * weight[i], weight[i]])
-        while len(pools) > 1 and (pools[-2][0] == pools[-1][0] or pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]):
+    for point in zip(points, yes, mass, strict=True):
+        pools.append(list(point))
+        while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
             _, a, b = pools.pop()
             pools[-1][1] += a
             pools[-1][2] += b
