@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.functions.pyjson import whole_json
 from logsift.functions.rules import DEFAULT_SERVICE, labelled_record
-from logsift.functions.verdict import kind
 from logsift.operators.batching import summary
 from logsift.schemas import SUMMARY
 from logsift.staging import stage
@@ -63,15 +64,23 @@ def summary_items(results: DataFrame, run: int = 0) -> DataFrame:
 def existing_items(spark: SparkSession, path: str) -> DataFrame:
     """Items of an array document written earlier; anything but an array counts as none.
 
-    A document is one value, so one task parses it; results that keep growing
+    A document is one value, so one task parses it, in Python: Spark's JSON value
+    has a size limit and refuses repeated keys and NaN. Results that keep growing
     belong in JSON lines, from which the array is derived.
     """
-    parsed = spark.read.text(path, wholetext=True).select(whole_json(F.col("value")).alias("v"))
-    listed = parsed.where(kind(F.col("v")).startswith("ARRAY"))
-    items = listed.select(F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("at", "item"))
-    return items.select(
-        F.lit(-1).cast("long").alias("run"), F.col("at").cast("long").alias("at"), F.to_json("item").alias("json")
-    )
+
+    def items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for text in (t for batch in batches for t in batch["value"]):
+            try:
+                document = json.loads(text)
+            except ValueError:
+                continue
+            found = document if isinstance(document, list) else []
+            for start in range(0, len(found), 10_000):
+                part = [json.dumps(item, ensure_ascii=False, separators=(",", ":")) for item in found[start : start + 10_000]]
+                yield pd.DataFrame({"run": -1, "at": range(start, start + len(part)), "json": part})
+
+    return spark.read.text(path, wholetext=True).mapInPandas(items, "run long, at long, json string")
 
 
 def append_json_array(results: DataFrame, existing: str, path: str) -> None:
@@ -85,6 +94,12 @@ def write_labelled(labelled: DataFrame, path: str, service_name: str = DEFAULT_S
     labelled.select(labelled_record(service_name).alias("r")).select("r.*").write.mode("overwrite").json(path)
 
 
+def write_labelled_array(labelled: DataFrame, order: list[str], path: str, service_name: str = DEFAULT_SERVICE) -> None:
+    """The same records as one JSON array, in the order of the given columns."""
+    items = labelled.select(*order, F.to_json(labelled_record(service_name)).alias("json"))
+    write_json_array(items, order, path)
+
+
 def metrics_json(metrics: DataFrame) -> DataFrame:
     """The metrics record as one JSON object."""
     return metrics.select(json_text(*metrics.columns).alias("report"))

@@ -17,7 +17,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from logsift.functions.text import chomp, clamp_batch_size, clamp_poll_seconds, is_blank, strip
 from logsift.operators.batching import assign_batches, collect_entries, summary
-from logsift.operators.classify import Classifier, classify_batches
+from logsift.operators.classify import Classifier, classify_batches, rule_results
 from logsift.operators.indexing import index_scanned
 from logsift.plans.triage import ReuseOptions, embed_batches, triage_with_reuse
 from logsift.schemas import DEFAULT_BATCH_SIZE, DEFAULT_POLL_SECONDS, STORE, SUMMARY
@@ -71,12 +71,10 @@ class EpochFolders:
         return rows.where(F.col("epoch") < epoch).select(*STORE.names)
 
 
-def _epoch_batches(lines: DataFrame, size: int, first_index: int, first_batch: int) -> DataFrame:
+def _batched(lines: DataFrame, size: int, first_index: int, first_batch: int) -> DataFrame:
     """Batches start anew with each epoch; the last one of an epoch may be short."""
     local = assign_batches(index_scanned(lines), size)
-    return collect_entries(
-        local.withColumns({"batch_id": F.col("batch_id") + first_batch, "index": F.col("index") + first_index})
-    )
+    return local.withColumns({"batch_id": F.col("batch_id") + first_batch, "index": F.col("index") + first_index})
 
 
 def process_epoch(
@@ -106,10 +104,13 @@ def process_epoch(
     index, batch, row_id = folders.counters(spark, epoch)
 
     with temporary_stages(spark):
-        if reuse is None:
-            verdicts = classify_batches(_epoch_batches(kept, size, index, batch), classifier)
+        batched = _batched(kept, size, index, batch)
+        if reuse is None and classifier is None:
+            verdicts = rule_results(batched)  # no line text is shuffled
+        elif reuse is None:
+            verdicts = classify_batches(collect_entries(batched), classifier)
         else:
-            batches = embed_batches(_epoch_batches(kept, size, index, batch), encoder)
+            batches = embed_batches(collect_entries(batched), encoder)
             result = triage_with_reuse(batches, folders.store_before(spark, epoch), classifier, reuse)
             verdicts = result.verdicts
             added = VectorStore.with_ids(result.new_rows, "batch_id", row_id)

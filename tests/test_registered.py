@@ -7,8 +7,10 @@ import json
 import pytest
 
 import __spark_entry__ as entry
-from logsift.sinks.results import append_json_array, append_summaries, existing_items, read_summaries
+from logsift.functions.rules import label_lines
+from logsift.sinks.results import append_json_array, append_summaries, existing_items, read_summaries, write_labelled_array
 from suite.check import compare, connect
+from suite.fixture import lines
 
 ORACLES = entry.oracle_sql()
 
@@ -53,3 +55,20 @@ def test_array_document_is_continued(spark, tmp_path, before, kept):
     document = array_in(tmp_path / "new")
     assert document[: len(kept)] == kept and [d["batch_id"] for d in document[len(kept) :]] == [0, 1]
     assert existing_items(spark, str(tmp_path / "old.json")).count() == len(kept)
+
+
+@pytest.mark.parametrize("before, items", [('[{"a":1,"a":2},{"b":1}]', ['{"a":2}', '{"b":1}']), ('[{"a":NaN},"é"]', ['{"a":NaN}', '"é"'])])
+def test_array_items_that_sparks_parser_refuses_are_kept(spark, tmp_path, before, items):
+    (tmp_path / "old.json").write_text(before)
+    assert [r["json"] for r in existing_items(spark, str(tmp_path / "old.json")).orderBy("at").collect()] == items
+
+
+def test_large_array_is_kept(spark, tmp_path):
+    (tmp_path / "old.json").write_text("[" + ",".join(['{"text": "' + "x" * 1_000_000 + '"}'] * 140) + "]")
+    assert existing_items(spark, str(tmp_path / "old.json")).count() == 140
+
+
+def test_labelled_records_as_an_array(spark, tmp_path, sf):
+    labelled = label_lines(lines(spark, sf)).limit(50)
+    write_labelled_array(labelled, ["line_no"], str(tmp_path / "array"))
+    assert len(array_in(tmp_path / "array")) == 50
