@@ -15,6 +15,7 @@ from logsift.functions.verdict import kind, member
 from logsift.operators.indexing import index_scanned
 from logsift.schemas import DEFAULT_LABEL_KEY
 from logsift.sources.logfiles import number_rows, scan_text
+from logsift.staging import stage
 
 
 def parse_records(df: DataFrame, text: str, literals: bool = True) -> DataFrame:
@@ -89,7 +90,9 @@ def has_label_shape(record: Column, key: str = DEFAULT_LABEL_KEY) -> Column:
 
 
 def _positions(labels: DataFrame) -> DataFrame:
-    return index_scanned(number_rows(labels)).select(F.col("index").alias("pos"), "label")
+    """Parsed once: counting the blocks and numbering the labels read what was written."""
+    numbered = stage(number_rows(labels).drop("raw_text"), "labels")
+    return index_scanned(numbered).select(F.col("index").alias("pos"), "label")
 
 
 def _split_lines(spark: SparkSession, path: str) -> DataFrame:
