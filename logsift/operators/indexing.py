@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from logsift.staging import stage
 
-# A split row is three short columns; this many stay well under 100 MB.
-MAX_BROADCAST_SPLITS = 400_000
+# A split is four numbers in the broadcast table; this many stay under 128 MB.
+MAX_BROADCAST_SPLITS = 4_000_000
 MAX_SLICES = 256
 
 
@@ -49,18 +49,19 @@ def index_scanned(scanned: DataFrame) -> DataFrame:
     and the table of block offsets is broadcast while its counted size allows it.
     A line outside the counted blocks fails the query; none is lost or numbered twice.
     """
-    keys = ["source_file", "_block"]
+    keys = [c for c in ("source_file", "_path", "_block") if c in scanned.columns]
     counts = scanned.groupBy(*keys).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_lines"))
-    offsets = _offsets(counts, keys, "_lines")
+    split = F.xxhash64(*keys).alias("_split")
+    offsets = _offsets(counts, keys, "_lines").select(split, "_first", "_lines", "_offset")
     if offsets.count() <= MAX_BROADCAST_SPLITS:
         offsets = F.broadcast(offsets)
     place = F.col("_row") - F.col("_first")
     known = (place >= 0) & (place < F.col("_lines"))
     changed = F.raise_error(F.lit("the files or their splits changed while they were indexed"))
     return (
-        scanned.join(offsets, keys, "left")
+        scanned.withColumn("_split", split).join(offsets, "_split", "left")
         .withColumn("index", F.when(known, F.col("_offset") + place).otherwise(changed))
-        .drop("_block", "_row", "_first", "_lines", "_offset")
+        .drop("_split", "_path", "_block", "_row", "_first", "_lines", "_offset")
     )
 
 

@@ -34,6 +34,7 @@ def scan_text(spark: SparkSession, path: str, missing: str | None = None) -> Dat
         raise
     return lines.select(
         F.col("_metadata.file_name").alias("source_file"),
+        F.col("_metadata.file_path").alias("_path"),  # files of one name in several folders are told apart
         F.col("_metadata.file_block_start").alias("_block"),
         F.col("value").alias("raw_text"),
     )

@@ -56,6 +56,14 @@ def test_indexing_scanned_lines_does_not_shuffle_them(spark, tmp_path):
     assert len(line_side) == 1 and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def test_files_of_one_name_in_two_folders(spark, tmp_path):
+    for folder, lines in (("d1", "a\nb\n"), ("d2", "c\nd\ne\n")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.log").write_text(lines)
+    rows = index_scanned(scan_log_dir(spark, str(tmp_path / "d*"))).orderBy("index").collect()
+    assert [(r["index"], r["source_file"], r["raw_text"]) for r in rows] == [(i, "x.log", t) for i, t in enumerate("abcde")]
+
+
 def test_other_splits_in_the_second_pass_are_noticed(spark, tmp_path):
     (tmp_path / "a.log").write_text("".join(f"line {i}\n" for i in range(4000)))
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
