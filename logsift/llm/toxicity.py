@@ -1,18 +1,19 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-A bounded sample of labelled texts gives the examples. Terms enter the vocabulary
-if their presence is associated with the label (log-likelihood ratio); their document frequencies are
-counted over the whole corpus. Examples with equal vectors are one entry with its counts of
-labels. The entries lie in an inverted index whose posting lists are cut into blocks
-that know their largest weight: a query visits blocks in the order of their bounds and stops when no
-block can reach the k nearest found so far, so the cosine search is exact. Votes fall off
+A bounded sample of labelled texts gives the examples, and every term of them is in the vocabulary. A term weighs its
+inverse document frequency, counted over the whole corpus, times the root of one plus its association with the
+label (log-likelihood ratio of its presence): what tells the classes apart leads the cosine, and no term is left out of it.
+Examples with equal vectors are one entry with its counts of labels. The search is exact:
+the most frequent terms are multiplied as a dense matrix, the others from their posting lists, and all entries that
+could be among the k nearest within the error bound of that sum are computed again in double precision. Votes fall off
 with distance, and are calibrated by isotonic regression on votes that leave the
 example itself out, weighted back to the shares of the classes.
 
-Cases: a null or empty text, or one without a vocabulary term, has no direction; it gets the calibrated
+Cases: a null or empty text, or one that shares no term with any example, has no direction; it gets the calibrated
 share of toxic examples without direction. Without labels all scores are 0. Labels with null ids or null marks are not
 used; of contradicting labels the toxic one counts. Equal distances are broken by the order of the entries,
-repeated rows get equal scores. Long texts are counted whole.
+repeated rows get equal scores. Long texts are counted whole. ``terms`` names only those terms of a text that
+are clearly associated with the label, to explain a score; the score itself uses all of them.
 """
 
 from __future__ import annotations
@@ -28,75 +29,108 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logsift.staging import stage, temporary_stages
+
 TERM = re.compile(r"\w+")
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of the labelled sample and of the vocabulary, and the search."""
+    """Bound of the labelled sample, the least association of a term that is named, and the search."""
 
     examples_per_class: int = 4000
-    most_terms: int = 2000
-    least_association: float = 20.0
-    least_documents: int = 3
+    named_association: float = 20.0
     nearest: int = 15
     sharpness: float = 4.0
-    block: int = 32
+    block: int = 64
+    dense_terms: int = 512
 
 
 def count_terms(text: str | None, vocabulary: dict[str, int]) -> dict[int, int]:
-    return Counter(vocabulary[w] for w in TERM.findall(text.lower()) if w in vocabulary) if text else {}
+    return {vocabulary[w]: n for w, n in Counter(TERM.findall(text.lower())).items() if w in vocabulary} if text else {}
 
 
 @dataclass
 class Index:
-    """Entries of equal vectors, sorted so that similar ones share blocks."""
+    """Entries of equal vectors, by rows and by terms; ``block`` queries are multiplied at once."""
 
-    weights: np.ndarray  # inverse document frequency of each term
+    weights: np.ndarray  # of each term
     settings: Settings
     entries: list[tuple[tuple[int, int], ...]] = field(default_factory=list)
     toxic: np.ndarray | None = None
     clean: np.ndarray | None = None
     evidence: list[list[int]] = field(default_factory=list)
-    postings: dict[int, tuple] = field(default_factory=dict)
+    rows: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # starts, terms, weights of the entries
+    lists: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # starts, entries, weights of the terms
+    column: np.ndarray | None = None  # place of a term in ``dense``, or -1
+    dense: np.ndarray | None = None
+    named: np.ndarray | None = None  # terms that explain a score
     none: float = 0.0
     steps: tuple[np.ndarray, np.ndarray] = (np.array([0.0]), np.array([0.0]))
 
+    def cells(self, counts: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of the unit vector."""
+        pairs = np.array(counts, dtype=np.int64).reshape(-1, 2)
+        w = (1 + np.log(pairs[:, 1])) * self.weights[pairs[:, 0]]
+        return pairs[:, 0], w / (math.sqrt(float((w * w).sum())) or 1.0)
+
     def vector(self, counts: tuple[tuple[int, int], ...]) -> list[tuple[int, float]]:
-        cells = [(t, (1 + math.log(n)) * self.weights[t]) for t, n in counts]
-        norm = math.sqrt(sum(w * w for _, w in cells)) or 1.0
-        return [(t, w / norm) for t, w in cells if w]
+        return [(int(t), float(w)) for t, w in zip(*self.cells(counts), strict=True) if w]
 
     def build(self) -> None:
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for i, entry in enumerate(self.entries):
-            for t, w in self.vector(entry):
-                lists.setdefault(t, []).append((i, w))
-        for t, cells in lists.items():
-            ids, w = np.array([c[0] for c in cells]), np.array([c[1] for c in cells])
-            blocks, starts = np.unique(ids // self.settings.block, return_index=True)
-            self.postings[t] = ids, w, blocks, np.append(starts, len(ids)), np.maximum.reduceat(w, starts)
+        made = [self.cells(e) for e in self.entries]
+        none = [(np.zeros(0, np.int64), np.zeros(0))]
+        terms, w = (np.concatenate(x) for x in zip(*(made or none), strict=True))
+        sizes = np.array([len(t) for t, _ in made], dtype=np.int64)
+        self.rows = np.append(0, np.cumsum(sizes)), terms.astype(np.int32), w
+        order = np.argsort(terms, kind="stable")
+        lengths = np.bincount(terms, minlength=len(self.weights))
+        self.lists = np.append(0, np.cumsum(lengths)), np.repeat(np.arange(len(made), dtype=np.int32), sizes)[order], w[order]
+        # A list pays as a dense row from about one entry in sixteen.
+        often = np.argsort(-lengths, kind="stable")[: self.settings.dense_terms]
+        often = often[lengths[often] > len(made) / 16]
+        self.column = np.full(len(self.weights), -1, dtype=np.int32)
+        self.column[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), len(made)), dtype=np.float32)
+        starts, ids, values = self.lists
+        for row, t in enumerate(often):
+            self.dense[row, ids[starts[t] : starts[t + 1]]] = values[starts[t] : starts[t + 1]]
+
+    def search_all(self, queries: list[tuple[tuple[int, int], ...]]) -> Iterator[list[tuple[float, int]]]:
+        """For each query the nearest entries as (cosine, entry), exactly: those of greatest cosine, then of smallest number."""
+        size, k, n = self.settings.block, self.settings.nearest, len(self.entries)
+        # Sums of products of unit vectors err by less than the number of summands times the rounding unit, on both sides.
+        slack = 2 * (len(self.dense) + 4) * 2.0**-23 + 1e-8
+        (row_starts, row_terms, row_w), (starts, ids, w) = self.rows, self.lists
+        spread = np.zeros(len(self.weights))
+        for first in range(0, len(queries), size):
+            part = [self.cells(q) for q in queries[first : first + size]]
+            left = np.zeros((len(part), len(self.dense)), dtype=np.float32)
+            for i, (terms, q) in enumerate(part):
+                at = self.column[terms]
+                left[i, at[at >= 0]] = q[at >= 0]
+            sums = left @ self.dense
+            for (terms, q), scores in zip(part, sums, strict=True):
+                rare = self.column[terms] < 0
+                begin, length = starts[terms[rare]], starts[terms[rare] + 1] - starts[terms[rare]]
+                flat = _ranges(begin, length)
+                scores = scores + np.bincount(ids[flat], w[flat] * np.repeat(q[rare], length), minlength=n)
+                least = np.partition(scores, n - k)[n - k] - slack if n > k else 0.0
+                near = np.flatnonzero((scores >= least) & (scores > 0))
+                if not len(near):
+                    yield []
+                    continue
+                spread[terms] = q
+                length = row_starts[near + 1] - row_starts[near]
+                flat = _ranges(row_starts[near], length)
+                exact = np.add.reduceat(spread[row_terms[flat]] * row_w[flat], np.cumsum(length) - length)
+                spread[terms] = 0.0
+                exact = exact.round(9)
+                best = np.lexsort((near, -exact))[:k]
+                yield [(float(exact[b]), int(near[b])) for b in best]
 
     def search(self, counts: tuple[tuple[int, int], ...]) -> list[tuple[float, int]]:
-        """The nearest entries as (cosine, entry), exactly: those of greatest cosine, then of smallest number."""
-        size, k = self.settings.block, self.settings.nearest
-        query = [(q, *self.postings[t]) for t, q in self.vector(counts) if t in self.postings]
-        bounds = np.zeros(-(-len(self.entries) // size))
-        for q, _, _, blocks, _, most in query:
-            bounds[blocks] += q * most
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(best) == k and bounds[b] < best[-1][0] - 1e-9):
-                break
-            scores = np.zeros(size)
-            for q, ids, w, blocks, starts, _ in query:
-                at = np.searchsorted(blocks, b)
-                if at < len(blocks) and blocks[at] == b:
-                    part = slice(starts[at], starts[at + 1])
-                    scores[ids[part] - b * size] += q * w[part]
-            found = [(round(float(scores[i]), 9), int(b * size + i)) for i in np.flatnonzero(scores > 0)]
-            best = sorted(best + found, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+        return next(self.search_all([counts]))
 
     def vote(self, near: list[tuple[float, int]], without: tuple[int, float, float] | None = None) -> float | None:
         """Share of toxic weight among the nearest; ``without`` takes one example out of its entry."""
@@ -110,15 +144,20 @@ class Index:
             yes, all_ = yes + weight * toxic, all_ + weight * (toxic + clean)
         return yes / all_ if all_ > 0 else None
 
-    def score(self, counts: tuple[tuple[int, int], ...]) -> tuple[float, list[int], list[int]]:
-        """Calibrated score, ids of the nearest examples, terms in common with them."""
-        near = self.search(counts) if counts else []
-        vote = self.vote(near)
-        if vote is None:
-            return self.none, [], []
-        at = np.clip(np.searchsorted(self.steps[0], vote, side="right") - 1, 0, len(self.steps[0]) - 1)
-        ids = [i for _, e in near[:5] for i in self.evidence[e]][:5]
-        return float(self.steps[1][at]), ids, [t for t, _ in counts if t in self.postings]
+    def score_all(self, queries: list[tuple[tuple[int, int], ...]]) -> Iterator[tuple[float, list[int]]]:
+        """For each query its calibrated score and the ids of the nearest examples."""
+        for near in self.search_all(queries):
+            vote = self.vote(near)
+            if vote is None:
+                yield self.none, []
+                continue
+            at = np.clip(np.searchsorted(self.steps[0], vote, side="right") - 1, 0, len(self.steps[0]) - 1)
+            yield float(self.steps[1][at]), [i for _, e in near[:5] for i in self.evidence[e]][:5]
+
+
+def _ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers from each ``begin`` on, ``length`` of each, in one array."""
+    return np.arange(length.sum()) + np.repeat(begin - (np.cumsum(length) - length), length)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,8 +189,7 @@ def build_index(examples: list[tuple[int, int, dict[int, int]]], weights: np.nda
     toxic, clean = (sum(share[label] for _, mine in plain if mine == label) for label in (1, 0))
     index.none = round(toxic / (toxic + clean), 6) if toxic + clean else share.get(1, 0) / max(sum(share.values()), 1e-9) * 0.5
     cells = []
-    for i, entry in enumerate(index.entries):
-        near = index.search(entry)
+    for i, (entry, near) in enumerate(zip(index.entries, index.search_all(index.entries), strict=True)):
         for label in sorted({mine for _, mine in groups[entry]}):
             own = (i, share[1] if label else 0.0, 0.0 if label else share[0])
             vote = index.vote(near, own)
@@ -173,86 +211,94 @@ def _sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[Dat
     return docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "label")), "doc_id"), {0: share.get(0, 0.0), 1: share.get(1, 0.0)}
 
 
-def _associated(sample: DataFrame, settings: Settings) -> list[str]:
-    """Terms whose presence depends on the label."""
+def _associations(sample: DataFrame) -> dict[str, float]:
+    """Every term of the sample with the log-likelihood ratio of its presence and the label."""
 
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, list[int]] = {}
         for batch in batches:
-            for start in range(0, len(batch), 64):
-                part = batch.iloc[start : start + 64]
-                yield pd.DataFrame([(w, int(y)) for t, y in zip(part["text"], part["label"], strict=True) for w in sorted(set(TERM.findall((t or "").lower())))], columns=["term", "label"])
+            for text, label in zip(batch["text"], batch["label"], strict=True):
+                for w in set(TERM.findall((text or "").lower())):
+                    held.setdefault(w, [0, 0])[label] += 1
+        yield pd.DataFrame([(w, b, a) for w, (b, a) in held.items()], columns=["term", "b", "a"])
 
-    present = sample.select("text", "label").mapInPandas(terms, "term string, label int")
+    present = sample.select("text", "label").mapInPandas(terms, "term string, b long, a long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas()
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n1, n0 = float(sizes.get(1, 0)), float(sizes.get(0, 0))
-    if not n1 or not n0:
-        return []
-    a, b = F.sum(F.col("label")).alias("a"), F.sum(1 - F.col("label")).alias("b")
-    counts = present.groupBy("term").agg(a, b).filter(F.col("a") + F.col("b") >= settings.least_documents)
-    total = F.col("a") + F.col("b")
+    a, b = present["a"].to_numpy(float), present["b"].to_numpy(float)
 
-    def part(observed, expected):
-        return F.when(observed > 0, observed * F.ln(observed / expected)).otherwise(0.0)
+    def part(observed: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return observed * np.log(np.where(observed > 0, observed, 1.0) / np.where(observed > 0, expected, 1.0))
 
-    gain = 2 * sum(
-        (part(x, t * n / (n1 + n0)) for x, t, n in ((F.col("a"), total, n1), (F.col("b"), total, n0), (n1 - F.col("a"), n1 + n0 - total, n1), (n0 - F.col("b"), n1 + n0 - total, n0))),
-        F.lit(0.0),
-    )
-    ranked = counts.withColumn("gain", gain).filter(F.col("gain") >= settings.least_association)
-    return sorted(r["term"] for r in ranked.orderBy(F.desc("gain"), "term").limit(settings.most_terms).collect())
+    n, total = max(n1 + n0, 1.0), a + b
+    gain = 2 * (part(a, total * n1 / n) + part(b, total * n0 / n) + part(n1 - a, (n - total) * n1 / n) + part(n0 - b, (n - total) * n0 / n))
+    return dict(zip(present["term"], np.maximum(gain, 0.0).tolist(), strict=True))
 
 
-def _document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> dict[int, int]:
-    """Over all documents; each Arrow batch sends one row per term."""
+def _document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
+    """Over all documents; each task sends one row per term."""
+    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter[int] = Counter()
+        place = known.value
+        held = np.zeros(len(place), dtype=np.int64)
         for batch in batches:
             for text in batch["text"]:
-                held.update(count_terms(text, vocabulary).keys())
-        yield pd.DataFrame(sorted(held.items()), columns=["term", "n"])
+                if text:
+                    held[[place[w] for w in set(TERM.findall(text.lower())) if w in place]] += 1
+        found = np.flatnonzero(held)
+        yield pd.DataFrame({"term": found, "n": held[found]})
 
-    rows = docs.select("text").mapInPandas(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return {r["term"]: r["n"] for r in rows.collect()}
+    rows = docs.select("text").mapInPandas(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    of = np.zeros(len(vocabulary))
+    of[rows["term"].to_numpy(int)] = rows["n"]
+    return of
 
 
 def fit(docs: DataFrame, labelled: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> tuple[Index | None, dict[str, int]]:
     """An index of the ``labelled`` documents; frequencies come from all ``docs``."""
-    sample, share = _sample(labelled, labels, settings)
-    vocabulary = {t: i for i, t in enumerate(_associated(sample, settings))}
-    if not any(share.values()):
-        return None, {}
-
-    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [count_terms(t, vocabulary) for t in batch["text"]]
-            yield batch[["doc_id", "label"]].assign(terms=[sorted(f) for f in found], counts=[[f[t] for t in sorted(f)] for f in found])
-
-    rows = sample.select(F.col("doc_id").cast("long"), "label", "text").mapInPandas(counts, "doc_id long, label int, terms array<int>, counts array<int>").collect()
-    examples = sorted({(r.doc_id, r.label, tuple(zip(r.terms, r.counts, strict=True))) for r in rows})
-    n, df = docs.count(), _document_frequencies(docs, vocabulary)
-    weights = np.array([math.log((1 + n) / (1 + df.get(i, 0))) + 1 for i in range(len(vocabulary))])
-    return build_index([(d, y, dict(c)) for d, y, c in examples], weights, share, settings), vocabulary
+    with temporary_stages(docs.sparkSession):
+        sample, share = _sample(labelled, labels, settings)
+        if not any(share.values()):
+            return None, {}
+        sample = stage(sample, "examples")
+        gain = _associations(sample)
+        vocabulary = {t: i for i, t in enumerate(sorted(gain))}
+        known = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+        def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                found = [count_terms(t, known.value) for t in batch["text"]]
+                yield batch[["doc_id", "label"]].assign(terms=[sorted(f) for f in found], counts=[[f[t] for t in sorted(f)] for f in found])
+
+        rows = sample.select(F.col("doc_id").cast("long"), "label", "text").mapInPandas(counts, "doc_id long, label int, terms array<int>, counts array<int>").toPandas()
+    examples = sorted({(d, y, tuple(zip(t.tolist(), c.tolist(), strict=True))) for d, y, t, c in zip(rows["doc_id"].tolist(), rows["label"].tolist(), rows["terms"], rows["counts"], strict=True)})
+    del rows
+    gains = np.array([gain[t] for t in vocabulary])
+    weights = (np.log((1 + docs.count()) / (1 + _document_frequencies(docs, vocabulary))) + 1) * np.sqrt(1 + gains)
+    index = build_index([(d, y, dict(c)) for d, y, c in examples], weights, share, settings)
+    index.named = gains >= settings.named_association
+    return index, vocabulary
 
 
 def score(docs: DataFrame, index: Index | None, vocabulary: dict[str, int]) -> DataFrame:
-    """Per row: ``doc_id``, ``score``, ``predicted``, the ``evidence`` ids and the ``terms`` found."""
-    names = sorted(vocabulary, key=vocabulary.get)
+    """Per row: ``doc_id``, ``score``, ``predicted``, the ``evidence`` ids and the associated ``terms`` found."""
+    # Both are bounded by the sample; a broadcast is read once per Python worker instead of once per task.
+    known = docs.sparkSession.sparkContext.broadcast((index, vocabulary, {i: t for t, i in vocabulary.items() if index is not None and index.named[i]}))
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[tuple, tuple] = {}
+        index, vocabulary, names = known.value
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                key = tuple(sorted(count_terms(text, vocabulary).items()))
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[key] = index.score(key) if index is not None else (0.0, [], [])
-                value, ids, terms = known[key]
-                value = round(value, 6)
-                rows.append((value, int(value >= 0.5), ids, [names[t] for t in terms]))
-            yield pd.concat([batch[["doc_id"]].astype("Int64"), pd.DataFrame(rows, columns=["score", "predicted", "evidence", "terms"], index=batch.index)], axis=1)
+            place = {t: i for i, t in enumerate(dict.fromkeys(batch["text"]))}
+            rows, texts = [], list(place)
+            for start in range(0, len(texts), 256):
+                keys = [tuple(sorted(count_terms(t, vocabulary).items())) for t in texts[start : start + 256]]
+                scored = index.score_all(keys) if index is not None else [(0.0, [])] * len(keys)
+                for key, (value, ids) in zip(keys, scored, strict=True):
+                    value = round(value, 6)
+                    rows.append((value, int(value >= 0.5), ids, [names[t] for t, _ in key if t in names]))
+            found = [rows[place[t]] for t in batch["text"]]
+            yield pd.concat([batch[["doc_id"]].astype("Int64"), pd.DataFrame(found, columns=["score", "predicted", "evidence", "terms"], index=batch.index)], axis=1)
 
     kind = "doc_id long, score double, predicted int, evidence array<long>, terms array<string>"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(apply, kind)

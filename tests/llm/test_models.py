@@ -110,3 +110,16 @@ def test_toxicity_of_edge_cases(spark):
     assert all(r.predicted == r.doc_id % 2 for r in got if r.doc_id is not None and r.doc_id < 60)
     assert toxicity.fit(docs, docs, labels.limit(0)) == (None, {})
     assert {r.score for r in toxicity.score(docs, None, {}).collect()} == {0.0}
+
+
+def test_every_term_of_the_examples_counts(spark):
+    # No term below is associated with the label, and each rare one stands in a single example.
+    rows = [(i, " ".join(f"w{(i * 7 + j * j) % 23}" for j in range(9)) + f" rare{i}a rare{i}b", i % 2) for i in range(40)]
+    copies = [(1000 + i, t) for i, t, _ in rows] + [(2000, "rare7a only"), (2001, "nothing known")]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + copies, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    index, vocabulary = toxicity.fit(docs, docs, labels)
+    assert set(vocabulary) == {w for _, t, _ in rows for w in t.split()}
+    got = {r.doc_id: r for r in toxicity.score(docs, index, vocabulary).collect()}
+    assert all(got[1000 + i].evidence[0] == i for i, _, _ in rows) and all(not r.terms for r in got.values())
+    assert got[2000].evidence == [7] and got[2001].evidence == []
