@@ -11,8 +11,9 @@ the start of the smaller determinant, and ends with one reweighted estimate.
 Statistics are integers in thousandths, so sums are exact in any order, and the ranks of distances
 are taken over integer steps of their logarithm; exact percentiles then need memory for the values
 that occur, not for the rows. All aggregates are combined before the shuffle; a
-group may hold any share of the rows. A floor is added to each variance, so that a statistic
-which is zero in most documents does not reject all others.
+group may hold any share of the rows. A small ridge is added to each variance, so that a statistic
+which is zero in most documents does not reject all others: in such a group 6 symbols in 100 words, a quarter of the
+lines or 15 % of the words repeated are accepted, and more is rejected by that statistic alone.
 
 Groups under ``min_rows`` are judged together with the other small ones of their
 language, and if these are still few with those of all languages; below that no row is rejected. Null
@@ -31,8 +32,11 @@ from logsift.llm.common import BROADCAST_BYTES, WORD, attach, words
 from logsift.staging import scratch_path, stage, stage_at, temporary_stages
 
 FEATURES = ["word_length", "symbols", "lines", "repeats", "length"]
-# Standard deviations added to each statistic, in its own unit.
-FLOORS = [0.06, 0.15, 0.2, 0.2, 0.6]
+# The 0.9999 quantile of the chi-square distribution with five degrees of freedom.
+CUTOFF = 25.74
+# Ridge of each variance. Where no text of a group has symbols, repeated lines or repeated words, nothing can be estimated:
+# there a text is rejected by that statistic alone from the share on whose distance under the ridge is the cutoff.
+FLOORS = [0.03, (0.06 / CUTOFF) ** 0.5, (0.25 / CUTOFF) ** 0.5, (0.15 / CUTOFF) ** 0.5, 0.25]
 P = len(FEATURES)
 # Quantiles of the chi-square distribution with five degrees of freedom: median, 0.975.
 CHI2_MEDIAN, CHI2_975 = 4.351, 12.83
@@ -45,8 +49,7 @@ _MODEL = [*(f"m{i}" for i in range(P)), *(f"w{i}{j}" for i, j in _PAIRS), "logde
 class Settings:
     fraction: float = 0.75
     min_rows: int = 60
-    # The 0.9999 quantile of the chi-square distribution with five degrees of freedom.
-    cutoff: float = 25.74
+    cutoff: float = CUTOFF
     most_steps: int = 8
 
 

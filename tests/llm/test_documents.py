@@ -151,6 +151,32 @@ def test_base_counts_and_outliers(spark):
     assert not got[2000].kept and all(got[1000 + i].kept for i in range(150))
 
 
+def test_each_statistic_rejects_alone(spark):
+    def text(i, lines=8, per=9):
+        rng = random.Random(i)
+        return [[f"w{i}x{j}y{k}"[: rng.randint(5, 9)].ljust(5, "z") + f"{j}{k}" for k in range(per)] for j in range(lines)]
+
+    def join(cut):
+        return "\n".join(" ".join(line) for line in cut)
+
+    rows = [(i, join(text(i, lines=6 + i % 7)), "s1") for i in range(120)]
+    symbols, lines, repeats = text(500), text(501), text(502)
+    for line in symbols:
+        line[0], line[3] = "|", "|"
+    lines = [x for line in lines for x in (line, ["more"])]
+    repeats[5][1:8] = repeats[0][1:8]
+    repeats[6] = [*repeats[0][1:8], "p", "q"]
+    mild, once = text(503), text(504)
+    mild[0][0] = "&"
+    once[4] = ["Contents"]
+    once[7] = ["Contents"]
+    rows += [(i, join(cut), "s1") for i, cut in ((500, symbols), (501, lines), (502, repeats[:7] + text(505, 6)), (503, mild), (504, once))]
+    got = {r.doc_id: r for r in outliers.judge(table(spark, rows)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert got[500].n_symbols == 16 and got[501].n_dup_lines == 7 and got[501].n_repeat_words == 0 and got[502].n_repeat_words == 21 and got[502].n_dup_lines == 0
+    assert sorted(d for d, r in got.items() if not r.kept) == [500, 501, 502]
+
+
 SECRETS = [
     None, "", "nothing here", "password: abcdefghijklmnop", "PassWd='short' token = 'aaaaaaaaaaaaaaaa'", "secret: secret: abcdefghijklmnop",
     "é api_key=" + "x" * 12 + " AKIA" + "A" * 14 + " AKIA123", "0123456789abcdef0 deadbeef", "ghp_" + "a" * 36, "tokenſ: abcdefghijklmnop",
