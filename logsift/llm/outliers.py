@@ -5,7 +5,7 @@ five-word windows. The others are judged by a vector of five transformed statist
 symbols, repeated lines, repeated words, length) and its Mahalanobis distance from a
 minimum-covariance-determinant estimate of its group. The estimate starts from
 two fixed points, medians with absolute deviations and plain moments, takes concentration steps
-(keep the three quarters of rows that are nearest, estimate again) until nothing changes, keeps
+(keep the three quarters of rows that are nearest, estimate again) until nothing changes in the group, keeps
 the start of the smaller determinant, and ends with one reweighted estimate.
 
 Statistics are integers in thousandths, so sums are exact in any order, and the ranks of distances
@@ -24,6 +24,7 @@ count as often as they occur and get equal verdicts. Only built-in functions are
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,7 +51,8 @@ class Settings:
     fraction: float = 0.75
     min_rows: int = 60
     cutoff: float = CUTOFF
-    most_steps: int = 8
+    # Far above what any group needs; reaching it is an error.
+    most_steps: int = 200
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -163,24 +165,33 @@ def estimates(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     ``rows`` is a written table of ``_group`` and the statistics ``x``.
     """
-    keys, model, last = ["_group", "start"], stage(_starts(rows), "model"), None
+    keys, model = ["_group", "start"], stage(_starts(rows), "model")
     # Two models of at most 512 bytes a group, counted once.
     fits = model.count() * 512 <= BROADCAST_BYTES
 
     def under(models: DataFrame) -> DataFrame:
         return rows.join(F.broadcast(models) if fits else models, "_group")
 
+    # Every step writes the models that came to rest; only groups that still move are computed again.
+    moving, rested = model.withColumns({"mark": F.lit(None).cast("long")}), []
     for _ in range(settings.most_steps):
-        ranked = under(model).withColumn("rank", _rank())
+        ranked = under(moving).withColumn("rank", _rank())
         cut = ranked.groupBy(*keys).agg(F.percentile("rank", F.lit(settings.fraction)).alias("cut"))
-        both = stage(model.join(cut, keys), "steps")
+        both = stage(moving.join(cut, keys), "steps")
         near = under(both).filter(_rank() <= F.col("cut"))
-        sums = stage(near.groupBy(*keys).agg(*_sums()), "sums")
-        model = stage(_model(_moments(sums, keys), keys), "model")
-        mark = tuple(sums.agg(F.count("*"), F.bit_xor(F.xxhash64(*keys, *_SUMS))).first())
-        if mark == last:
+        sums = near.groupBy(*keys).agg(*_sums()).withColumn("mark", F.xxhash64(*_SUMS))
+        before = both.select(*keys, F.col("mark").alias("_mark"), F.col("logdet").alias("_logdet"))
+        after = _model(_moments(sums, [*keys, "mark"]), [*keys, "mark"]).join(before, keys)
+        # A step never raises the determinant but for ties of ranks; those must not make two subsets alternate.
+        rest = F.col("_mark").isNotNull() & ((F.col("mark") == F.col("_mark")) | (F.col("logdet") >= F.col("_logdet")))
+        after = stage(after.withColumn("rest", rest).drop("_mark", "_logdet"), "model")
+        rested.append(after.filter("rest").select(*keys, *_MODEL))
+        moving = after.filter("NOT rest").drop("rest")
+        if moving.isEmpty():
             break
-        last = mark
+    else:
+        raise RuntimeError(f"concentration steps did not come to rest in {settings.most_steps} steps")
+    model = reduce(DataFrame.unionByName, rested)
     best = model.groupBy("_group").agg(F.min_by(F.struct(*_MODEL), F.struct("logdet", "start")).alias("best")).select("_group", "best.*")
     best = stage(best, "best")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -85,3 +87,37 @@ def base_spans(text):
     found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
     found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
     return sorted(found)
+
+
+def mcd(x, floors, fraction=0.75):
+    """Squared robust distances of the rows of ``x`` (in thousandths), and the most steps a start took to its fixed point."""
+    x = np.asarray(x) / 1000
+
+    def fit(z):
+        return z.mean(0), np.cov(z.T, bias=True) + np.diag(np.square(floors))
+
+    def distance(m, c):
+        return np.einsum("ij,ij->i", (x - m) @ np.linalg.inv(c), x - m)
+
+    def rank(m, c):
+        return np.floor(np.log1p(distance(m, c)) * 1000)
+
+    def scale(m, c):
+        return max((np.exp(np.median(rank(m, c)) / 1000) - 1) / 4.351, 1.0)
+
+    middle, ends, most = np.median(x, 0), [], 0
+    mad = 1.4826 * np.median(abs(x - middle), 0)
+    for m, c in (fit(x), (middle, np.diag(mad**2 + np.square(floors)))):
+        before, steps = None, 0
+        while True:
+            r, steps = rank(m, c), steps + 1
+            near = r <= np.percentile(r, 100 * fraction)
+            m, c = fit(x[near])
+            if before is not None and (near == before).all():
+                break
+            before = near
+        ends.append((round(np.linalg.slogdet(c)[1], 9), len(ends), m, c))
+        most = max(most, steps)
+    _, _, m, c = min(ends, key=lambda e: e[:2])
+    m, c = fit(x[distance(m, c) <= 12.83 * scale(m, c)])
+    return distance(m, c) / scale(m, c), most

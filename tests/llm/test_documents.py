@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +179,26 @@ def test_each_statistic_rejects_alone(spark):
     assert sorted(d for d, r in got.items() if not r.kept) == [500, 501, 502]
 
 
+def test_concentration_runs_to_the_fixed_point(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    slow = np.round(rng.uniform(-1, 1, (6000, 5)) * [300, 400, 400, 300, 2000]).astype(int)
+    fast = np.round(rng.normal(0, [100, 80, 0, 0, 800], (200, 5))).astype(int)
+    names = [f"x{i}" for i in range(5)]
+    made = pd.concat([pd.DataFrame(x, columns=names).assign(_group=g) for g, x in (("slow", slow), ("fast", fast))])
+    spark.createDataFrame(made).write.parquet(str(tmp_path / "vectors"))
+    rows = spark.read.parquet(str(tmp_path / "vectors"))
+    models = outliers.estimates(rows)
+    got = rows.join(models, "_group").select("_group", *names, (outliers._distance() / F.col("scale")).alias("d")).toPandas()
+    for group, x in (("slow", slow), ("fast", fast)):
+        want, steps = brute.mcd(x, outliers.FLOORS)
+        assert (steps > 8) == (group == "slow")
+        mine = got[got["_group"] == group].sort_values(names)
+        order = np.lexsort(x.T[::-1])
+        assert mine["d"].to_numpy() == pytest.approx(want[order], rel=1e-6, abs=1e-9)
+    with pytest.raises(RuntimeError, match="rest"):
+        outliers.estimates(rows, outliers.Settings(most_steps=3))
+
+
 SECRETS = [
     None, "", "nothing here", "password: abcdefghijklmnop", "PassWd='short' token = 'aaaaaaaaaaaaaaaa'", "secret: secret: abcdefghijklmnop",
     "é api_key=" + "x" * 12 + " AKIA" + "A" * 14 + " AKIA123", "0123456789abcdef0 deadbeef", "ghp_" + "a" * 36, "tokenſ: abcdefghijklmnop",
