@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from logsift.staging import stage, temporary_stages
 
 TERM = re.compile(r"\w+")
+# Labelled ids are counted in so many ranges of their hash before any are ranked.
+RANGE_BITS = 16
 
 
 @dataclass(frozen=True)
@@ -203,9 +205,19 @@ def build_index(examples: list[tuple[int, int, dict[int, int]]], weights: np.nda
 def _sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[DataFrame, dict[int, float]]:
     """The texts of the hash-smallest labelled ids of each class, and what one example stands for."""
     marks = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id"))
-    chosen = marks.filter("label IN (0, 1)").withColumn("place", place).filter(F.col("place") <= settings.examples_per_class)
-    of = {r["label"]: r["count"] for r in marks.groupBy("label").count().filter("label IN (0, 1)").collect()}
+    # Hash ranges in the order of the hash: their counts give the range that holds the last example, so that one
+    # task ranks the bound and a range at most, and never a class.
+    hashed = marks.filter("label IN (0, 1)").withColumn("draw", F.xxhash64("doc_id", F.lit(3))).withColumn("range", F.shiftright("draw", 64 - RANGE_BITS))
+    upto = F.sum("n").over(Window.partitionBy("label").orderBy("range"))
+    counts = hashed.groupBy("label", "range").agg(F.count("*").alias("n")).withColumn("upto", upto)
+    last = F.min(F.when(F.col("upto") >= settings.examples_per_class, F.col("range")))
+    ends = counts.groupBy("label").agg(F.sum("n").alias("n"), last.alias("last")).collect()
+    of = {r["label"]: r["n"] for r in ends}
+    inside = F.lit(False)
+    for r in ends:
+        inside = inside | ((F.col("label") == r["label"]) & (F.lit(True) if r["last"] is None else F.col("range") <= r["last"]))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("draw", "doc_id"))
+    chosen = hashed.filter(inside).withColumn("place", place).filter(F.col("place") <= settings.examples_per_class)
     share = {k: n / min(n, settings.examples_per_class) for k, n in of.items()}
     # At most two classes of the given number of ids: a proven bound.
     return docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "label")), "doc_id"), {0: share.get(0, 0.0), 1: share.get(1, 0.0)}

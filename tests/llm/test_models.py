@@ -123,3 +123,18 @@ def test_every_term_of_the_examples_counts(spark):
     got = {r.doc_id: r for r in toxicity.score(docs, index, vocabulary).collect()}
     assert all(got[1000 + i].evidence[0] == i for i, _, _ in rows) and all(not r.terms for r in got.values())
     assert got[2000].evidence == [7] and got[2001].evidence == []
+
+
+def test_sample_ranks_few_rows(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "'t' AS text")
+    labels = spark.range(3000).selectExpr("id AS doc_id", "CAST(id % 10 = 0 AS int) AS toxic")
+    want = labels.withColumn("draw", F.xxhash64("doc_id", F.lit(3))).toPandas().sort_values(["draw", "doc_id"])
+    for bound in (40, 2900):
+        sample, share = toxicity._sample(docs, labels, toxicity.Settings(examples_per_class=bound))
+        got = sample.toPandas()
+        for label, size in ((0, 2700), (1, 300)):
+            assert set(got[got["label"] == label]["doc_id"]) == set(want[want["toxic"] == label]["doc_id"].head(bound))
+            assert share[label] == size / min(size, bound)
+        # Below the window of the ranks stands a filter on the hash range.
+        plan = sample._jdf.queryExecution().optimizedPlan().toString().split("row_number()")[-1]
+        assert ("shiftright" in plan.lower() and "<=" in plan) == (bound == 40)
