@@ -65,6 +65,8 @@ _BAD_NAMES = set(
 )
 _BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 _MAIN_NAMES = {"content", "article", "post", "entry", "story", "main", "maintext", "articlebody"}
+# In a compound name these say how an element or page is, not what it is: no-sidebar, comments-open.
+_STATES = {"has", "have", "no", "not", "with", "without", "is", "open", "opened", "closed", "enabled", "disabled", "on", "off"}
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 GOOD, BAD, OPEN = 1, -1, 0
 
@@ -79,20 +81,24 @@ class Block:
 
 def _kind(tag: str, attributes: str, inside: bool) -> str | None:
     """``bad``, ``main`` or nothing for a container."""
-    named, role = set(), ""
+    whole, named, role = set(), set(), ""
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
             for part in value.split():
-                named.add(part)
-                named.update(re.split(r"[-_]+|\d+", part))
+                whole.add(part)
+                pieces = set(re.split(r"[-_]+|\d+", part))
+                named.update({part} if pieces & _STATES else {part, *pieces})
         elif name == "role":
             role = value
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             return "bad"
-    if tag in _BAD_TAGS or role in _BAD_ROLES or named & _BAD_NAMES or (tag == "header" and not inside):
+    article = tag in ("article", "main") or role in ("main", "article")
+    # What calls itself the content is only bad by a whole name, not by a part of one.
+    names = whole if article or (tag in ("div", "section") and whole & _MAIN_NAMES) else named
+    if tag in _BAD_TAGS or role in _BAD_ROLES or names & _BAD_NAMES or (tag == "header" and not inside):
         return "bad"
-    if tag in ("article", "main") or role in ("main", "article") or (tag in ("div", "section") and named & _MAIN_NAMES):
+    if article or (tag in ("div", "section") and named & _MAIN_NAMES):
         return "main"
     return None
 

@@ -29,6 +29,18 @@ def test_main_text(page, text):
     assert extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "opening, kept",
+    [
+        ("article class='post comments-open'", True), ("main class='no-sidebar'", True), ("div class='content has-sidebar'", True),
+        ("div class='wrapper with-sidebar'", True), ("div role=main class='main-menu-wide'", True), ("section id=content class='share-buttons_above'", True),
+        ("article class='comment'", False), ("div class='content sidebar'", False), ("div class='post-comments'", False), ("div class='sidebar-left'", False),
+    ],
+)
+def test_names_of_parts_do_not_hide_an_article(opening, kept):
+    assert extract.main_text(f"<body><{opening}><p>{LONG}</p><p>{LONG}</p></{opening.split()[0]}></body>") == (f"{LONG}\n{LONG}" if kept else "")
+
+
 def test_extract(spark):
     rows = [(i, "u", p, "old", 3) for i, (p, _) in enumerate(PAGES)] * 2 + [(99, None, f"<article>{'<p>word' * 50_000}", None, None)]
     got = extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")).collect()
