@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,6 +34,7 @@ from logsift.staging import stage, temporary_stages
 TERM = re.compile(r"\w+")
 # Labelled ids are counted in so many ranges of their hash before any are ranked.
 RANGE_BITS = 16
+DENSE = 16
 
 
 @dataclass(frozen=True)
@@ -70,9 +71,9 @@ class Index:
     none: float = 0.0
     steps: tuple[np.ndarray, np.ndarray] = (np.array([0.0]), np.array([0.0]))
 
-    def cells(self, counts: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
+    def cells(self, counts: tuple[tuple[int, int], ...] | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of the unit vector."""
-        pairs = np.array(counts, dtype=np.int64).reshape(-1, 2)
+        pairs = np.array(counts, dtype=np.int64).reshape(-1, 2) if isinstance(counts, tuple) else counts
         w = (1 + np.log(pairs[:, 1])) * self.weights[pairs[:, 0]]
         return pairs[:, 0], w / (math.sqrt(float((w * w).sum())) or 1.0)
 
@@ -88,9 +89,9 @@ class Index:
         order = np.argsort(terms, kind="stable")
         lengths = np.bincount(terms, minlength=len(self.weights))
         self.lists = np.append(0, np.cumsum(lengths)), np.repeat(np.arange(len(made), dtype=np.int32), sizes)[order], w[order]
-        # A list pays as a dense row from about one entry in sixteen.
+        # A list pays as a dense row from about one entry in DENSE on.
         often = np.argsort(-lengths, kind="stable")[: self.settings.dense_terms]
-        often = often[lengths[often] > len(made) / 16]
+        often = often[lengths[often] > len(made) / DENSE]
         self.column = np.full(len(self.weights), -1, dtype=np.int32)
         self.column[often] = np.arange(len(often))
         self.dense = np.zeros((len(often), len(made)), dtype=np.float32)
@@ -98,9 +99,9 @@ class Index:
         for row, t in enumerate(often):
             self.dense[row, ids[starts[t] : starts[t + 1]]] = values[starts[t] : starts[t + 1]]
 
-    def search_all(self, queries: list[tuple[tuple[int, int], ...]]) -> Iterator[list[tuple[float, int]]]:
+    def search_all(self, queries: list[tuple[tuple[int, int], ...] | np.ndarray]) -> Iterator[list[tuple[float, int]]]:
         """For each query the nearest entries as (cosine, entry), exactly: those of greatest cosine, then of smallest number."""
-        size, k, n = self.settings.block, self.settings.nearest, len(self.entries)
+        size, k, n = self.settings.block, self.settings.nearest, len(self.rows[0]) - 1
         # Sums of products of unit vectors err by less than the number of summands times the rounding unit, on both sides.
         slack = 2 * (len(self.dense) + 4) * 2.0**-23 + 1e-8
         (row_starts, row_terms, row_w), (starts, ids, w) = self.rows, self.lists
@@ -146,7 +147,7 @@ class Index:
             yes, all_ = yes + weight * toxic, all_ + weight * (toxic + clean)
         return yes / all_ if all_ > 0 else None
 
-    def score_all(self, queries: list[tuple[tuple[int, int], ...]]) -> Iterator[tuple[float, list[int]]]:
+    def score_all(self, queries: list[tuple[tuple[int, int], ...] | np.ndarray]) -> Iterator[tuple[float, list[int]]]:
         """For each query its calibrated score and the ids of the nearest examples."""
         for near in self.search_all(queries):
             vote = self.vote(near)
@@ -157,6 +158,12 @@ class Index:
             yield float(self.steps[1][at]), [i for _, e in near[:5] for i in self.evidence[e]][:5]
 
 
+def _pairs(counts: dict[int, int]) -> np.ndarray:
+    """Terms and counts as rows, by term."""
+    pairs = np.array([list(counts.keys()), list(counts.values())], dtype=np.int64).T
+    return pairs[np.argsort(pairs[:, 0])]
+
+
 def _ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The numbers from each ``begin`` on, ``length`` of each, in one array."""
     return np.arange(length.sum()) + np.repeat(begin - (np.cumsum(length) - length), length)
@@ -176,7 +183,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return np.array([p[0] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
-def build_index(examples: list[tuple[int, int, dict[int, int]]], weights: np.ndarray, share: dict[int, float], settings: Settings) -> Index:
+def build_index(examples: Iterable[tuple[int, int, dict[int, int]]], weights: np.ndarray, share: dict[int, float], settings: Settings) -> Index:
     """``examples`` are (doc_id, label, counts); ``share`` weighs each class back to its part of the labelled rows."""
     index, groups = Index(weights, settings), {}
     for doc_id, label, counts in examples:
@@ -234,7 +241,7 @@ def _associations(sample: DataFrame) -> dict[str, float]:
                     held.setdefault(w, [0, 0])[label] += 1
         yield pd.DataFrame([(w, b, a) for w, (b, a) in held.items()], columns=["term", "b", "a"])
 
-    present = sample.select("text", "label").mapInPandas(terms, "term string, b long, a long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas()
+    present = sample.select("text", "label").mapInPandas(terms, "term string, b long, a long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow().to_pandas()
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n1, n0 = float(sizes.get(1, 0)), float(sizes.get(0, 0))
     a, b = present["a"].to_numpy(float), present["b"].to_numpy(float)
@@ -261,7 +268,7 @@ def _document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> np.nda
         found = np.flatnonzero(held)
         yield pd.DataFrame({"term": found, "n": held[found]})
 
-    rows = docs.select("text").mapInPandas(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select("text").mapInPandas(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     of = np.zeros(len(vocabulary))
     of[rows["term"].to_numpy(int)] = rows["n"]
     return of
@@ -280,15 +287,16 @@ def fit(docs: DataFrame, labelled: DataFrame, labels: DataFrame, settings: Setti
 
         def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                found = [count_terms(t, known.value) for t in batch["text"]]
-                yield batch[["doc_id", "label"]].assign(terms=[sorted(f) for f in found], counts=[[f[t] for t in sorted(f)] for f in found])
+                cells = [np.array(sorted(count_terms(t, known.value).items()), dtype=np.int32).tobytes() for t in batch["text"]]
+                yield batch[["doc_id", "label"]].assign(cells=cells)
 
-        rows = sample.select(F.col("doc_id").cast("long"), "label", "text").mapInPandas(counts, "doc_id long, label int, terms array<int>, counts array<int>").toPandas()
-    examples = sorted({(d, y, tuple(zip(t.tolist(), c.tolist(), strict=True))) for d, y, t, c in zip(rows["doc_id"].tolist(), rows["label"].tolist(), rows["terms"], rows["counts"], strict=True)})
+        rows = sample.select(F.col("doc_id").cast("long"), "label", "text").mapInPandas(counts, "doc_id long, label int, cells binary").toArrow().to_pydict()
+    examples = sorted(set(zip(rows["doc_id"], rows["label"], rows["cells"], strict=True)))
     del rows
     gains = np.array([gain[t] for t in vocabulary])
     weights = (np.log((1 + docs.count()) / (1 + _document_frequencies(docs, vocabulary))) + 1) * np.sqrt(1 + gains)
-    index = build_index([(d, y, dict(c)) for d, y, c in examples], weights, share, settings)
+    index = build_index(((d, y, dict(np.frombuffer(c, dtype=np.int32).reshape(-1, 2).tolist())) for d, y, c in examples), weights, share, settings)
+    index.entries = []  # held as arrays from here on
     index.named = gains >= settings.named_association
     return index, vocabulary
 
@@ -304,11 +312,11 @@ def score(docs: DataFrame, index: Index | None, vocabulary: dict[str, int]) -> D
             place = {t: i for i, t in enumerate(dict.fromkeys(batch["text"]))}
             rows, texts = [], list(place)
             for start in range(0, len(texts), 256):
-                keys = [tuple(sorted(count_terms(t, vocabulary).items())) for t in texts[start : start + 256]]
+                keys = [_pairs(count_terms(t, vocabulary)) for t in texts[start : start + 256]]
                 scored = index.score_all(keys) if index is not None else [(0.0, [])] * len(keys)
                 for key, (value, ids) in zip(keys, scored, strict=True):
                     value = round(value, 6)
-                    rows.append((value, int(value >= 0.5), ids, [names[t] for t, _ in key if t in names]))
+                    rows.append((value, int(value >= 0.5), ids, [names[t] for t in key[:, 0].tolist() if t in names]))
             found = [rows[place[t]] for t in batch["text"]]
             yield pd.concat([batch[["doc_id"]].astype("Int64"), pd.DataFrame(found, columns=["score", "predicted", "evidence", "terms"], index=batch.index)], axis=1)
 
