@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.llm import decontaminate, extract, langid, linededup, mixing, neardup, outliers, secrets, toolcalls, toxicity
+from logsift.llm import corpus_queries, decontaminate, extract, langid, linededup, mixing, neardup, outliers, secrets, toolcalls, toxicity
 from logsift.llm.common import crc_mod, table
 
 # Tools of the derived calls; "forget" is unknown on purpose.
@@ -212,4 +212,5 @@ CASES = {
     "op8_line_dedup": (op8_line_dedup, OP8),
     "op9_toxicity": (op9_toxicity, None),
     "op10_langid": (op10_langid, None),
+    **corpus_queries.CASES,
 }
