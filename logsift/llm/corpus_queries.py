@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.llm import merkle
+from logsift.llm import merkle, prefixtrie
 from logsift.llm.common import crc_mod, fold, table
+from logsift.staging import stage
 
 # CRC-32 of a decimal number as text, byte by byte through a table of the reflected polynomial.
 CRC = r"""
@@ -71,4 +72,53 @@ FROM climb c JOIN placed p ON p.lang IS NOT DISTINCT FROM c.lang AND p.i = c.lea
 JOIN upper r ON r.n = 1 AND c.level = r.level"""
 
 
-CASES = {"op11_merkle": (op11_merkle, OP11)}
+EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def rebuilt(conversations: DataFrame) -> DataFrame:
+    """Every conversation begins with turns of the one whose id is the next lower multiple of 5."""
+    own = stage(prefixtrie.turns_of(conversations), "turns")
+    base = own.filter("conv_id % 5 = 0").select(F.col("conv_id").alias("base"), F.slice("turns", 1, 8).alias("first"))
+    length = F.crc32(F.col("conv_id").cast("string")) % 9
+    both = own.withColumn("base", F.col("conv_id") - F.col("conv_id") % 5).withColumn("h", length.cast("int")).join(base, "base", "left")
+    first = F.coalesce(F.slice("first", F.lit(1), F.col("h")), F.slice("turns", 1, 0))
+    return stage(both.select("conv_id", F.concat(first, F.slice("turns", F.col("h") + 1, F.size("turns"))).alias("turns")), "rebuilt")
+
+
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    conversations = rebuilt(table(spark, sf, "conversations"))
+    nodes = prefixtrie.nodes(conversations)
+    ended = nodes.filter("class IS NOT NULL").join(prefixtrie.id_digests(conversations), "class")
+    every = ended.unionByName(nodes.filter("class IS NULL").withColumn("ends_sha256", F.lit(EMPTY_SHA256)))
+    return every.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+OP12 = rf"""
+WITH {CRC},
+own AS (
+ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(role) || ':' || role || text)) AS pos, role, text
+ FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS (SELECT DISTINCT conv_id AS c, conv_id - conv_id % 5 AS base, {crc_sql("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM own, poly),
+parts AS (
+ SELECT c, pos, 0 AS half, role, text FROM convs JOIN own ON own.conv_id = base AND pos <= h
+ UNION ALL SELECT c, pos, 1, role, text FROM convs JOIN own ON own.conv_id = c AND pos > h),
+turns AS (
+ SELECT c, row_number() OVER w AS d, strlen(text) AS bytes,
+  string_agg(md5(strlen(role) || ':' || role || text), '') OVER (w ROWS UNBOUNDED PRECEDING) AS prefix FROM parts WINDOW w AS (PARTITION BY c ORDER BY half, pos)),
+members AS (SELECT c, d, prefix, bytes FROM turns UNION ALL SELECT c, 0, '', 0 FROM convs),
+lens AS (SELECT c, max(d) AS len FROM members GROUP BY c),
+nodes AS (
+ SELECT prefix, any_value(m.d) AS depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saved,
+  sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len = m.d), '')) AS ends_sha256
+ FROM members m JOIN lens USING (c) GROUP BY prefix),
+children AS (SELECT left(prefix, length(prefix) - 32) AS prefix, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+spread AS (
+ SELECT left(n.prefix, 32 * k) AS prefix, sum(n.saved) AS saved, count(*) FILTER (ch.n IS NULL) AS leaves
+ FROM nodes n LEFT JOIN children ch USING (prefix), unnest(range(n.depth + 1)) AS t(k) GROUP BY 1)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, CAST(coalesce(ch.n, 0) AS BIGINT) AS n_children,
+ s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN spread s USING (prefix) LEFT JOIN children ch USING (prefix)
+LEFT JOIN nodes p ON n.depth > 0 AND p.prefix = left(n.prefix, length(n.prefix) - 32)"""
+
+
+CASES = {"op11_merkle": (op11_merkle, OP11), "op12_prefix_trie": (op12_prefix_trie, OP12)}
