@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsift.llm import merkle, prefixtrie
+from logsift.llm import lm, merkle, prefixtrie
 from logsift.llm.common import crc_mod, fold, table
 from logsift.staging import stage
 
@@ -121,4 +121,14 @@ FROM nodes n JOIN spread s USING (prefix) LEFT JOIN children ch USING (prefix)
 LEFT JOIN nodes p ON n.depth > 0 AND p.prefix = left(n.prefix, length(n.prefix) - 32)"""
 
 
-CASES = {"op11_merkle": (op11_merkle, OP11), "op12_prefix_trie": (op12_prefix_trie, OP12)}
+def op13_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.coalesce(crc_mod("doc_id", 5) != 1, F.lit(False)).alias("learnt"))
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 1, F.lit(False)).alias("held_out")
+    return lm.score(docs, "learnt").select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+CASES = {
+    "op11_merkle": (op11_merkle, OP11),
+    "op12_prefix_trie": (op12_prefix_trie, OP12),
+    "op13_lm_score": (op13_lm_score, None),
+}
