@@ -212,8 +212,7 @@ def metrics_averaged(
     zero_division: float = 0.0,
     positive_label: Any = True,
 ) -> DataFrame:
-    """One row per kind of average: precision, recall and F1, over both classes unless ``labels`` says otherwise."""
-    labels = labels or CLASSES
+    """One row per kind of average: precision, recall and F1, over the classes that occur unless ``labels`` says otherwise."""
     rows = [
         _row(f"'average', '{kind}'", [_averaged(m, kind, pos_label, zero_division, labels) for m in MEASURES])
         for kind in averages
@@ -221,6 +220,11 @@ def metrics_averaged(
     return confusion_counts(pairs, positive_label).select(F.expr(f"inline(array({', '.join(rows)}))"))
 
 
+def fscore_averaged(pairs: DataFrame, *args, labels: Sequence[int] | None = None, **options) -> DataFrame:
+    """As ``metrics_averaged``, but over both classes unless ``labels`` says otherwise, whether they occur or not."""
+    return metrics_averaged(pairs, *args, labels=labels or CLASSES, **options)
+
+
 def _report(labels: Sequence[int], zero_division: float) -> str:
     support = "(" + " + ".join(_class(c)["true"] for c in labels) + ")"
 

@@ -169,6 +169,13 @@ def metrics_one_sided(spark, sf):
     return _rounded(metrics.metrics_averaged(pairs, zero_division=0.0))
 
 
+def metrics_absent_class(spark, sf):
+    """No line is positive on either side: the averages over classes that occur, and over both."""
+    pairs = lines(spark, sf).select(F.lit(False).alias("y_true"), F.col("raw_text").isNull().alias("y_pred"))
+    occurring = metrics.metrics_averaged(pairs).withColumn("classes", F.lit("occurring"))
+    return _rounded(occurring.unionByName(metrics.fscore_averaged(pairs).withColumn("classes", F.lit("both"))))
+
+
 def metrics_wider_labels(spark, sf):
     """A label that cannot occur has no support and the value for empty ratios."""
     return _rounded(metrics.metrics_by_class(quality_pairs(spark, sf), labels=[0, 1, 2], zero_division=0.0))
@@ -385,6 +392,13 @@ CASES = {
         UNION ALL SELECT 'macro', 0.5, round(tn / n / 2, 9), round(2 * tn / (n + tn) / 2, 9) FROM c
         UNION ALL SELECT 'weighted', 1.0, round(tn / n, 9), round(2 * tn / (n + tn), 9) FROM c""",
     ),
+    "metrics_absent_class": (
+        metrics_absent_class,
+        f"""WITH c AS (SELECT count(*) / count(raw_text) AS share FROM ({LINES})),
+        classes AS (SELECT unnest([{{'classes': 'occurring', 'present': 1}}, {{'classes': 'both', 'present': 2}}], recursive := true))
+        SELECT average, classes, CASE average WHEN 'binary' THEN 0.0 WHEN 'macro' THEN share / present ELSE share END AS precision,
+         precision AS recall, precision AS f1_score FROM c, classes, unnest(['binary', 'micro', 'macro', 'weighted']) AS t(average)""",
+    ),
     "metrics_wider_labels": (
         metrics_wider_labels,
         f"""SELECT label, precision, recall, f1_score, support FROM (SELECT label, {_ROUND}, support FROM ({class_rows(QUALITY_PAIRS)}))
