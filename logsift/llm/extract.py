@@ -8,14 +8,17 @@ the nearer; where the page marks its article, only neighbours inside count, and
 inside and bad outside of it.
 
 Cases: null, empty and tag-free pages without text give an empty text. Unclosed and crossed
-tags end with their container, a tag cut off at the end is dropped. Repeated rows give equal
-results; other columns are kept by ``extract``. A page is read whole, by one task.
+tags end with their container, a tag cut off at the end is dropped. From a quote in a tag that never ends, quotes
+no longer protect a ``>``. Numbers of no character become the replacement character. Repeated rows give equal
+results; other columns are kept by ``extract``. A page is read whole, by one task, in time that grows
+with its length alone, whatever its markup.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,11 +51,12 @@ class Rules:
     many_stop: float = 0.25
 
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|title|noscript|template|svg|textarea|select|iframe|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<[/!?a-zA-Z][^<>]*\Z",
-    re.S | re.I,
-)
+# Elements whose content is no text.
+_RAW = {n: re.compile(rf"</{n}\s*>", re.I) for n in "script style title noscript template svg textarea select iframe object".split()}
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_STOP = re.compile("[>\"']")
+# A number beyond all code points; Python refuses to read very long ones.
+_HUGE = re.compile(r"&#(?:[0-9]{9,}|[xX][0-9a-fA-F]{9,});?")
 _WORD = re.compile(r"\w+")
 _CELLS = set("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption caption address hr legend option summary body html".split())
 _CONTAINERS = set("head div section article main nav aside header footer form ul ol dl table figure details fieldset dialog menu button label center".split())
@@ -103,17 +107,105 @@ def _kind(tag: str, attributes: str, inside: bool) -> str | None:
     return None
 
 
+def tags_of(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Markup from left to right: start, end, name (empty for what is only skipped), closing, attributes.
+
+    Every search either consumes what it has read or finds nothing to the end of the page, which is remembered.
+    """
+    at, last_end, last_start, quoted = 0, page.rfind(">"), page.rfind("<"), True
+    while (start := page.find("<", at)) >= 0:
+        at = start + 1
+        mark = page[at : at + 1]
+        if page.startswith("!--", at):
+            end = page.find("-->", at + 3)
+            at = end + 3 if end >= 0 else len(page)
+            yield start, at, "", False, ""
+            continue
+        if start > last_end:  # no tag ends any more
+            if start == last_start and (mark in ("/", "!", "?") or (mark.isascii() and mark.isalpha())):
+                yield start, len(page), "", False, ""
+                return
+            continue
+        if mark in ("!", "?"):
+            at = page.find(">", at) + 1
+            yield start, at, "", False, ""
+            continue
+        name = _NAME.match(page, at + (mark == "/"))
+        if not name:
+            continue
+        tag, opened = name[0].lower(), name.end()
+        if mark != "/" and tag in _RAW:
+            close = _RAW[tag].search(page, page.find(">", opened) + 1)
+            at = close.end() if close else len(page)
+            yield start, at, "", False, ""
+            continue
+        end = opened
+        while quoted:
+            stop = _STOP.search(page, end)
+            if stop and stop[0] == ">":
+                end = stop.start()
+                break
+            close = page.find(stop[0], stop.end()) if stop else -1
+            quoted, end = close >= 0, close + 1
+        if not quoted:
+            end = page.find(">", opened)
+        at = end + 1
+        yield start, at, tag, mark == "/", page[opened:end]
+
+
+def _plain(text: str) -> str:
+    """Decoded references, single spaces."""
+    return " ".join(html.unescape(_HUGE.sub("\ufffd", text)).split())
+
+
+class _Open:
+    """The containers around the current place, with what is asked of them at hand."""
+
+    def __init__(self):
+        self.stack, self.count, self.bad, self.mains = [], Counter(), 0, 0
+        self.article, self.articles = -1, 0
+
+    def push(self, tag: str, kind: str | None) -> None:
+        self.stack.append((tag, kind))
+        self.count[tag] += 1
+        self.bad += kind == "bad"
+        if kind == "main":
+            if not self.mains:  # an article inside an article is part of it
+                self.article, self.articles = self.articles, self.articles + 1
+            self.mains += 1
+
+    def pop(self) -> str:
+        tag, kind = self.stack.pop()
+        self.count[tag] -= 1
+        self.bad -= kind == "bad"
+        self.mains -= kind == "main"
+        return tag
+
+    def close(self, tag: str) -> None:
+        """Ends the innermost ``tag`` with all that is open in it."""
+        if self.count[tag]:
+            while self.pop() != tag:
+                pass
+
+    def end_head(self) -> None:
+        """A body ends every head, but nothing in it that is still open."""
+        self.bad -= self.count.pop("head")
+        self.stack = [s for s in self.stack if s[0] != "head"]
+
+    def inside(self) -> int:
+        return self.article if self.mains else -1
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's text in pieces between block elements."""
-    blocks, stack = [], []  # stack: (tag, kind, number of the article)
-    parts, linked, link, at, articles = [], 0, False, 0, 0
+    blocks, around = [], _Open()
+    parts, linked, link, at = [], 0, False, 0
 
     def close() -> None:
         nonlocal parts, linked
-        text = " ".join(html.unescape("".join(parts)).split())
+        text = _plain("".join(parts))
         if text:
-            inside = next((n for _, kind, n in reversed(stack) if kind == "main"), -1)
-            blocks.append(Block(text, min(linked, len(text)), any(kind == "bad" for _, kind, _ in stack), inside))
+            blocks.append(Block(text, min(linked, len(text)), around.bad > 0, around.inside()))
         parts, linked = [], 0
 
     def take(piece: str) -> None:
@@ -121,35 +213,27 @@ def blocks_of(page: str) -> list[Block]:
         if piece:
             parts.append(piece)
             if link:
-                linked += len(" ".join(html.unescape(piece).split()))
+                linked += len(_plain(piece))
 
-    for m in _TOKEN.finditer(page):
-        take(page[at : m.start()])
-        at, tag = m.end(), (m[3] or "").lower()
+    for start, end, tag, closing, attributes in tags_of(page):
+        take(page[at:start])
+        at = end
         if tag == "a":
-            link = not m[2]
+            link = not closing
         elif tag == "br":
             parts.append(" ")
         elif tag in _CELLS:
             close()
             link = False
-            if tag in ("body", "html"):
-                stack[:] = [s for s in stack if s[0] != "head"]
+            if tag in ("body", "html") and around.count["head"]:
+                around.end_head()
         elif tag in _CONTAINERS:
             close()
             link = False
-            if not m[2]:
-                if not m[4].endswith("/"):
-                    kind = _kind(tag, m[4], any(s[1] == "main" for s in stack))
-                    # An article inside an article is part of it.
-                    number = next((n for _, k, n in stack if k == "main"), articles)
-                    articles += kind == "main"
-                    stack.append((tag, kind, number))
-            else:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+            if closing:
+                around.close(tag)
+            elif not attributes.endswith("/"):
+                around.push(tag, _kind(tag, attributes, around.mains > 0))
     take(page[at:])
     close()
     return blocks

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import html
 import json
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,11 +59,44 @@ def test_second_pass_inherits():
     assert extract.second_pass([block() for _ in labels], labels) == [True, True, False, False, True, True, True]
 
 
-def test_articles_of_the_given_pages(spark, sf):
-    rows = queries.op5_extract(spark, sf).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id")
-    for r in rows.collect():
-        body = r.html.split("<article>")[1].split("</article>")[0]
-        assert len(r.text.split("\n")) == body.count("<p>") + body.count("<h1>")
+def plain_article(page):
+    """The text of a well-formed page's article, by patterns."""
+    body = re.sub(r"<!--.*?-->|<(script|style|aside|form)\b.*?</\1>", "", page.split("<article>")[1].split("</article>")[0], flags=re.S)
+    blocks = [re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", " ", x)) for x in re.split(r"</?(?:p|h[1-6]|ul|ol|li|table|tr|td|th|div|section|blockquote|pre)\b[^>]*>", body)]
+    return "\n".join(t for t in (" ".join(html.unescape(x).split()) for x in blocks) if t)
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_articles_of_the_given_pages(spark, folder):
+    sf = f"/root/testdata/{folder}"
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    rows = queries.op5_extract(spark, sf).collect()
+    assert sorted(r.page_id for r in rows) == sorted(pages)
+    for r in rows:
+        want = plain_article(pages[r.page_id].html)
+        assert (r.text, r.n_chars, r.url) == (want, len(want), pages[r.page_id].url)
+
+
+@pytest.mark.parametrize(
+    "piece", ["<script ", '<a "', "<li ", "<div>", "</div>", "<!--", "<!--x", "<", "<a '\">", '<p class="a', "<div></p>", "&#1", "</script ", "<body><head>", "<article>", "<a>x", "<section id='"]
+)
+def test_a_megabyte_of_broken_markup_takes_linear_time(piece):
+    for page in (piece * (1_000_000 // len(piece)), "<article>hi" + piece * (1_000_000 // len(piece)) + ">"):
+        start = time.process_time()
+        extract.main_text(page)
+        assert time.process_time() - start < 6  # 2 s on an idle machine
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><p>a <b title=\"x > y\">b</b> c</article>", "a b c"), ("<article><p>a <b title=\"x > y>b</b> c</article>", "a y>b c"),
+        ("<article><p>n &#" + "9" * 5000 + "; &#x" + "f" * 5000 + ";</article>", "n \ufffd \ufffd"), ("<article>1 < 2 <3 </ x> <!doctype a><?php b?>c<p>d <i", "1 < 2 <3 </ x> c\nd"),
+        ("<article>a<div>b<section>c</div>d</article>e<p>f", "a\nb\nc\nd"), ("<head><nav><body><article>x<nav>y</nav></article>", ""), ("<head><title>t<article>x</title><body><main>z", "z"),
+    ],
+)
+def test_odd_markup(page, text):
+    assert extract.main_text(page) == text
 
 
 def calls(spark, rows):
