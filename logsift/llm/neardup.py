@@ -15,7 +15,7 @@ Cases: null, empty and blank texts have no set, link with nothing and are kept.
 ``doc_id`` names no document: such rows are kept, link nothing and have a null component.
 Rows equal in ``doc_id`` are one document, even with different texts. Equal distances
 cannot arise: components are named by their smallest id. Other columns are ignored
-by the links and kept in the output.
+by the links and kept by ``keep_first``, which also drops repeated rows and copies without an id.
 """
 
 from __future__ import annotations
@@ -195,17 +195,27 @@ def _sets(texts: DataFrame, settings: Settings) -> DataFrame:
     return stage(texts.mapInPandas(build, "key binary, set binary"), "sets")
 
 
+def cells(members: DataFrame, settings: Settings) -> DataFrame:
+    """``members`` once for every cell (``low``, ``high``) of their bucket in which they are compared.
+
+    ``largest`` is the bucket's component of most members, ``most``. These are never paired with each other: they
+    and the rest are cut into parts by hash, and a cell has a part of the rest and one part of either. So
+    a bucket with few strays costs a few copies of its members.
+    """
+    rest, large = (F.ceil(n / settings.block) for n in (F.col("size") - F.col("most"), F.col("most")))
+    inside, draw = F.col("component") == F.col("largest"), F.xxhash64("key")
+    mine = F.when(inside, rest + F.pmod(draw, large)).otherwise(F.pmod(draw, rest))
+    other = F.explode(F.sequence(F.lit(0), F.when(inside, rest).otherwise(rest + large) - 1))
+    spread = members.withColumns({"_mine": mine, "_other": other})
+    return spread.withColumns({"low": F.least("_mine", "_other"), "high": F.greatest("_mine", "_other")}).drop("_other", "size", "largest", "most")
+
+
 def _merging_links(members: DataFrame, settings: Settings) -> DataFrame:
     """Links (a, b) between different components inside large buckets, enough to merge all that are linked.
 
-    ``members``: bucket, size, key, component, bands, sig, set. A bucket is cut into
-    parts by hash and each pair of parts compared by one task. A pair that
-    shares several buckets is compared in that of the first band.
+    ``members``: bucket, size, largest, most, key, component, bands, sig, set. A cell is compared by one task. A pair
+    that shares several buckets is compared in that of the first band.
     """
-    parts = F.ceil(F.col("size") / settings.block)
-    mine, other = F.pmod(F.xxhash64("key"), parts), F.explode(F.sequence(F.lit(0), parts - 1))
-    cells = members.withColumns({"_mine": mine, "_other": other})
-    cells = cells.withColumns({"low": F.least("_mine", "_other"), "high": F.greatest("_mine", "_other")}).drop("_other", "size")
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         bands, sig = np.stack(block["bands"].to_numpy()), np.frombuffer(b"".join(block["sig"]), np.uint8).reshape(len(block), -1)
@@ -238,7 +248,7 @@ def _merging_links(members: DataFrame, settings: Settings) -> DataFrame:
                     links.append((keys[a], keys[b]))
         return pd.DataFrame(links, columns=["a", "b"])
 
-    return cells.groupBy("bucket", "low", "high").applyInPandas(compare, "a binary, b binary")
+    return cells(members, settings).groupBy("bucket", "low", "high").applyInPandas(compare, "a binary, b binary")
 
 
 def _rekey(rows: DataFrame) -> DataFrame:
@@ -258,6 +268,11 @@ def _edges(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept`` and its class ``class_id``."""
+    return _linked_rows(docs, settings).drop("key")
+
+
+def _linked_rows(docs: DataFrame, settings: Settings) -> DataFrame:
+    """As ``link``, with the ``key`` of the row's words."""
     spark = docs.sparkSession
     signed = stage(signatures(docs, settings), "signatures")
     out = scratch_path(spark, "classes")
@@ -286,8 +301,10 @@ def link(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         # What shares a bucket without being in one component yet.
         placed = members.join(reps.select("key", "rep"), "key").join(component, F.col("rep") == F.col("node"), "left")
         placed = stage(placed.select("bucket", "key", F.coalesce("component", "rep").alias("component")), "placed")
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
-        mixed = stage(mixed.filter("low < high").select("bucket", "size"), "mixed")
+        mixed = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+        mixed = mixed.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("top"))
+        mixed = mixed.filter("size > top.n").select("bucket", "size", F.col("top.component").alias("largest"), F.col("top.n").alias("most"))
+        mixed = stage(mixed, "mixed")
         placed = stage(placed.join(mixed, "bucket"), "placed")
         few = placed.filter(F.col("size") <= settings.small_bucket)
         one, other = (few.select("bucket", F.col("key").alias(k), F.col("component").alias(f"in_{k}")) for k in "ab")
@@ -305,10 +322,42 @@ def link(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     linked = signed.select("doc_id", "key", "n_shingles").join(classes, "key", "left")
     group = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     kept = F.coalesce(group == F.col("doc_id"), F.lit(True))
-    return linked.select("doc_id", "n_shingles", group.alias("component_id"), kept.alias("kept"), F.coalesce("rep", "doc_id").alias("class_id"))
+    return linked.select("doc_id", "key", "n_shingles", group.alias("component_id"), kept.alias("kept"), F.coalesce("rep", "doc_id").alias("class_id"))
 
 
 def keep_first(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``docs`` without the documents that are linked to one of smaller id."""
-    gone = link(docs, settings).filter("NOT kept").select("doc_id").distinct()
-    return attach(docs, "doc_id", gone, 24, "left_anti")
+    """One document of each group of near duplicates, that of the smallest id.
+
+    Of rows with one id and the same words only one stays. A row without an id stays
+    only if no other row, with or without an id, has its words; near copies of it are not looked for. Which of equal
+    rows stays is arbitrary, texts without a word all stay.
+    """
+    docs = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    decided = stage(_linked_rows(docs.select("doc_id", "text"), settings), "decided")
+    gone = decided.filter("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
+    # Rows to compare by their words: of ids that come with the same words twice, and all without an id.
+    equal = decided.filter("kept AND n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id", "key").agg(F.count("*").alias("rows")).filter("rows > 1")
+    equal = stage(equal.select(F.col("doc_id").alias("_id")).distinct(), "equal")
+    named = attach(docs.filter("_id IS NOT NULL"), "_id", gone, 24, "left_anti")
+    once = attach(named, "_id", equal, 24, "left_anti")
+    twice = _with_key(attach(named, "_id", equal, 24, "left_semi"))
+    nameless = _with_key(docs.filter("_id IS NULL"))
+    known = decided.filter("n_shingles > 0 AND doc_id IS NOT NULL").select(F.col("key").alias("_key")).distinct()
+    # Copies are combined before the shuffle, so a text with very many costs one row per task.
+    single = twice.filter("_key IS NOT NULL").dropDuplicates(["_id", "_key"])
+    alone = stage(nameless.filter("_key IS NOT NULL").dropDuplicates(["_key"]), "alone").join(known, "_key", "left_anti")
+    kept = [rows.select(*once.columns) for rows in (single, alone, twice.filter("_key IS NULL"), nameless.filter("_key IS NULL"))]
+    for rows in kept:
+        once = once.unionByName(rows)
+    return once.drop("_id")
+
+
+def _with_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with the ``_key`` of their words; null without a word."""
+
+    @F.pandas_udf("binary")
+    def key(texts: pd.Series) -> pd.Series:
+        words = (WORDS.findall((t or "").translate(FOLD)) for t in texts)
+        return pd.Series([hashlib.md5(" ".join(w).encode(), usedforsecurity=False).digest() if w else None for w in words], dtype=object)
+
+    return docs.withColumn("_key", key("text"))

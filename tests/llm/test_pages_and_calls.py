@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from logsift.llm import extract, queries, toolcalls
+from tests.llm import brute
 
 LONG = "The weather in the north of the country is as it was on the day that they left for the coast, and it will be so for some time to come yet."
 PAGES = [
@@ -143,6 +144,36 @@ def test_pipeline(spark, sf):
     assert all(r.taken > 0 for r in rows)
 
 
+def test_pipeline_stages_match_plain_python(spark, sf):
+    """Each stage after the first on its own input, against the brute-force versions."""
+    stages, items = dict(corpus_pipeline.STAGES), [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.unionByName(docs.limit(5)).unionByName(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    step = lambda name, rows: sorted(stages[name](spark, spark.createDataFrame(rows, docs.schema), sf).collect(), key=repr)
+    rows = docs.collect()
+    found = step("line_dedup", rows)
+    edited = brute.without_copies([(r.doc_id, r.text) for r in rows], 50)
+    want = [(r.doc_id, edited[r.doc_id, r.text]) for r in rows]
+    assert [(r.doc_id, r.text) for r in found] == sorted([w for w, r in zip(want, rows, strict=True) if brute.WORD.search(w[1]) or w[1] == r.text], key=repr)
+    rows, found = found, step("near_dedup", found)
+    groups = brute.components([(r.doc_id, r.text) for r in rows if r.doc_id is not None])
+    words = {tuple(brute.WORD.findall(r.text.lower())) for r in rows if r.doc_id is not None}
+    alone = {tuple(brute.WORD.findall(r.text.lower())) for r in rows if r.doc_id is None} - words
+    assert sorted(r.doc_id for r in found if r.doc_id is not None) == sorted({d for d, (_, c) in groups.items() if d == c}) and len([r for r in found if r.doc_id is None]) == len(alone)
+    rows, found = found, step("decontamination", found)
+    bad = {d for d, *_ in brute.contained([(i, r.text) for i, r in enumerate(rows)], items)}
+    assert found == sorted([r for i, r in enumerate(rows) if i not in bad], key=repr)
+    rows, mixed = found, step("mix", found)
+    per, order = {}, sorted({r.source for r in rows})
+    for r in rows:
+        per[r.source] = per.get(r.source, 0) + len(brute.WORD.findall(r.text))
+    assert {r.source: r.source_size for r in mixed} == per and order
+    for s in order:
+        mine = [r for r in mixed if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 0.5 and all(r.taken <= 3 * r.size for r in mine)
+    assert abs(sum({r.source: r.target for r in mixed}.values()) - sum(per.values())) < 1e-6
+
+
 def test_pipeline_on_odd_rows(spark, tmp_path):
     rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, "12 34", None, None, 5), (3, LONG, "en", "a", 3), (3, LONG, "en", "a", 3), (None, LONG + " x", "en", "", 1)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
