@@ -12,14 +12,15 @@ Canonical JSON has keys in code point order, no white space, numbers without
 needless fractions, and other characters than quotes, backslashes and controls as they are.
 
 Cases: rows without a conversation or call identifier are left out. A call without result, a result without call, an unknown tool,
-arguments that are null, no JSON object or hold a repeated key are reported in ``status`` and ``errors``; ``after`` naming no call
-counts as no dependency and is null in the result. Columns beyond those named are ignored.
+arguments that are null, no JSON object, hold a repeated key or nest deeper than 200 levels are reported in ``status`` and ``errors``; ``after`` naming no call
+counts as no dependency and is null in the result. Words of a schema that are not checked are reported with each call of the tool. Columns beyond those named are ignored.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,11 +30,16 @@ from pyspark.sql import functions as F
 from logsift.staging import scratch_path, stage, stage_at, temporary_stages
 
 KEY = ["conv_id", "call_id"]
+# Arguments nested deeper are reported, not read on: parsing and writing JSON recurse.
+MOST_DEPTH = 200
 _TYPES = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None)}
+# What of JSON Schema is checked; other words are reported, but for those that only describe.
+_CHECKED = {"type", "enum", "const", "minimum", "maximum", "minLength", "maxLength", "pattern", "required", "properties", "additionalProperties", "items", "minItems", "maxItems", "anyOf"}
+_DESCRIBES = {"title", "description", "default", "examples", "$schema", "$id", "$comment", "format"}
 
 
 def canonical(value) -> str:
-    """Canonical JSON of a parsed value."""
+    """Canonical JSON of a parsed value, which is nested at most ``MOST_DEPTH`` deep."""
     text = json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
     try:
         text.encode()
@@ -67,37 +73,94 @@ def _finite(number: str) -> float:
     return value
 
 
+def depth(text: str) -> int:
+    """How deep brackets nest outside of strings, without recursion."""
+    now = most = 0
+    for mark in _MARKS.findall(text):
+        if mark in "[{":
+            now += 1
+            most = max(most, now)
+        elif mark in "]}":
+            now -= 1
+    return most
+
+
+_MARKS = re.compile(r'"(?:[^"\\]|\\.)*+"?|[\[\]{}]', re.S)
+
+
 def parse(text: str | None):
-    """A JSON value; ValueError if it is none or ambiguous."""
+    """A JSON value; ValueError if it is none, ambiguous or too deep."""
     if text is None:
         raise ValueError("no arguments")
+    if depth(text) > MOST_DEPTH:
+        raise ValueError("nested too deep")
     return json.loads(text, object_pairs_hook=_pairs, parse_constant=_no_constant, parse_float=_finite)
 
 
-def problems(value, schema: dict, path: str = "$") -> list[str]:
-    """What of ``type, enum, minimum, maximum, minLength, required, properties, additionalProperties, items`` is not met."""
-    kind = schema.get("type")
-    number = isinstance(value, int | float) and not isinstance(value, bool)
-    fits = {"number": number, "integer": number and value == int(value)}.get(kind)
-    if kind and not (isinstance(value, _TYPES[kind]) if fits is None else fits):
-        return [f"{path}: not of type {kind}"]
-    found = []
-    if "enum" in schema and value not in schema["enum"]:
+def _number(value) -> bool:
+    return isinstance(value, int | float) and not isinstance(value, bool)
+
+
+def _is(value, kind: str) -> bool:
+    if kind in ("number", "integer"):
+        return _number(value) and (kind == "number" or value == int(value))
+    return isinstance(value, _TYPES[kind])
+
+
+def _same(one, other) -> bool:
+    """Equal as JSON: true is not 1, but 1.0 is."""
+    if isinstance(one, dict) and isinstance(other, dict):
+        return one.keys() == other.keys() and all(_same(one[k], other[k]) for k in one)
+    if isinstance(one, list) and isinstance(other, list):
+        return len(one) == len(other) and all(map(_same, one, other))
+    return one == other and isinstance(one, bool) == isinstance(other, bool)
+
+
+def unchecked(schema, path: str = "$") -> list[str]:
+    """Words and types of a schema that ``problems`` does not know; a schema is data of the caller, of few levels."""
+    if isinstance(schema, bool):
+        return []
+    kinds = schema.get("type", [])
+    found = [f"{path}: unknown type {k}" for k in ([kinds] if isinstance(kinds, str) else kinds) if k not in _TYPES and k not in ("number", "integer")]
+    found += [f"{path}: unknown schema word {k}" for k in sorted(schema.keys() - _CHECKED - _DESCRIBES)]
+    for k, part in schema.get("properties", {}).items():
+        found += unchecked(part, f"{path}.{k}")
+    for part in (schema.get(k) for k in ("items", "additionalProperties")):
+        found += unchecked(part, f"{path}[]") if part is not None else []
+    return found + [p for part in schema.get("anyOf", []) for p in unchecked(part, path)]
+
+
+def problems(value, schema, path: str = "$") -> list[str]:
+    """What of the schema is not met; a type may be a list of types. ``unchecked`` tells what is not looked at."""
+    if isinstance(schema, bool):
+        return [] if schema else [f"{path}: not allowed"]
+    kinds = schema.get("type")
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(_is(value, k) for k in kinds if k in _TYPES or k in ("number", "integer")):
+        return [f"{path}: not of type {' or '.join(kinds)}"]
+    found, number = [], _number(value)
+    if "enum" in schema and not any(_same(value, v) for v in schema["enum"]):
         found.append(f"{path}: not one of the allowed values")
+    if "const" in schema and not _same(value, schema["const"]):
+        found.append(f"{path}: not the given value")
     if number and value < schema.get("minimum", value):
         found.append(f"{path}: below {schema['minimum']}")
     if number and value > schema.get("maximum", value):
         found.append(f"{path}: above {schema['maximum']}")
-    if isinstance(value, str) and len(value) < schema.get("minLength", 0):
-        found.append(f"{path}: too short")
+    for kind, name in ((str, "Length"), (list, "Items")):
+        if isinstance(value, kind) and len(value) < schema.get(f"min{name}", 0):
+            found.append(f"{path}: too short")
+        if isinstance(value, kind) and len(value) > schema.get(f"max{name}", len(value)):
+            found.append(f"{path}: too long")
+    if isinstance(value, str) and "pattern" in schema and not re.search(schema["pattern"], value):
+        found.append(f"{path}: does not match")
+    if "anyOf" in schema and all(problems(value, part, path) for part in schema["anyOf"]):
+        found.append(f"{path}: fits none of the alternatives")
     if isinstance(value, dict):
-        known = schema.get("properties", {})
+        known, others = schema.get("properties", {}), schema.get("additionalProperties", True)
         found += [f"{path}.{k}: missing" for k in sorted(schema.get("required", [])) if k not in value]
         for k in sorted(value):
-            if k in known:
-                found += problems(value[k], known[k], f"{path}.{k}")
-            elif schema.get("additionalProperties", True) is False:
-                found.append(f"{path}.{k}: not allowed")
+            found += problems(value[k], known.get(k, others), f"{path}.{k}")
     if isinstance(value, list) and "items" in schema:
         found += [p for i, v in enumerate(value) for p in problems(v, schema["items"], f"{path}[{i}]")]
     return found
@@ -121,6 +184,8 @@ def levels(calls: DataFrame) -> DataFrame:
 
 
 def _checked(rows: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+    blind = {name: [f"schema {p}" for p in unchecked(schema)] for name, schema in schemas.items()}
+
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             errors, lines = [], []
@@ -131,12 +196,13 @@ def _checked(rows: DataFrame, schemas: dict[str, dict]) -> DataFrame:
                         arguments = parse(r.arguments)
                         if not isinstance(arguments, dict):
                             found, arguments = ["arguments: no object"], None
-                    except (ValueError, RecursionError) as failure:
-                        found = [f"arguments: {'repeated key' if str(failure) == 'repeated key' else 'not valid JSON'}"]
+                    except ValueError as failure:
+                        known = str(failure) in ("repeated key", "nested too deep")
+                        found = [f"arguments: {failure if known else 'not valid JSON'}"]
                     if r.name not in schemas:
                         found.append("name: unknown tool")
                     elif arguments is not None:
-                        found += problems(arguments, schemas[r.name])
+                        found += problems(arguments, schemas[r.name]) + blind[r.name]
                 errors.append(found)
                 lines.append(canonical({"call_id": r.call_id, "name": r.name, "arguments": arguments, "result": r.content}))
             yield batch.drop(columns=["arguments", "content"]).assign(errors=errors, json=lines)

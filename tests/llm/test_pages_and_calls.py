@@ -131,6 +131,30 @@ def test_link(spark):
     assert toolcalls.link(calls(spark, []), results.limit(0), {}).count() == 0
 
 
+@pytest.mark.parametrize(
+    "value, schema, errors",
+    [
+        (None, {"type": ["string", "null"]}, []), (1, {"type": ["string", "null"]}, ["$: not of type string or null"]), (2.0, {"type": "integer"}, []), (True, {"type": "integer"}, ["$: not of type integer"]),
+        (True, {"enum": [1]}, ["$: not one of the allowed values"]), ([1.0], {"enum": [[1]]}, []), ({"a": True}, {"const": {"a": 1}}, ["$: not the given value"]), ("ab", {"pattern": "^b"}, ["$: does not match"]),
+        ({"x": {"y": 1}}, {"additionalProperties": {"additionalProperties": {"type": "string"}}}, ["$.x.y: not of type string"]), ({"x": 1}, {"properties": {"x": False}}, ["$.x: not allowed"]),
+        ([], {"minItems": 1}, ["$: too short"]), ("abc", {"maxLength": 2}, ["$: too long"]), ("a", {"anyOf": [{"type": "null"}, {"minLength": 2}]}, ["$: fits none of the alternatives"]), (3, {"type": "tuple"}, ["$: not of type tuple"]),
+    ],
+)
+def test_schemas(value, schema, errors):
+    assert toolcalls.problems(value, schema) == errors
+
+
+def test_unchecked_words_and_depth(spark):
+    schema = {"type": "object", "properties": {"x": {"$ref": "#/y", "title": "X"}, "z": {"items": {"type": ["null", "odd"]}}}, "anyOf": [{"oneOf": []}]}
+    assert toolcalls.unchecked(schema) == ["$.x: unknown schema word $ref", "$.z[]: unknown type odd", "$: unknown schema word oneOf"]
+    deep = '{"a":' * 1500 + "1" + "}" * 1500
+    made = [(1, "a", 1, "t", deep, None), (1, "b", 2, "t", '{"x": "[[{\\""}', None), (1, "c", 3, "t", "[" * 100_000, None), (1, "d", 4, "t", '{"x":' * 199 + "{}" + "}" * 199, None)]
+    got = {r.call_id: r for r in toolcalls.link(calls(spark, made), spark.createDataFrame([], "conv_id long, call_id string, turn long, content string"), {"t": schema}).collect()}
+    blind = [f"schema {p}" for p in toolcalls.unchecked(schema)]
+    assert got["a"].errors == ["arguments: nested too deep"] == got["c"].errors and '"arguments":null' in got["a"].json
+    assert got["b"].errors == blind and got["d"].errors == blind and got["d"].json.count("{") == 201
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
