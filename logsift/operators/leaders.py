@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsift.operators.similarity import _DIGITS, _nonzero, held_in_blocks, matrix, top_matches
+from logsift.operators.blocks import DIGITS, matrix
+from logsift.operators.similarity import _nonzero, held_in_blocks, top_matches, top_matches_once
 from logsift.staging import scratch_path, stage, stage_at
 
 HEAD_ROWS = 4096
@@ -44,7 +45,7 @@ def _head_leaders(rows: DataFrame, threshold: float, head_rows: int) -> DataFram
         for i in range(len(units)):
             if not blocked[i]:
                 leaders.append(i)
-                later = np.round(units[i + 1 :] @ units[i], _DIGITS) >= threshold
+                later = np.round(units[i + 1 :] @ units[i], DIGITS) >= threshold
                 blocked[i + 1 :] |= later
         return table.select(["ord", "vec"]).take(pa.array(leaders, pa.int64()))
 
@@ -117,10 +118,8 @@ def select_leaders(rows: DataFrame, threshold: float, head_rows: int = HEAD_ROWS
 def follow(rows: DataFrame, leaders: DataFrame, threshold: float, **search) -> DataFrame:
     """``(ord, leader, sim)``: the most similar earlier leader of each row that has one.
 
-    ``rows`` should not hold the leaders. Copies are looked up one by one,
-    because a later copy may see more leaders than an earlier one.
+    ``rows`` should not hold the leaders. Equal vectors are looked up once; a copy that comes
+    before the best of all leaders sees fewer leaders and is looked up again.
     """
-    found = top_matches(
-        _as_queries(rows), _as_store(leaders), threshold=threshold, earlier_only=True, **search
-    )
+    found = top_matches_once(_as_queries(rows), _as_store(leaders), threshold, True, **search)
     return found.select(F.col("qid").alias("ord"), F.col("sid").alias("leader"), "sim")

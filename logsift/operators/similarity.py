@@ -3,58 +3,33 @@
 Both sides are spread over blocks of at most a few ten thousand vectors. A
 task gets one query block and one store block, multiplies them with NumPy and
 returns the best ``k`` store rows per query, so no pair ever becomes a row.
-With a threshold, block pairs that cannot reach it are left out: angles obey
-the triangle inequality, so the angle between two pivots minus the radii of
-their cells bounds every angle between members of the two cells.
+A store of more than a few blocks is cut into cells first, and a query meets only
+the cells that can hold a hit (``operators.cells``).
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logsift.functions.vectors import is_finite
+from logsift.operators.blocks import DIGITS, HIT_SCHEMA, best_in_block, matrix, tasks_for
+from logsift.operators.cells import best_hits, partition
 from logsift.operators.skew import join_unique
+from logsift.staging import stage
 
-HIT_SCHEMA = "qid long, sid long, sim double"
-_TILE = 2048
 # A task holds two blocks of this size, and their Arrow form at half of it. Larger
 # blocks mean fewer copies of each row in the shuffle.
 _BLOCK_BYTES = 256 << 20
 _MIN_BLOCK = 512
 _MAX_PIVOTS = 256
-# Similarities are rounded before any comparison, so equal vectors score exactly 1.
-_DIGITS = 12
-
-
-def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """A list column as rows of unit length; zero rows stay zero, null and non-finite ones become zero."""
-    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    held = array.is_valid().to_numpy(zero_copy_only=False)
-    if not held.any():
-        return np.zeros((len(array), 0))
-    values = array.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    values = values.reshape(int(held.sum()), -1)
-    rows = np.zeros((len(array), values.shape[1]))
-    rows[held] = np.where(np.isfinite(values).all(axis=1, keepdims=True), values, 0.0)
-    length = np.linalg.norm(rows, axis=1, keepdims=True)
-    return rows / np.where(length == 0, 1.0, length)
-
-
-@dataclass(frozen=True)
-class _Grid:
-    """How many blocks each cell has, and which cells have to meet."""
-
-    pivots: np.ndarray
-    query_blocks: dict[int, int]
-    store_blocks: dict[int, int]
-    pairs: list[tuple[int, int]]
+# Up to so many blocks, a full comparison costs less than cells.
+_FEW_BLOCKS = 8
 
 
 def _block_rows(n_query: int, n_store: int, dim: int, parallelism: int) -> int:
@@ -64,13 +39,6 @@ def _block_rows(n_query: int, n_store: int, dim: int, parallelism: int) -> int:
     return min(fits, max(_MIN_BLOCK, spread))
 
 
-def _tasks(spark: SparkSession, pieces: int) -> int:
-    wanted = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism
-    )
-    return max(1, min(pieces, wanted))
-
-
 def _with_cells(df: DataFrame, vector: str, pivots: np.ndarray) -> DataFrame:
     """Nearest pivot of each row and the angle to it."""
     if len(pivots) <= 1:
@@ -105,89 +73,13 @@ def _cell_stats(df: DataFrame, rows: int, pivots: int) -> dict[int, tuple[int, f
 def _centres(store: DataFrame, rows: int, dim: int, block_rows: int, pivots: int | None) -> np.ndarray:
     """Vectors to measure angles from: an even choice of store rows, at most a few hundred."""
     if pivots is None:
-        pivots = min(_MAX_PIVOTS, rows // (8 * block_rows))
+        pivots = min(_MAX_PIVOTS, rows // (_FEW_BLOCKS * block_rows))
     if pivots <= 1:
         return np.zeros((1, dim))
     chosen = store.orderBy(F.xxhash64("sid"), "sid").limit(pivots).select("svec").toArrow()
     return matrix(chosen.column("svec"))
 
 
-def _plan_grid(query_stats, store_stats, pivots, threshold, block_rows) -> _Grid:
-    pairs = [(q, s) for q in query_stats for s in store_stats]
-    if len(pivots) > 1 and threshold is not None:
-        between = np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0))
-        reach = math.acos(min(1.0, threshold)) + 1e-6
-        pairs = [
-            (q, s) for q, s in pairs if between[q, s] - query_stats[q][1] - store_stats[s][1] <= reach
-        ]
-    blocks = lambda stats: {c: math.ceil(n / block_rows) for c, (n, _) in stats.items()}
-    return _Grid(pivots, blocks(query_stats), blocks(store_stats), pairs)
-
-
-def _spread(df: DataFrame, row_id: str, own: str, grid: _Grid) -> DataFrame:
-    """Send each row, in its block, to every block of the other side it has to meet."""
-    other = "s" if own == "q" else "q"
-    blocks = {"q": grid.query_blocks, "s": grid.store_blocks}
-    partners: dict[int, list[tuple[int, int]]] = {}
-    for pair in grid.pairs:
-        mine, theirs = pair if own == "q" else pair[::-1]
-        partners.setdefault(mine, []).append((theirs, blocks[other][theirs]))
-    if len(grid.pivots) <= 1:
-        only = F.struct(F.lit(0).alias("cell"), F.lit(blocks[other][0]).alias("n"))
-        placed = df.withColumn("_n", F.lit(blocks[own][0])).withColumn("_to", F.array(only))
-    else:
-        cells = [(cell, blocks[own][cell], targets) for cell, targets in partners.items()]
-        schema = "_cell int, _n int, _to array<struct<cell:int, n:int>>"
-        placed = df.join(F.broadcast(df.sparkSession.createDataFrame(cells, schema)), "_cell")  # a row per pivot
-    return (
-        placed.withColumn(f"{own}b", F.pmod(F.xxhash64(row_id), F.col("_n")).cast("int"))
-        .withColumn("_t", F.explode("_to"))
-        .withColumn(f"{other}b", F.explode(F.sequence(F.lit(0), F.col("_t.n") - 1)))
-        .withColumn(f"{own}c", F.col("_cell"))
-        .withColumn(f"{other}c", F.col("_t.cell"))
-        .select("qc", "qb", "sc", "sb", *[c for c in df.columns if not c.startswith("_")])
-    )
-
-
-def best_in_block(qid, queries, sid, store, k, threshold, earlier_only):
-    """The best ``k`` store rows per query, smaller id first among equals."""
-    order = np.argsort(sid, kind="stable")
-    sid, store = sid[order], store[order]
-    floor = -np.inf if threshold is None else threshold
-    out_q, out_s, out_v = [], [], []
-    for start in range(0, len(qid), _TILE):
-        ids, tile = qid[start : start + _TILE], queries[start : start + _TILE]
-        found_s, found_v = [], []
-        for left in range(0, len(sid), _TILE):
-            columns = sid[left : left + _TILE]
-            sims = np.round(tile @ store[left : left + _TILE].T, _DIGITS)
-            if earlier_only:
-                sims[columns[None, :] >= ids[:, None]] = -np.inf
-            rows = np.arange(len(ids))
-            if k > 16:
-                top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                found_s.append(columns[top])
-                found_v.append(np.take_along_axis(sims, top, axis=1))
-                continue
-            for _ in range(min(k, len(columns))):
-                at = sims.argmax(axis=1)
-                found_s.append(columns[at][:, None])
-                found_v.append(sims[rows, at][:, None])
-                sims[rows, at] = -np.inf
-        if not found_s:
-            continue
-        all_s, all_v = np.hstack(found_s), np.hstack(found_v)
-        keep = np.lexsort((all_s, -all_v), axis=1)[:, :k]
-        top_s, top_v = np.take_along_axis(all_s, keep, 1), np.take_along_axis(all_v, keep, 1)
-        hit = (top_v >= floor) & np.isfinite(top_v)
-        out_q.append(np.broadcast_to(ids[:, None], hit.shape)[hit])
-        out_s.append(top_s[hit])
-        out_v.append(top_v[hit])
-    if not out_q:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return np.concatenate(out_q), np.concatenate(out_s), np.concatenate(out_v)
-
-
 def top_matches(
     queries: DataFrame,
     store: DataFrame,
@@ -202,7 +94,7 @@ def top_matches(
     ``queries`` has ``qid`` and ``qvec``, ``store`` has ``sid`` and ``svec``.
     ``threshold`` keeps hits with ``sim >= threshold``; ``earlier_only`` keeps
     those with ``sid < qid``. Both inputs are read more than once, so they
-    should be stored tables.
+    should be stored tables. ``pivots`` above 1 sets the number of cells, 1 compares all blocks.
     """
     spark = queries.sparkSession
     # A broken vector is similar to nothing, and must not hide others.
@@ -211,21 +103,22 @@ def top_matches(
     n_query, n_store = queries.count(), store.count()
     if n_query == 0 or n_store == 0:
         return spark.createDataFrame([], HIT_SCHEMA + ", rank int")
-    dim = _dimension(store)
     if block_rows is None:
-        block_rows = _block_rows(n_query, n_store, dim, spark.sparkContext.defaultParallelism)
-
-    prune = threshold is not None and threshold > 0
-    if prune:  # a zero vector has similarity 0 to everything
+        block_rows = _block_rows(n_query, n_store, _dimension(store), spark.sparkContext.defaultParallelism)
+    if threshold is not None and threshold > 0:  # a zero vector has similarity 0 to everything
         queries, store = queries.where(_nonzero("qvec")), store.where(_nonzero("svec"))
-    centres = _centres(store, n_store, dim, block_rows, pivots if prune else 1)
-    queries, store = _with_cells(queries, "qvec", centres), _with_cells(store, "svec", centres)
-    query_stats = _cell_stats(queries, n_query, len(centres))
-    store_stats = _cell_stats(store, n_store, len(centres))
-    grid = _plan_grid(query_stats, store_stats, centres, threshold, block_rows)
-    if not grid.pairs:
-        return spark.createDataFrame([], HIT_SCHEMA + ", rank int")
-    left, right = _spread(queries, "qid", "q", grid), _spread(store, "sid", "s", grid)
+    if (pivots or 0) > 1 or (pivots is None and n_store > _FEW_BLOCKS * block_rows):
+        return partition(store, n_store, block_rows, pivots).search(queries, k, threshold, earlier_only)
+    return best_hits(_compare_all(queries, store, n_query, n_store, k, threshold, earlier_only, block_rows), k)
+
+
+def _compare_all(queries, store, n_query, n_store, k, threshold, earlier_only, block_rows) -> DataFrame:
+    """The best ``k`` rows of each query in each block of the store: every pair of blocks meets."""
+    n = {"q": math.ceil(n_query / block_rows), "s": math.ceil(n_store / block_rows)}
+
+    def spread(df: DataFrame, own: str, other: str) -> DataFrame:
+        block = F.pmod(F.xxhash64(f"{own}id"), F.lit(n[own])).cast("int")
+        return df.withColumns({f"{own}b": block, f"{other}b": F.explode(F.sequence(F.lit(0), F.lit(n[other] - 1)))})
 
     def block(left_rows: pa.Table, right_rows: pa.Table) -> pa.Table:
         found = ([], [], [])
@@ -247,20 +140,27 @@ def top_matches(
             }
         )
 
-    keys = ["qc", "qb", "sc", "sb"]
-    # Few bytes can mean much work here, so the number of tasks is set by block pairs.
-    tasks = _tasks(spark, sum(grid.query_blocks[q] * grid.store_blocks[s] for q, s in grid.pairs))
-    left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
-    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(block, HIT_SCHEMA)
-    if k == 1:
-        best = F.max(F.struct(F.col("sim"), (-F.col("sid")).alias("neg")))
-        return (
-            hits.groupBy("qid")
-            .agg(best.alias("b"))
-            .select("qid", (-F.col("b.neg")).alias("sid"), F.col("b.sim").alias("sim"), F.lit(1).alias("rank"))
-        )
-    order = Window.partitionBy("qid").orderBy(F.desc("sim"), "sid")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    keys, tasks = ["qb", "sb"], tasks_for(queries.sparkSession, n["q"] * n["s"])
+    left, right = spread(queries, "q", "s").repartition(tasks, *keys), spread(store, "s", "q").repartition(tasks, *keys)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(block, HIT_SCHEMA)
+
+
+def top_matches_once(queries: DataFrame, store: DataFrame, threshold: float, earlier_only: bool = False, **search) -> DataFrame:
+    """``top_matches`` with ``k`` of 1, where equal query vectors are compared once.
+
+    Of each distinct vector one row searches the whole store. Its best hit serves all copies, but with ``earlier_only``
+    for copies that come no later than the hit: these few search again, each with its own place in the order.
+    """
+    queries = queries.select("qid", "qvec").where(_nonzero("qvec") if threshold > 0 else is_finite(F.col("qvec")))
+    single = stage(queries.groupBy("qvec").agg(F.min("qid").alias("rep")), "distinct")
+    found = top_matches(single.select(F.col("rep").alias("qid"), "qvec"), store, 1, threshold, False, **search)
+    named = single.join(found.withColumnRenamed("qid", "rep"), "rep").select("qvec", "sid", "sim")
+    hits = join_unique(queries, stage(named, "named"), "qvec").select("qid", "qvec", "sid", "sim")
+    if not earlier_only:
+        return hits.select("qid", "sid", "sim", F.lit(1).alias("rank"))
+    hits = stage(hits, "hits")
+    again = top_matches(hits.where("sid >= qid").select("qid", "qvec"), store, 1, threshold, True, **search)
+    return hits.where("sid < qid").select("qid", "sid", "sim", F.lit(1).alias("rank")).unionByName(again)
 
 
 def _nonzero(vector: str) -> Column:
@@ -295,7 +195,7 @@ def held_in_blocks(
         held, _, _ = best_in_block(ids, units, ids, units, 1, threshold, True)
         return pa.table({"qid": pa.array(held, pa.int64())})
 
-    tasks = _tasks(spark, sum(blocks.values()))
+    tasks = tasks_for(spark, sum(blocks.values()))
     return salted.repartition(tasks, "_cell", "_block").groupBy("_cell", "_block").applyInArrow(block, "qid long")
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logsift.staging import stage
 
@@ -11,9 +12,19 @@ SALTS = 32
 
 
 def _bytes(rows: DataFrame) -> int:
-    """What the rows take, long texts included."""
-    width = F.octet_length(F.to_json(F.struct(*rows.columns))).cast("long")
-    return rows.agg(F.sum(width)).first()[0] or 0
+    """What the rows take: strings as long as they are, lists by their items, other columns by a bound."""
+
+    def width(column: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StringType | T.BinaryType):
+            return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+        if isinstance(kind, T.ArrayType):
+            return F.greatest(F.size(column), F.lit(0)) * 24 + 24 if not isinstance(kind.elementType, T.StringType | T.BinaryType | T.StructType | T.ArrayType | T.MapType) else F.octet_length(F.to_json(column))
+        if isinstance(kind, T.StructType):
+            return sum((width(column[f.name], f.dataType) for f in kind), F.lit(8))
+        return F.octet_length(F.to_json(F.struct(column))) if isinstance(kind, T.MapType | T.VariantType) else F.lit(16)
+
+    row = sum((width(F.col(f.name), f.dataType) for f in rows.schema), F.lit(8))
+    return rows.agg(F.sum(F.coalesce(row.cast("long"), F.lit(64)))).first()[0] or 0
 
 
 def join_unique(facts: DataFrame, unique: DataFrame, key: str, broadcast_bytes: int = 32 << 20) -> DataFrame:

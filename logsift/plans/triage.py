@@ -12,7 +12,7 @@ from logsift.operators.batching import assign_batches, batch_text, collect_entri
 from logsift.operators.classify import Classifier, classify_batches, rule_results
 from logsift.operators.embed import HASHED_ENCODER, hashed_embedding
 from logsift.operators.leaders import HEAD_ROWS, follow, select_leaders
-from logsift.operators.similarity import top_matches
+from logsift.operators.similarity import top_matches_once
 from logsift.operators.skew import SALTS, join_unique
 from logsift.schemas import DEFAULT_BATCH_SIZE, DEFAULT_REUSE_THRESHOLD
 from logsift.sources.store import VectorStore
@@ -53,12 +53,13 @@ def stored_verdicts(batches: DataFrame, store: DataFrame, threshold: float) -> D
     """``(batch_id, id, sim)`` of the batches whose best stored vector reaches the threshold."""
     queries = batches.select(F.col("batch_id").alias("qid"), F.col("vec").alias("qvec"))
     keyed = store.select(F.col("id").alias("sid"), F.col("vector").alias("svec"))
-    hits = top_matches(queries, keyed, threshold=threshold)
+    hits = top_matches_once(queries, keyed, threshold)
     return hits.select(F.col("qid").alias("batch_id"), F.col("sid").alias("id"), "sim")
 
 
 def lookup(batches: DataFrame, store: DataFrame, threshold: float = DEFAULT_REUSE_THRESHOLD) -> DataFrame:
     """Verdict columns of the matched stored row; null where a batch has none."""
+    batches = stage(batches.select("batch_id", "vec"), "vectors")  # an encoder runs once
     hits = stored_verdicts(batches, store, threshold)
     fields = store.select("id", "is_error", "model_name", "embedder_model_name")
     matched = join_unique(hits, fields, "id")

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from logsift.operators.classify import python_classifier
 from logsift.operators.embed import encoder_embedding, hashed_embedding
 from logsift.operators.leaders import follow, select_leaders
-from logsift.operators.similarity import search, search_batch, top_matches
+from logsift.operators import cells
+from logsift.operators.cells import partition
+from logsift.operators.similarity import search, search_batch, top_matches, top_matches_once
 from logsift.plans.triage import ReuseOptions, triage_and_store, triage_with_reuse
 from logsift.schemas import STORE
 from logsift.sources.store import VectorStore
@@ -81,20 +83,42 @@ def test_top_matches_equal_a_full_comparison(spark, k, threshold, earlier, optio
     assert_same_hits(got, want)
 
 
-def test_pruning_leaves_out_cells_but_no_hits(spark):
-    from logsift.operators import similarity
-
-    seen = []
-    plain = similarity._plan_grid
-    similarity._plan_grid = lambda *a: seen.append(plain(*a)) or seen[-1]
-    try:
-        rows = clustered(300, 8, 4, spread=0.05)
-        frames = frame(spark, rows, "qid long, qvec array<double>"), frame(spark, rows, "sid long, svec array<double>")
-        got = top_matches(*frames, threshold=0.9, block_rows=50, pivots=10).collect()
-    finally:
-        similarity._plan_grid = plain
-    assert len(seen[0].pairs) < len(seen[0].query_blocks) * len(seen[0].store_blocks)
-    assert_same_hits(got, loop_top(rows, rows, 1, 0.9, False))
+@pytest.mark.parametrize("k, threshold, earlier", [(1, 0.9, False), (1, 0.9, True), (4, None, False), (4, None, True), (3, -0.5, False), (2, 1.0, False)])
+def test_cells_give_the_hits_of_a_full_comparison(spark, k, threshold, earlier):
+    rows = clustered(400, 8, 4, clusters=30, spread=0.05)
+    rows[7] = rows[13] = 0.0
+    frames = frame(spark, rows, "qid long, qvec array<double>"), frame(spark, rows, "sid long, svec array<double>")
+    got = top_matches(*frames, k=k, threshold=threshold, earlier_only=earlier, block_rows=50, pivots=20).collect()
+    assert_same_hits(got, loop_top(rows, rows, k, -2.0 if threshold is None else threshold, earlier))
+
+
+def test_few_blocks_meet_on_clustered_vectors(spark):
+    """Candidate cells hold under a fifth of all pairs, hits are those of a full comparison, and the store moves once."""
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(60, 16))[rng.integers(60, size=3000)] + 0.04 * rng.normal(size=(3000, 16))
+    queries, store = frame(spark, rows[:500] + 0.01, "qid long, qvec array<double>"), frame(spark, rows, "sid long, svec array<double>")
+    cut = partition(store, 3000, 100)
+    assert abs(len(cut.cells.pivots) - 54) <= 10  # the root of the number of vectors, as far as their hashes go
+    for threshold, share in ((0.95, 0.2), (None, 0.2)):
+        limit = np.pi if threshold is None else np.arccos(threshold)
+        home = cells._asked(queries.withColumns({"bound": F.lit(float(limit)), "home": F.lit(-1)}), cut.cells, True, False)
+        known = home.select("qid", "qvec", F.get("asked", F.lit(0)).alias("home")).withColumn("bound", F.lit(0.35))
+        assert cut.multiplied(home) + cut.multiplied(cells._asked(known, cut.cells, False, False)) < share
+        assert_same_hits(cut.search(queries, 2, threshold).collect(), loop_top(rows[:500] + 0.01, rows, 2, threshold or -2.0, False))
+
+
+def test_copies_are_compared_once(spark):
+    rows = clustered(90, 6, 5)
+    queries, store = frame(spark, rows, "qid long, qvec array<double>"), frame(spark, rows[::2], "sid long, svec array<double>").withColumn("sid", F.col("sid") * 2)
+    sims = np.round(unit(rows) @ unit(rows).T, 12)
+    for earlier in (False, True):
+        got = {r.qid: (r.sid, round(r.sim, 9)) for r in top_matches_once(queries, store, 0.8, earlier, block_rows=20).collect()}
+        want = {}
+        for q in range(90):
+            found = [(-sims[q, s], s) for s in range(0, 90, 2) if sims[q, s] >= 0.8 and not (earlier and s >= q)]
+            if found:
+                want[q] = (min(found)[1], round(-min(found)[0], 9))
+        assert got == want
 
 
 @pytest.mark.parametrize("threshold", [0.8, 0.95, 1.0])
