@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logsift.llm.common import attach
+
 UNKNOWN = "und"
 
 
@@ -205,19 +207,22 @@ def label_texts(net: Network, texts: list[str], settings: Settings) -> np.ndarra
 
 
 def sample_windows(labelled: DataFrame, settings: Settings) -> list[tuple[str, str]]:
-    """Text windows of the hash-smallest documents of each language.
+    """Text windows of documents of each language, distinct texts in the order of a hash.
 
-    Only hashes are ranked; Spark keeps the smallest of each task before the
-    shuffle. The bound is languages x documents x windows, whatever the corpus.
+    A share of the hash's range is cut off first that holds about four times the wanted rows of the language, so
+    that only these are ranked, whatever the number of rows and tasks; copies are combined before they are
+    counted. The bound is languages x documents x windows, whatever the corpus.
     """
+    wanted, span = settings.documents_per_language, 1 << 40
     rows = labelled.filter(F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    rows = rows.select("lang", "text", F.xxhash64("text", F.lit(settings.seed)).alias("draw"))
-    order = Window.partitionBy("lang").orderBy("draw")
-    ranked = rows.select("lang", "draw").withColumn("place", F.row_number().over(order))
-    limits = ranked.filter(F.col("place") <= settings.documents_per_language).groupBy("lang").agg(F.max("draw").alias("last"))
-    chosen = rows.join(F.broadcast(limits), "lang").filter(F.col("draw") <= F.col("last")).dropDuplicates(["lang", "draw"])
-    span = F.greatest(F.length("text") - settings.window_chars + 1, F.lit(1))
-    starts = F.array([F.pmod(F.xxhash64("draw", F.lit(j)), span).cast("int") + 1 for j in range(settings.windows_per_document)])
+    rows = rows.select("lang", "text", F.xxhash64("lang", "text", F.lit(settings.seed)).alias("draw"))
+    place = F.pmod("draw", F.lit(span))
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows"))
+    near = attach(rows.select("lang", "draw"), "lang", sizes, 64, "inner").filter(place < 4 * wanted * span / F.col("rows"))
+    ranked = near.select("lang", "draw").distinct().withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(place, "draw")))
+    chosen = attach(rows, "draw", ranked.filter(F.col("place") <= wanted).select("draw"), 24, "left_semi").dropDuplicates(["lang", "draw"])
+    free = F.greatest(F.length("text") - settings.window_chars + 1, F.lit(1))
+    starts = F.array([F.pmod(F.xxhash64("draw", F.lit(j)), free).cast("int") + 1 for j in range(settings.windows_per_document)])
     cut = F.transform(starts, lambda s: F.substr("text", s, F.lit(settings.window_chars)))
     found = chosen.select("lang", "draw", F.explode(F.array_distinct(cut)).alias("part")).collect()
     return [(r.lang, r.part) for r in sorted(found, key=lambda r: (r.lang, r.draw, r.part))]
