@@ -10,9 +10,10 @@ from collections.abc import Iterable, Iterator
 from http.client import HTTPException
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-SCHEMA = "source_file string, _block long, raw_text string"
+SCHEMA = "source_file string, _block long, raw_text string, line_no long"
 _CHUNK = 1 << 16
 
 
@@ -62,8 +63,8 @@ class PollReader(DataSourceStreamReader):
         """A failed request ends the poll; lines read before it are kept."""
         try:
             with self.opener(partition.url, self.timeout) as body:
-                for line in decoded_lines(iter(lambda: body.read(_CHUNK), b"")):
-                    yield partition.url, partition.poll, line
+                for number, line in enumerate(decoded_lines(iter(lambda: body.read(_CHUNK), b""))):
+                    yield partition.url, partition.poll, line, number
         except (OSError, HTTPException) as failure:
             logging.getLogger(__name__).warning(
                 "read of %s failed, next poll tries again: %s", partition.url, failure
@@ -92,6 +93,21 @@ class PolledLines(DataSource):
         return PollReader(urls, float(self.options.get("timeout", "30")), self.opener)
 
 
+def lines_once(lines: DataFrame, keep_for: str = "1 hour", same_place: bool = True) -> DataFrame:
+    """A polled stream without the lines that an earlier poll has given already.
+
+    A poll reads the whole body again. What was seen is kept in the stream's state and
+    expires ``keep_for`` after the last poll that gave it anew, so state does not grow with the age of the stream. With ``same_place`` a
+    line is known by its source, text and number in the body, which suits bodies that only grow: equal lines
+    of one body all stay. Without it source and text suffice, for bodies that drop their oldest lines; a line
+    that really comes again within ``keep_for`` is then left out as well.
+    """
+    timed = lines.withColumn("_polled", F.timestamp_millis("_block")).withWatermark("_polled", keep_for)
+    key = ["source_file", "raw_text", *(["line_no"] if same_place else [])]
+    # The removal moves lines; ``_line_no`` tells the epoch to put them in order again.
+    return timed.dropDuplicatesWithinWatermark(key).withColumnRenamed("line_no", "_line_no").drop("_polled")
+
+
 def poll_urls(spark: SparkSession, *urls: str, timeout: float = 30.0, source=PolledLines) -> DataFrame:
     spark.dataSource.register(source)
     reader = spark.readStream.format(source.name()).option("urls", " ".join(urls))

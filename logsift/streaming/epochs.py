@@ -3,6 +3,10 @@
 Each epoch owns its folders and overwrites them, and takes its start values
 from the record of the epoch before. A replayed epoch therefore writes exactly
 what it wrote the first time.
+
+With ``compact_every`` the vector store of a stream is log-structured: each epoch leaves a manifest of the
+folders that are live after it, small ones are merged from time to time, and what only manifests
+older than the epoch before name is removed, as no replay can ask for it any more.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from logsift.functions.text import chomp, clamp_batch_size, clamp_poll_seconds, is_blank, strip
 from logsift.operators.batching import assign_batches, collect_entries, summary
@@ -71,6 +75,54 @@ class EpochFolders:
         return rows.where(F.col("epoch") < epoch).select(*STORE.names)
 
 
+    def live(self, spark: SparkSession, epoch: int) -> list[str]:
+        """Folders of stored rows that are live after ``epoch``, relative to the root; none before the first."""
+        if epoch < 0:
+            return []
+        named = read_written(spark, StructType([StructField("folder", StringType())]), self.of("manifests", epoch))
+        if named is not None:
+            return sorted(r.folder for r in named.collect())
+        # Written before manifests were kept: one folder per epoch.
+        names = [f"store/epoch={e}" for e in range(epoch + 1)]
+        return [n for n in names if _exists(spark, f"{self.root.rstrip('/')}/{n}")]
+
+    def stored(self, spark: SparkSession, live: list[str]) -> DataFrame:
+        if not live:
+            return spark.createDataFrame([], STORE)
+        return spark.read.schema(STORE).parquet(*[f"{self.root.rstrip('/')}/{name}" for name in live])
+
+    def compact(self, spark: SparkSession, epoch: int, compact_every: int) -> None:
+        """Write the manifest of ``epoch``, merging its folders if there are ``compact_every`` of them, then remove what is stale.
+
+        The manifest is written after all that it names, and folders go after it. The ones
+        named by the epoch before stay, because that is where a replay of this epoch starts.
+        """
+        before = self.live(spark, epoch - 1)
+        now = [*before, f"store/epoch={epoch}"]
+        if len(now) >= compact_every:
+            self.stored(spark, now).coalesce(max(1, len(now) // 8)).write.mode("overwrite").parquet(self.of("merged", epoch))
+            now = [f"merged/epoch={epoch}"]
+        spark.createDataFrame([(n,) for n in now], "folder string").coalesce(1).write.mode("overwrite").parquet(self.of("manifests", epoch))
+        stale = [n for n in self.live(spark, epoch - 2) if n not in before and n not in now]
+        for name in [*stale, *(f"{kind}/epoch={epoch - 2}" for kind in ("manifests", "lines", "counters"))]:
+            _remove(spark, f"{self.root.rstrip('/')}/{name}")
+
+
+def _folder(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, path = _folder(spark, path)
+    return files.exists(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    files, path = _folder(spark, path)
+    files.delete(path, True)
+
+
 def _batched(lines: DataFrame, size: int, first_index: int, first_batch: int) -> DataFrame:
     """Batches start anew with each epoch; the last one of an epoch may be short."""
     local = assign_batches(index_scanned(lines), size)
@@ -86,14 +138,21 @@ def process_epoch(
     reuse: ReuseOptions | None = None,
     strip_lines: bool = True,
     encoder=None,
+    compact_every: int | None = None,
 ) -> None:
     """Handle one micro-batch of ``(source_file, _block, raw_text)``.
 
+    ``compact_every`` merges the folders of the store when there are so many, and drops the lines, counters and
+    manifests that no replay needs.
+
     The lines are written down first: a polled body differs from read to read,
     and everything after works on what was read once.
     """
     spark = lines.sparkSession
     size = clamp_batch_size(batch_size)
+    if "_line_no" in lines.columns:  # one poll of one source is one task, as it is when it is read
+        lines = lines.repartition("source_file", "_block").sortWithinPartitions("source_file", "_block", "_line_no")
+    lines = lines.select("source_file", "_block", "raw_text")
     if strip_lines:
         lines = lines.withColumn("raw_text", strip(F.col("raw_text"))).where(~is_blank(F.col("raw_text")))
     else:
@@ -111,7 +170,8 @@ def process_epoch(
             verdicts = classify_batches(collect_entries(batched), classifier)
         else:
             batches = embed_batches(collect_entries(batched), encoder)
-            result = triage_with_reuse(batches, folders.store_before(spark, epoch), classifier, reuse)
+            store = folders.store_before(spark, epoch) if compact_every is None else folders.stored(spark, folders.live(spark, epoch - 1))
+            result = triage_with_reuse(batches, store, classifier, reuse)
             verdicts = result.verdicts
             added = VectorStore.with_ids(result.new_rows, "batch_id", row_id)
             added.write.mode("overwrite").parquet(folders.of("store", epoch))
@@ -121,6 +181,8 @@ def process_epoch(
         )
     n_batches = -(-n_lines // size)
     folders.save_counters(spark, epoch, (index + n_lines, batch + n_batches, row_id))
+    if compact_every is not None and reuse is not None:
+        folders.compact(spark, epoch, compact_every)
 
 
 def triage_stream(

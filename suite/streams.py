@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logsift.plans.triage import ReuseOptions
-from logsift.sources.polling import poll_urls
+from logsift.sources.polling import PolledLines, lines_once, open_url, poll_urls
 from logsift.staging import scratch_path
 from logsift.streaming.epochs import (
     EpochFolders,
@@ -96,6 +96,69 @@ def stream_polled_urls(spark, sf):
     return counters.select(F.col("epoch").cast("int"), "next_index", "next_batch")
 
 
+def _polled_twice(spark, sf, source=PolledLines, sources=SOURCES[:1], **once):
+    """Lines that two polls of the same files leave, by epoch."""
+    landing, root, checkpoint = (scratch_path(spark, part) for part in ("polled", "stream", "checkpoint"))
+    for name in sources:
+        rows = lines(spark, sf).where(F.col("source_file") == name)
+        rows.coalesce(1).sortWithinPartitions("line_no").select("raw_text").write.mode("append").text(landing)
+    files = spark.read.text(landing).select(F.col("_metadata.file_path").alias("url")).distinct()
+    urls = sorted(row["url"] for row in files.collect())
+    for _ in range(2):
+        polled = poll_urls(spark, *urls, source=source)
+        polled = lines_once(polled, **once) if once else polled
+        _run(triage_stream(polled, root, checkpoint, available_now=True, batch_size=BATCH))
+    kept = spark.read.parquet(EpochFolders(root).all("lines"))
+    return kept.groupBy("epoch", "raw_text").agg(F.count("*").alias("n")).select(F.col("epoch").cast("int"), "raw_text", "n")
+
+
+def stream_polled_once(spark, sf):
+    """The second poll gives the same lines again, and none of them is kept."""
+    return _polled_twice(spark, sf, sources=SOURCES, keep_for="1 hour")
+
+
+class Breaking:
+    """A body that is lost after its first 10,000 bytes."""
+
+    def __init__(self, url, timeout):
+        self.body, self.left = open_url(url, timeout), 10_000
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.body.close()
+
+    def read(self, size):
+        if not self.left:
+            raise ConnectionResetError("gone")
+        data = self.body.read(min(size, self.left))
+        self.left -= len(data)
+        return data
+
+
+class BreakingLines(PolledLines):
+    opener = Breaking
+
+    @classmethod
+    def name(cls):
+        return "breaking_lines"
+
+
+def stream_retry(spark, sf):
+    """Each poll loses its connection: lines that were whole by then are kept, and the next poll reads from the start."""
+    return _polled_twice(spark, sf, BreakingLines)
+
+
+def stream_store_compacted(spark, sf):
+    """The stored vectors of a stream whose folders are merged in every second epoch."""
+    options = ReuseOptions(LINE_THRESHOLD, "keyword-counts")
+    root = _polls(spark, sf, batch_size=LINE_BATCH, reuse=options, encoder=keyword_vector, compact_every=2)
+    folders = EpochFolders(root)
+    store = folders.stored(spark, folders.live(spark, len(SOURCES) - 1))
+    return store.select("id", "raw_text", "is_error", "model_name", "embedder_model_name")
+
+
 # ---- oracles ----------------------------------------------------------------
 
 
@@ -134,6 +197,20 @@ CASES = {
         f"""SELECT row_number() OVER (ORDER BY batch_id) AS id, text AS raw_text, error_found AS is_error, model_name,
         embedder_model_name FROM ({_REUSE}) JOIN ({_TEXTS}) USING (batch_id) WHERE origin = 'classified'""",
     ),
+    "stream_store_compacted": (
+        stream_store_compacted,
+        f"""SELECT row_number() OVER (ORDER BY batch_id) AS id, text AS raw_text, error_found AS is_error, model_name,
+        embedder_model_name FROM ({_REUSE}) JOIN ({_TEXTS}) USING (batch_id) WHERE origin = 'classified'""",
+    ),
+    "stream_polled_once": (
+        stream_polled_once, f"SELECT 0 AS epoch, trim(raw_text) AS raw_text, count(*) AS n FROM ({LINES}) GROUP BY ALL",
+    ),
+    "stream_retry": (
+        stream_retry,
+        f"""SELECT epoch, raw_text, count(*) AS n FROM (
+         SELECT trim(raw_text) AS raw_text, sum(strlen(raw_text) + 1) OVER (ORDER BY line_no) AS bytes FROM ({LINES}) WHERE source_file = '{SOURCES[0]}'),
+         unnest([0, 1]) AS t(epoch) WHERE bytes <= 10000 GROUP BY ALL""",
+    ),
     "stream_json_lines": (
         stream_json_lines,
         f"""SELECT concat('{{"batch_id":', line_no, ',"error_found":', contains(raw_text, 'FATAL'),

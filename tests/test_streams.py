@@ -5,11 +5,12 @@ from __future__ import annotations
 import io
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from logsift.operators.classify import rule_classifier
 from logsift.plans.triage import ReuseOptions
-from logsift.sources.polling import PolledLines, PollReader, UrlPoll, decoded_lines, poll_urls
+from logsift.sources.polling import PolledLines, PollReader, UrlPoll, decoded_lines, lines_once, poll_urls
 from logsift.streaming.epochs import (
     EpochFolders,
     process_epoch,
@@ -109,7 +110,7 @@ class Breaking(io.BytesIO):
 
 def test_a_failure_keeps_the_lines_before_it():
     reader = PollReader(["u"], 1.0, lambda url, timeout: Breaking(b"one\ntwo\nthr"))
-    assert [row[2] for row in reader.read(UrlPoll("u", 1))] == ["one", "two"]
+    assert [row[2:] for row in reader.read(UrlPoll("u", 1))] == [("one", 0), ("two", 1)]
 
     def refuse(url, timeout):
         raise OSError("refused")
@@ -137,3 +138,41 @@ def test_every_poll_reads_the_body_again(spark, tmp_path):
     kept = spark.read.parquet(EpochFolders(root).all("lines"))
     assert kept.groupBy("epoch").count().orderBy("epoch").select("count").toPandas()["count"].tolist() == [4, 4]
     assert PolledLines.name() == "polled_lines" and kept.where(F.col("source_file") == urls[1]).count() == 2
+
+
+def test_lines_of_an_earlier_poll_are_left_out(spark, tmp_path):
+    body = tmp_path / "a.txt"
+    url, root, checkpoint = f"file://{body}", str(tmp_path / "out"), str(tmp_path / "cp")
+    for text in ("one\nsame\nsame\n", "one\nsame\nsame\nERROR two\nsame\n", "one\nsame\nsame\nERROR two\nsame\n"):
+        body.write_text(text)
+        triage_stream(lines_once(poll_urls(spark, url)), root, checkpoint, available_now=True, batch_size=2).awaitTermination()
+    kept = spark.read.parquet(EpochFolders(root).all("lines"))
+    assert sorted((r.epoch, r.raw_text) for r in kept.select("epoch", "raw_text").collect()) == [(0, "one"), (0, "same"), (0, "same"), (1, "ERROR two"), (1, "same")]
+    assert verdict_rows(spark, root) == [(0, False), (1, False), (2, True)]
+
+
+def test_a_compacted_store_replays_from_any_step(spark, tmp_path):
+    """An epoch that fails after any of its writes gives the same rows when it runs again."""
+    options = ReuseOptions(0.9)
+    plain, merged = EpochFolders(str(tmp_path / "plain")), EpochFolders(str(tmp_path / "merged"))
+    polls = [lines_frame(spark, [f"ERROR disk {w} failed", f"user {w} came in", f"{w} {w} {w}"]) for w in ("alpha", "beta", "gamma", "delta", "omega")]
+    rows = lambda df: sorted(tuple(r) for r in df.select("id", "raw_text", "is_error").collect())
+    for epoch, poll in enumerate(polls):
+        process_epoch(poll, epoch, plain, batch_size=1, reuse=options)
+        for step in ("save_counters", "compact", None):
+            if step and epoch in (1, 3):
+                # What a crash right before this step leaves behind.
+                with pytest.MonkeyPatch.context() as patch:
+                    patch.setattr(EpochFolders, step, lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+                    with pytest.raises(RuntimeError):
+                        process_epoch(poll, epoch, merged, batch_size=1, reuse=options, compact_every=3)
+        process_epoch(poll, epoch, merged, batch_size=1, reuse=options, compact_every=3)
+        if epoch == 4:
+            process_epoch(poll, epoch, merged, batch_size=1, reuse=options, compact_every=3)
+        assert rows(merged.stored(spark, merged.live(spark, epoch))) == rows(plain.store_before(spark, epoch + 1))
+    assert verdict_rows(spark, merged.root) == verdict_rows(spark, plain.root)
+    live = merged.live(spark, 4)
+    assert len(live) < 3 and any(n.startswith("merged") for n in live)
+    held = {str(p.relative_to(merged.root)) for kind in ("store", "merged") for p in (tmp_path / "merged" / kind).iterdir() if p.is_dir()}
+    assert set(live) <= held and "store/epoch=0" not in held and len(held) <= 5
+    assert sorted(p.name for p in (tmp_path / "merged" / "lines").iterdir()) == ["epoch=3", "epoch=4"]
