@@ -34,6 +34,7 @@ from suite.fixture import DOCUMENT_LINES, LINES, REPLIES, derived, document_line
 
 # ---- oracle building blocks -------------------------------------------------
 
+# The mask patterns that every labelling must use.
 IP = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
 UUID = r"\b[a-fA-F0-9]{8}(-[a-fA-F0-9]{4}){3}-[a-fA-F0-9]{12}\b"
 NUM = r"\b\d+\b"
@@ -51,6 +52,7 @@ def any_of(words: list[str]) -> str:
     return "(" + " OR ".join(f"contains(u, '{w}')" for w in words) + ")"
 
 
+# The words and statuses that make a line an error.
 IS_ERROR = (
     any_of(["ERROR", "FATAL", "CRITICAL", "EXCEPTION", "FAILED", "TIMEOUT", "REFUSED"])[:-1]
     + " OR regexp_matches(raw_text, 'HTTP/[^\\n]{3}\" 5\\d\\d') OR contains(raw_text, ' 500 '))"
@@ -97,6 +99,7 @@ SELECT batch_id, bool_or(is_error) AS error_found, count(*) AS n_lines
 FROM ({labelled(batched(size))}) GROUP BY batch_id"""
 
 
+# Fixed value: the wording of the prompt.
 PROMPT = """'Determine if there is an error in this group of logs.Respond ONLY with valid JSON in this exact format, do not include any extra text or explanations:
 {
   "is_error": true or false,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from logsift.functions import rules, text
 
+# The mask patterns.
 MASKS = [
     (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "<IP>"),
     (r"\b[a-fA-F0-9]{8}(-[a-fA-F0-9]{4}){3}-[a-fA-F0-9]{12}\b", "<UUID>"),
