@@ -95,6 +95,50 @@ def test_search_is_exact(block):
         assert [c for c, _ in got] == pytest.approx([-c for c, _ in sorted(want)[:7]], abs=1e-5)
 
 
+@pytest.mark.parametrize("width", [1, 3, 8])
+def test_block_maxima_skip_blocks_and_no_hit(width):
+    # Topics, as in a corpus: entries of one topic share its terms and stand together, all share ten frequent ones.
+    rng = np.random.default_rng(width)
+    examples = []
+    for i in range(900):
+        topic = i // 45
+        own = {20 * topic + int(t): int(rng.integers(1, 4)) for t in rng.integers(0, 20, 12)}
+        examples.append((i, int(topic % 3 == 0), {**{400 + int(t): 1 for t in rng.integers(0, 10, 4)}, **own}))
+    weights = np.append(np.full(400, 2.0), np.full(10, 0.3))
+    # Every list is long: block maxima decide alone.
+    toxicity_long, toxicity.LONG = toxicity.LONG, 1e9
+    try:
+        index = toxicity.build_index(examples, weights, {0: 1.0, 1: 1.0}, toxicity.Settings(nearest=5, entries_of_block=width))
+    finally:
+        toxicity.LONG = toxicity_long
+    dense = np.zeros((len(index.entries), 410))
+    for i, e in enumerate(index.entries):
+        dense[i, e[:, 0]] = index.cells(e)[1]
+    queries = index.entries[::7]
+    for query, near in zip(queries, index.search_all(queries), strict=True):
+        cosines = (dense @ np.bincount(query[:, 0], index.cells(query)[1], minlength=410)).round(9)
+        want = sorted((-c, i) for i, c in enumerate(cosines) if c > 0)[:5]
+        assert [i for _, i in near] == [i for _, i in want]
+    assert index.skipped / index.blocks > 0.5
+
+
+def test_votes_never_see_their_example():
+    # Each example has a term of its own and one of chance: with its own label in sight, votes would be right.
+    rng = np.random.default_rng(5)
+    examples = [(i, int(rng.random() < 0.5), toxicity._key({0: 1, 1 + i: 5})) for i in range(400)]
+    votes, label, _ = toxicity.votes_by_fold(examples, np.ones(401), "linear", {0: 1.0, 1: 1.0}, toxicity.Settings())
+    assert len(votes) == 400 and 0.35 < ((votes >= 0.5) == label).mean() < 0.65
+
+
+def test_form_of_the_weights_is_chosen_inside_the_examples():
+    # One term of many tells the classes apart, so that forms that follow the association lose less.
+    rng = np.random.default_rng(6)
+    examples = [(i, i % 2, toxicity._key({**{2 + int(t): 1 for t in rng.integers(0, 60, 15)}, i % 2: 1})) for i in range(300)]
+    share, settings = {0: 1.0, 1: 1.0}, toxicity.Settings()
+    losses = {f: toxicity.loss(*toxicity.votes_by_fold(examples, np.ones(62), f, share, settings)) for f in toxicity.FORMS}
+    assert toxicity.chosen_form(examples, np.ones(62), share, settings) == min(losses, key=losses.get) != "none"
+
+
 def test_isotonic():
     x, y = toxicity.isotonic(np.array([3.0, 1, 2, 2]), np.array([1.0, 0.5, 0, 1]), np.ones(4))
     assert list(x) == [1, 3] and list(y) == [0.5, 1]
