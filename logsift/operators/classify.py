@@ -125,12 +125,50 @@ def python_classifier(
     return lambda batches: batches.select("batch_id", "entries").mapInArrow(run, RESULT)
 
 
+def packed(lengths: list[int], budget: int) -> list[list[int]]:
+    """Positions in groups of similar lengths, so that the longest times the number stays within ``budget``.
+
+    A text beyond the budget is a group of its own. Texts of a group are padded to the longest, hence the order by length.
+    """
+    groups: list[list[int]] = []
+    for i in sorted(range(len(lengths)), key=lambda i: (lengths[i], i)):
+        if groups and lengths[i] * (len(groups[-1]) + 1) <= budget:
+            groups[-1].append(i)
+        else:
+            groups.append([i])
+    return groups
+
+
+def _in_groups(generate: Callable[[list[str]], list[str]], texts: list[str], budget: int) -> list[dict]:
+    """One result per text, in the order of ``texts``; the texts of a failing group are asked for one by one."""
+
+    def ask(row: dict) -> dict:
+        replies = list(generate(row["texts"]))
+        if len(replies) != len(row["texts"]):
+            raise ValueError(f"{len(replies)} replies to {len(row['texts'])} prompts")
+        return {"replies": replies}
+
+    done: list[dict] = [{}] * len(texts)
+    for group in packed([len(t or "") for t in texts], budget):
+        result = _timed(ask, {"texts": [texts[i] for i in group]})
+        for place, i in enumerate(group):
+            one = result if result["error"] is None or len(group) == 1 else _timed(ask, {"texts": [texts[i]]})
+            reply = one["replies"][place if one is result else 0] if one["error"] is None else None
+            shared = len(group) if one is result else 1
+            done[i] = {"reply": reply, "error": one["error"], "elapsed_ms": one["elapsed_ms"] / shared}
+    return done
+
+
 def generate_replies(
     df: DataFrame,
     prompt_column: str,
-    factory: Callable[[], Callable[[str], str]],
+    factory: Callable[[], Callable[[str], str]] | Callable[[], Callable[[list[str]], list[str]]],
+    group_chars: int | None = None,
 ) -> DataFrame:
-    """Add ``reply``, ``error`` and ``elapsed_ms`` from a text generator called per row."""
+    """Add ``reply``, ``error`` and ``elapsed_ms`` from a text generator called per row.
+
+    With ``group_chars`` it takes lists: prompts of similar length, whose longest times their number is at most that.
+    """
     schema = T.StructType(
         [
             *df.schema.fields,
@@ -141,16 +179,19 @@ def generate_replies(
     )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        generate = None
+        made = None
 
-        def work(row: dict) -> dict:
-            nonlocal generate
-            if generate is None:
-                generate = factory()
-            return {"reply": generate(row["text"])}
+        def generate(asked):
+            nonlocal made
+            if made is None:
+                made = factory()
+            return made(asked)
 
         for frame in frames:
-            done = [_timed(work, {"text": text}) for text in frame[prompt_column]]
+            if group_chars is None:
+                done = [_timed(lambda row: {"reply": generate(row["text"])}, {"text": text}) for text in frame[prompt_column]]
+            else:
+                done = _in_groups(generate, frame[prompt_column].tolist(), group_chars)
             yield frame.assign(
                 reply=[d.get("reply") for d in done],
                 error=[d["error"] for d in done],
@@ -161,23 +202,25 @@ def generate_replies(
 
 
 def generative_classifier(
-    factory: Callable[[], Callable[[str], str]],
+    factory: Callable[[], Callable[[str], str]] | Callable[[], Callable[[list[str]], list[str]]],
     model_name: str | None = None,
     echoes_prompt: bool = False,
     tasks: int | None = None,
+    group_chars: int | None = None,
 ) -> Classifier:
     """Prompt, generate, parse.
 
     ``echoes_prompt`` is for generators that return the prompt before their
     reply. ``tasks`` spreads the batches over that many tasks first, for
-    generators so slow that the extra shuffle is cheap.
+    generators so slow that the extra shuffle is cheap. ``group_chars`` is for
+    generators that take lists of prompts.
     """
 
     def classify(batches: DataFrame) -> DataFrame:
         prompts = batches.select("batch_id", prompt(batch_text(F.col("entries"))).alias("prompt"))
         if tasks:
             prompts = prompts.repartition(tasks)
-        replies = generate_replies(prompts, "prompt", factory)
+        replies = generate_replies(prompts, "prompt", factory, group_chars)
         if echoes_prompt:
             replies = replies.withColumn("reply", without_echo(F.col("reply"), F.col("prompt")))
         failed = F.col("error").isNotNull()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,16 +37,34 @@ def encoder_embedding(
     text: str,
     factory: Callable[[], Callable[[list[str]], np.ndarray]],
     vector: str = "vec",
+    elapsed: str | None = None,
 ) -> DataFrame:
-    """Vectors of a user encoder, built once per worker and called per Arrow batch."""
+    """Vectors of a user encoder, built once per worker and called per Arrow batch.
 
-    @F.pandas_udf("array<float>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    ``elapsed`` names a column for each row's part of the encoder's time, in milliseconds.
+    """
+
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[tuple[pd.Series, float]]:
         encoder = factory()
         for texts in batches:
+            start = time.perf_counter()
             rows = np.asarray(encoder(texts.tolist()), dtype=np.float64).reshape(len(texts), -1)
+            spent = (time.perf_counter() - start) * 1000.0
             length = np.linalg.norm(rows, axis=1, keepdims=True)
             rows = rows / np.where(length == 0, 1.0, length)
-            yield pd.Series(list(rows.astype(np.float32)))
+            yield pd.Series(list(rows.astype(np.float32))), spent / max(len(texts), 1)
+
+    @F.pandas_udf("array<float>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for made, _ in vectors(batches):
+            yield made
+
+    @F.pandas_udf("vec array<float>, ms double")
+    def encode_timed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for made, ms in vectors(batches):
+            yield pd.DataFrame({"vec": made, "ms": ms})
 
-    return df.withColumn(vector, encode(F.col(text)))
+    if elapsed is None:
+        return df.withColumn(vector, encode(F.col(text)))
+    timed = df.withColumn("_encoded", encode_timed(F.col(text)))
+    return timed.withColumns({vector: F.col("_encoded.vec"), elapsed: F.col("_encoded.ms")}).drop("_encoded")

@@ -297,6 +297,19 @@ def triage_generated(spark, sf):
     return result.select("batch_id", "error_found", "model_name", "error", timed.alias("timed"))
 
 
+def grouped_generator():
+    one = keyword_generator()
+    return lambda prompts: [one(p) for p in prompts]
+
+
+def triage_grouped(spark, sf):
+    """The generator takes lists; a failing prompt does not take its group with it."""
+    classifier = generative_classifier(grouped_generator, "grouped-generator", group_chars=20000)
+    result = triage_batches(_indexed(spark, sf), 5, classifier)
+    timed = F.col("elapsed_ms") >= 0
+    return result.select("batch_id", "error_found", "model_name", "error", timed.alias("timed"))
+
+
 def line_analyzer():
     def analyze(batch_id: int, entries: list[dict]) -> dict:
         flagged = [
@@ -368,6 +381,12 @@ SELECT row_number() OVER (ORDER BY source_file, line_no, part) - 1 AS index, raw
 FROM (SELECT source_file, line_no, 0 AS part, raw_text FROM ({LINES})
       UNION ALL SELECT source_file, line_no, 1, ' ' FROM ({LINES}))"""
 
+_GENERATED = f"""SELECT batch_id, heap OR error_word AS error_found, 'grouped-generator' AS model_name,
+        CASE WHEN heap THEN 'RuntimeError: generator out of memory' END AS error, true AS timed
+        FROM (SELECT batch_id, bool_or(contains(u, 'HEAP EXHAUSTED')) AS heap,
+         bool_or({any_of(["ERROR", "FATAL", "CRITICAL", "EXCEPTION", "FAILED", "TIMEOUT", "REFUSED"])}) AS error_word
+        FROM (SELECT *, upper(raw_text) AS u FROM ({batched(5)})) GROUP BY batch_id)"""
+
 CASES = {
     "label_lines": (label_lines, f"SELECT line_no, source_file, {_LABEL_COLUMNS} FROM ({labelled(LINES)})"),
     "label_counts": (
@@ -465,6 +484,7 @@ CASES = {
          bool_or({any_of(["ERROR", "FATAL", "CRITICAL", "EXCEPTION", "FAILED", "TIMEOUT", "REFUSED"])}) AS error_word
         FROM (SELECT *, upper(raw_text) AS u FROM ({batched(5)})) GROUP BY batch_id)""",
     ),
+    "triage_grouped": (triage_grouped, _GENERATED),
     "triage_python": (
         triage_python,
         f"""SELECT batch_id, count(*) FILTER (contains(raw_text, 'refused')) > 0 AS error_found, 'line-analyzer' AS model_name,

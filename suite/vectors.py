@@ -19,6 +19,7 @@ from logsift.plans.triage import (
     triage_and_store,
     triage_with_reuse,
 )
+from logsift.plans.timing import StageTimings
 from logsift.schemas import STORE
 from logsift.sources.store import VectorStore
 from logsift.staging import scratch_path, stage
@@ -243,6 +244,35 @@ def store_insert(spark, sf):
     )
 
 
+def store_insert_committed(spark, sf):
+    """An insert that fails in one of its tasks leaves nothing behind, and the next one takes its ids."""
+    store = VectorStore(spark, scratch_path(spark, "store")).create_if_missing()
+    rows = store_rows(spark, sf).withColumn("batch_id", F.col("id"))
+    store.insert(rows.withColumn("model_name", F.lit("first")))
+    late = F.when(F.col("id") % 7 == 3, F.raise_error(F.lit("broken row")).cast("string")).otherwise("lost")
+    try:
+        store.insert(rows.withColumn("model_name", late))
+    except Exception as error:  # noqa: BLE001 - the failure is part of the query
+        if "broken row" not in str(error):
+            raise
+    store.insert(rows.withColumn("model_name", F.lit("second")))
+    return store.read().select("id", F.round(F.element_at("vector", 1).cast("double"), 5).alias("first"), "model_name")
+
+
+def stage_timings(spark, sf):
+    """Rows and time of an embedding and a classification, counted while they are written."""
+    timings = StageTimings()
+    batches = batches_of(index_ordered(lines(spark, sf).withColumn("source_file", F.lit("events")), "source_file", "line_no"), 50)
+    embedded = embed_batches(batches, lambda df, text: encoder_embedding(df, text, length_encoder, elapsed="embed_ms"))
+    embedded = stage(timings.watch(embedded, "embed", "embed_ms"), "embedded")
+    found = python_classifier(lambda: lambda batch_id, entries: len(entries) > 1)(embedded)
+    stage(timings.watch(found, "classify", "elapsed_ms"), "classified")
+    sound = (F.col("slowest_ms") > 0) & (F.col("slowest_ms") <= F.col("total_ms") * 1.000001)
+    per_row = embedded.agg(F.sum("embed_ms").alias("ms")).first()["ms"]
+    total = F.when(F.col("stage") == "embed", F.abs(F.col("total_ms") - per_row) < 0.001).otherwise(True)
+    return timings.table(spark).select("stage", "n_rows", (sound & total).alias("timed"))
+
+
 def store_clear(spark, sf):
     """Rows before and after clearing."""
     store = VectorStore(spark, scratch_path(spark, "store")).create_if_missing()
@@ -428,6 +458,15 @@ CASES = {
         CASE WHEN run = 1 THEN 'second' WHEN label % 3 <> 0 THEN CAST(label AS VARCHAR) END AS model_name,
         CAST(NULL AS VARCHAR) AS embedder_model_name FROM embeddings, (SELECT unnest([0, 1]) AS run)""",
     ),
+    "store_insert_committed": (
+        store_insert_committed,
+        """SELECT row_number() OVER (ORDER BY run, vec_id) AS id, round(CAST(embedding[2] AS DOUBLE), 5) AS first,
+        CASE WHEN run = 0 THEN 'first' ELSE 'second' END AS model_name FROM embeddings, (SELECT unnest([0, 1]) AS run)""",
+    ),
+    "stage_timings": (
+        stage_timings,
+        """SELECT unnest(['embed', 'classify']) AS stage, CAST(ceil(count(*) / 50) AS BIGINT) AS n_rows, true AS timed FROM events""",
+    ),
     "store_clear": (store_clear, "SELECT count(*) AS before, CAST(0 AS BIGINT) AS after FROM embeddings"),
     "hashed_embeddings": (
         hashed_embeddings, "SELECT event_id AS line_no, 384 AS dim, CAST(1 AS DOUBLE) AS norm FROM events",

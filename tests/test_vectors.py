@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from logsift.operators.leaders import follow, select_leaders
 from logsift.operators import cells
 from logsift.operators.cells import partition
 from logsift.operators.similarity import search, search_batch, top_matches, top_matches_once
+from logsift.plans.timing import StageTimings
 from logsift.plans.triage import ReuseOptions, triage_and_store, triage_with_reuse
 from logsift.schemas import STORE
 from logsift.sources.store import VectorStore
@@ -158,6 +160,60 @@ def test_empty_store_gives_empty_lists(spark):
     assert search_batch(queries.where("false"), empty).collect() == []
 
 
+STORED = "batch_id long, vector array<double>, raw_text string, is_error boolean, model_name string, embedder_model_name string"
+
+
+def _rows_to_store(spark, names, slices=4):
+    return spark.createDataFrame([(i, [1.0, float(i)], n, False, n, None) for i, n in enumerate(names)], STORED).repartition(slices)
+
+
+def test_a_failing_insert_leaves_no_row(spark, tmp_path):
+    store = VectorStore(spark, str(tmp_path / "store")).create_if_missing()
+    store.insert(_rows_to_store(spark, "abc"))
+    broken = F.when(F.col("raw_text") == "x", F.raise_error(F.lit("broken"))).otherwise(F.col("raw_text"))
+    with pytest.raises(Exception, match="broken"):
+        store.insert(_rows_to_store(spark, "uvwxyz").withColumn("raw_text", broken.cast("string")))
+    assert [r["raw_text"] for r in store.read().orderBy("id").collect()] == list("abc")
+    assert not [p for p in (tmp_path / "store").iterdir() if p.name.startswith("_pending")]
+    store.insert(_rows_to_store(spark, "").limit(0))
+    store.insert(_rows_to_store(spark, "d"))
+    assert [(r["id"], r["raw_text"]) for r in store.read().orderBy("id").collect()] == list(zip((1, 2, 3, 4), "abcd", strict=True))
+
+
+def test_an_insert_that_lost_its_ids_is_numbered_again(spark, tmp_path):
+    store, other = (VectorStore(spark, str(tmp_path / "store")).create_if_missing() for _ in range(2))
+    store.insert(_rows_to_store(spark, "ab"))
+    ask, asked = store.last_id, []
+
+    def last_id():
+        last = ask()
+        if not asked:  # another writer commits between the look at the ids and the commit
+            asked.append(last)
+            other.insert(_rows_to_store(spark, "cde"))
+        return last
+
+    store.last_id = last_id
+    store.insert(_rows_to_store(spark, "fg"))
+    assert [(r["id"], r["raw_text"]) for r in store.read().orderBy("id").collect()] == list(zip(range(1, 8), "abcdefg", strict=True))
+
+
+def test_stage_timings_of_a_stream(spark, tmp_path):
+    timings = StageTimings()
+    spark.createDataFrame([(f"line {i}", float(i)) for i in range(10)], "text string, ms double").write.parquet(str(tmp_path / "in"))
+    stream = timings.watch(spark.readStream.schema("text string, ms double").parquet(str(tmp_path / "in")), "read", "ms")
+    spark.streams.addListener(timings)
+    try:
+        query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        query.awaitTermination(60)
+        for _ in range(50):
+            if timings.table(spark).count():
+                break
+            time.sleep(0.1)
+        assert [tuple(r) for r in timings.table(spark).collect()] == [("read", 0, 10, 45.0, 9.0)]
+    finally:
+        spark.streams.removeListener(timings)
+
+
 def test_store_ids_names_and_limits(spark, tmp_path):
     store = VectorStore(spark, str(tmp_path / "store"))
     assert not store.exists()

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from logsift.functions.verdict import parse_verdicts, prompt, without_echo
 from logsift.operators.classify import (
+    generate_replies,
+    packed,
     classify_batches,
     generative_classifier,
     python_classifier,
@@ -82,6 +84,35 @@ def test_a_failing_batch_becomes_an_error_row(spark):
         assert rows == [(7, False, "m", None), (8, True, "m", "RuntimeError: boom"), (9, False, "m", None)]
 
 
+def test_prompts_are_packed_by_length():
+    lengths = [5, 900, 3, 5, 40, 0, 38, 200]
+    groups = packed(lengths, 100)
+    assert sorted(i for g in groups for i in g) == list(range(8))
+    assert all(len(g) == 1 or max(lengths[i] for i in g) * len(g) <= 100 for g in groups)
+    assert groups == [[5, 2, 0, 3], [6, 4], [7], [1]]
+    assert packed([], 100) == []
+
+
+def test_groups_keep_order_and_isolate_errors(spark):
+    def factory():
+        def generate(texts):
+            if any("bad" in t for t in texts):
+                raise RuntimeError("boom")
+            if any("short" in t for t in texts):
+                return []
+            return [t.upper() for t in texts]
+
+        return generate
+
+    texts = [f"{'x' * (i * 7 % 13)}{'bad' if i % 10 == 4 else 'short' if i % 10 == 7 else i}" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string").coalesce(1)
+    rows = generate_replies(df, "text", factory, group_chars=80).orderBy("i").collect()
+    for i, (row, text) in enumerate(zip(rows, texts, strict=True)):
+        error = {4: "RuntimeError: boom", 7: "ValueError: 0 replies to 1 prompts"}.get(i % 10)
+        assert (row["text"], row["reply"], row["error"]) == (text, None if error else text.upper(), error)
+        assert row["elapsed_ms"] >= 0
+
+
 def test_a_failing_factory_becomes_error_rows(spark):
     def factory():
         raise OSError("no model")
