@@ -41,7 +41,7 @@ TERM = re.compile(r"\w+")
 # Labelled ids are counted in so many ranges of their hash before any are ranked.
 RANGE_BITS = 16
 # A list with a posting in one entry of so many keeps block maxima.
-LONG = 16
+LONG = 4
 FOLDS = 5
 # What a term's association makes of its weight.
 FORMS = {
