@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,16 +50,6 @@ class Settings:
     block: int = 512
 
 
-class _WordHashes(dict):
-    """64-bit hash of each word, computed once per worker."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = value = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-        return value
-
-
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -69,10 +60,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Sets of shingle hashes, as sorted arrays."""
+    """Sets of shingle hashes, as sorted arrays. Words are hashed as they come: a table of them would grow with the texts."""
 
     def __init__(self, size: int):
-        self.known, self.size = _WordHashes(), size
+        self.size = size
         self.powers = [np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64)) for j in range(size)]
 
     def words(self, text: str | None) -> list[str]:
@@ -81,7 +72,7 @@ class Shingler:
     def hashes(self, words: list[str]) -> np.ndarray:
         if not words:
             return np.empty(0, np.uint64)
-        cells = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+        cells = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         if len(cells) < self.size:  # the length tells it from windows
             return _mix(np.array([sum(int(c) * int(p) for c, p in zip(cells, self.powers)) + len(cells) & (1 << 64) - 1], np.uint64))
         n = len(cells) - self.size + 1

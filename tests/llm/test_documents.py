@@ -249,3 +249,18 @@ def test_empty_tables(spark):
     assert neardup.link(none).count() == 0 and linededup.delete_copies(none).count() == 0
     assert decontaminate.contamination(none, items).count() == 0 and decontaminate.without_items(table(spark, corpus()), items).count() == len(corpus())
     assert mixing.mix(none).count() == 0 and outliers.judge(none).count() == 0 and secrets.find_secrets(none).count() == 0
+
+
+def test_shingles_keep_no_table_of_words():
+    """A worker's memory does not grow with the distinct words of its texts."""
+    import tracemalloc
+
+    shingler = neardup.Shingler(5)
+    shingler.hashes(["a", "b", "c", "d", "e", "f"])
+    tracemalloc.start()
+    try:
+        for at in range(0, 200_000, 1000):
+            assert len(shingler.hashes([f"w{i}" for i in range(at, at + 1000)])) == 996
+        assert tracemalloc.get_traced_memory()[0] < 1 << 20
+    finally:
+        tracemalloc.stop()
