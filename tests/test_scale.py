@@ -36,6 +36,19 @@ def test_salts_spread_a_hot_key(spark):
     assert len(sizes) == SALTS and max(sizes) < 2 * 3000 / SALTS
 
 
+def test_large_sides_of_a_hot_key_join_are_not_broadcast(spark):
+    rows = spark.range(4000).select(F.col("id").alias("row"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("key"))
+    unique = stage(spark.range(4000).select(F.col("id").alias("key"), F.lit("table").alias("name")), "unique")
+    joined = join_unique(stage(rows, "facts"), unique, "key", broadcast_bytes=0, facts_per_copy=100)
+    plan = plan_of(joined)
+    # The 1,334 facts of key 7 meet copies of its row; only the list of such keys is broadcast, and no other row is copied.
+    assert plan.count("SortMergeJoin") == 1 and "_copies" in plan
+    assert all("name#" not in row for row in plan.splitlines() if "BroadcastExchange" in row)
+    assert sorted((r["row"], r["key"], r["name"]) for r in joined.collect()) == [(i, 7 if i % 3 == 0 else i, "table") for i in range(4000)]
+    even = join_unique(stage(spark.range(4000).select(F.col("id").alias("key")), "facts"), unique, "key", broadcast_bytes=0, facts_per_copy=100)
+    assert "BroadcastHashJoin" not in plan_of(even) and "Generate" not in plan_of(even) and even.count() == 4000
+
+
 def test_copies_are_combined_before_the_shuffle(spark):
     rows = spark.range(1000).select(F.col("id").alias("ord"), F.array(F.lit(1.0), F.col("id") % 2).alias("vec"))
     copies = _first_copies(rows, 0.8)
