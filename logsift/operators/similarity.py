@@ -30,6 +30,9 @@ _MIN_BLOCK = 512
 _MAX_PIVOTS = 256
 # Up to so many blocks, a full comparison costs less than cells.
 _FEW_BLOCKS = 8
+# Blocks of a given size grow up to these bytes while rows have more copies than this.
+_GROWN_BYTES = 64 << 20
+_COPIES = 8
 
 
 def _block_rows(n_query: int, n_store: int, dim: int, parallelism: int) -> int:
@@ -39,6 +42,16 @@ def _block_rows(n_query: int, n_store: int, dim: int, parallelism: int) -> int:
     return min(fits, max(_MIN_BLOCK, spread))
 
 
+def _grown(block_rows: int, n_query: int, n_store: int, dim: int, parallelism: int) -> int:
+    """Blocks of at least ``block_rows``, and larger ones where each row would be copied for very many blocks of the other side.
+
+    A few copies give every core work; more of them only fill the disk. Memory bounds a block, and wins.
+    """
+    copies = max(_COPIES, math.isqrt(2 * parallelism))
+    fits = max(_MIN_BLOCK, _GROWN_BYTES // (8 * max(1, dim)))
+    return max(block_rows, min(fits, math.ceil(max(n_query, n_store) / copies)))
+
+
 def _with_cells(df: DataFrame, vector: str, pivots: np.ndarray) -> DataFrame:
     """Nearest pivot of each row and the angle to it."""
     if len(pivots) <= 1:
@@ -94,7 +107,8 @@ def top_matches(
     ``queries`` has ``qid`` and ``qvec``, ``store`` has ``sid`` and ``svec``.
     ``threshold`` keeps hits with ``sim >= threshold``; ``earlier_only`` keeps
     those with ``sid < qid``. Both inputs are read more than once, so they
-    should be stored tables. ``pivots`` above 1 sets the number of cells, 1 compares all blocks.
+    should be stored tables. ``block_rows`` grows where rows would be copied for too many blocks. ``pivots`` above 1
+    sets the number of cells, 1 compares all blocks.
     """
     spark = queries.sparkSession
     # A broken vector is similar to nothing, and must not hide others.
@@ -103,8 +117,8 @@ def top_matches(
     n_query, n_store = queries.count(), store.count()
     if n_query == 0 or n_store == 0:
         return spark.createDataFrame([], HIT_SCHEMA + ", rank int")
-    if block_rows is None:
-        block_rows = _block_rows(n_query, n_store, _dimension(store), spark.sparkContext.defaultParallelism)
+    size = n_query, n_store, _dimension(store), spark.sparkContext.defaultParallelism
+    block_rows = _block_rows(*size) if block_rows is None else _grown(block_rows, *size)
     if threshold is not None and threshold > 0:  # a zero vector has similarity 0 to everything
         queries, store = queries.where(_nonzero("qvec")), store.where(_nonzero("svec"))
     if (pivots or 0) > 1 or (pivots is None and n_store > _FEW_BLOCKS * block_rows):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from logsift.operators.classify import python_classifier
 from logsift.operators.embed import encoder_embedding, hashed_embedding
 from logsift.operators.leaders import follow, select_leaders
-from logsift.operators import cells
+from logsift.operators import cells, similarity
 from logsift.operators.cells import partition
 from logsift.operators.similarity import search, search_batch, top_matches, top_matches_once
 from logsift.plans.timing import StageTimings
@@ -123,6 +123,24 @@ def test_copies_are_compared_once(spark):
         assert got == want
 
 
+def test_small_blocks_do_not_copy_every_row_for_each_of_them(spark, monkeypatch):
+    """A block of 4 of 400 rows would copy every row 100 times, in cells as in a full comparison."""
+    rows, made = clustered(400, 8, 11), []
+    frames = frame(spark, rows, "qid long, qvec array<double>"), frame(spark, rows, "sid long, svec array<double>")
+    cut, compared = similarity.partition, similarity._compare_all
+    monkeypatch.setattr(similarity, "partition", lambda store, n, size, pivots: made.append(size) or cut(store, n, size, pivots))
+    monkeypatch.setattr(similarity, "_compare_all", lambda *args: made.append(args[-1]) or compared(*args))
+    for pivots in (1, 6):
+        got = {(r.qid, r.rank): (r.sid, r.sim) for r in top_matches(*frames, k=2, threshold=0.8, block_rows=4, pivots=pivots).collect()}
+        want = loop_top(rows, rows, 2, 0.8, False)
+        assert {key: s for key, (s, _) in got.items()} == {key: s for key, (s, _) in want.items()}
+        assert all(abs(got[key][1] - want[key][1]) < 1e-10 for key in want)
+    assert len(made) == 2 and all(400 / size <= 8 for size in made)
+    # A given size stays where it means few copies, and memory bounds what it grows to.
+    assert similarity._grown(128, 500, 500, 64, 8) == 128
+    assert similarity._grown(128, 10**8, 10**8, 64, 8) * 64 * 8 == similarity._GROWN_BYTES
+
+
 @pytest.mark.parametrize("threshold", [0.8, 0.95, 1.0])
 @pytest.mark.parametrize("head_rows, options", [(4096, {}), (25, {"block_rows": 50, "pivots": 4}), (7, {"block_rows": 90})])
 def test_leaders_equal_the_loop(spark, threshold, head_rows, options):
