@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from logsift.operators.batching import entry_verdicts
 from logsift.operators.classify import python_classifier
 from logsift.operators.embed import encoder_embedding, hashed_embedding
 from logsift.operators.leaders import follow, select_leaders
@@ -141,6 +142,41 @@ def test_small_blocks_do_not_copy_every_row_for_each_of_them(spark, monkeypatch)
     assert similarity._grown(128, 10**8, 10**8, 64, 8) * 64 * 8 == similarity._GROWN_BYTES
 
 
+def test_out_of_reach_nothing_is_compared(spark, monkeypatch):
+    """No similarity is above 1: every row leads, also copies and zero vectors, and no two blocks meet."""
+
+    def never(*args, **kwargs):
+        raise AssertionError("blocks were compared")
+
+    for name in ("partition", "_compare_all", "best_in_block"):
+        monkeypatch.setattr(similarity, name, never)
+    rows = clustered(120, 4, 3)
+    df = frame(spark, rows)
+    assert sorted(r["ord"] for r in select_leaders(df, 1.5, head_rows=20).collect()) == list(range(120))
+    assert follow(df, df, 1.5).isEmpty() and follow(df, df, 1.5).columns == ["ord", "leader", "sim"]
+    found = top_matches(frame(spark, rows, "qid long, qvec array<double>"), frame(spark, rows, "sid long, svec array<double>"), threshold=1.0000001)
+    assert found.isEmpty() and found.columns == ["qid", "sid", "sim", "rank"]
+
+
+def test_collected_lines_are_cased_once(spark):
+    entries = F.array(*[F.struct(F.lit(i).cast("long").alias("index"), F.lit("f").alias("source_file"), text.alias("raw_text")) for i, text in enumerate([F.lit("fine"), F.concat(F.lit("x"), F.col("word"))])])
+    words = spark.createDataFrame([(0, "timeOut"), (1, " 500 "), (2, 'HTTP/1.1" 503'), (3, "ok"), (4, None)], "batch_id long, word string")
+    found = entry_verdicts(words.select("batch_id", entries.alias("entries")))
+    assert {r["batch_id"]: r["error_found"] for r in found.collect()} == {0: True, 1: True, 2: True, 3: False, 4: None}
+    flag = found.select("error_found")._jdf.queryExecution().analyzed().toString()
+    assert flag.count("upper(") == 1
+
+
+def test_long_stored_texts_are_sorted_in_small_chunks(spark):
+    rows = spark.range(3000).select(
+        (2999 - F.col("id")).alias("batch_id"), F.array(F.lit(1.0)).alias("vector"), F.concat(F.lit("t"), 2999 - F.col("id")).alias("raw_text"),
+        F.lit(True).alias("is_error"), F.lit("m").alias("model_name"), F.lit("e").alias("embedder_model_name"),
+    )
+    made = VectorStore.with_ids(rows, "batch_id", 10)
+    assert sorted((r["id"], r["raw_text"]) for r in made.collect()) == [(i + 11, f"t{i}") for i in range(3000)]
+    assert "div 1024" in made._jdf.queryExecution().analyzed().toString()
+
+
 @pytest.mark.parametrize("threshold", [0.8, 0.95, 1.0])
 @pytest.mark.parametrize("head_rows, options", [(4096, {}), (25, {"block_rows": 50, "pivots": 4}), (7, {"block_rows": 90})])
 def test_leaders_equal_the_loop(spark, threshold, head_rows, options):
