@@ -96,12 +96,14 @@ def stream_polled_urls(spark, sf):
     return counters.select(F.col("epoch").cast("int"), "next_index", "next_batch")
 
 
-def _polled_twice(spark, sf, source=PolledLines, sources=SOURCES[:1], **once):
-    """Lines that two polls of the same files leave, by epoch."""
+def _polled_twice(spark, sf, source=PolledLines, sources=SOURCES[:1], file_lines=None, **once):
+    """Lines that two polls of the same files leave, by epoch; a source is one file, or files of about ``file_lines`` lines."""
     landing, root, checkpoint = (scratch_path(spark, part) for part in ("polled", "stream", "checkpoint"))
     for name in sources:
         rows = lines(spark, sf).where(F.col("source_file") == name)
-        rows.coalesce(1).sortWithinPartitions("line_no").select("raw_text").write.mode("append").text(landing)
+        files = -(-rows.count() // file_lines) if file_lines else 1
+        rows = rows.coalesce(1) if files <= 1 else rows.repartitionByRange(files, "line_no")
+        rows.sortWithinPartitions("line_no").select("raw_text").write.mode("append").text(landing)
     files = spark.read.text(landing).select(F.col("_metadata.file_path").alias("url")).distinct()
     urls = sorted(row["url"] for row in files.collect())
     for _ in range(2):
@@ -114,7 +116,7 @@ def _polled_twice(spark, sf, source=PolledLines, sources=SOURCES[:1], **once):
 
 def stream_polled_once(spark, sf):
     """The second poll gives the same lines again, and none of them is kept."""
-    return _polled_twice(spark, sf, sources=SOURCES, keep_for="1 hour")
+    return _polled_twice(spark, sf, sources=SOURCES, file_lines=250_000, keep_for="1 hour")
 
 
 class Breaking:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logsift.operators.classify import rule_classifier
 from logsift.plans.triage import ReuseOptions
-from logsift.sources.polling import PolledLines, PollReader, UrlPoll, decoded_lines, lines_once, poll_urls
+from logsift.sources.polling import ArrowPollReader, PolledLines, PollReader, UrlPoll, decoded_lines, lines_once, poll_urls
 from logsift.streaming.epochs import (
     EpochFolders,
     process_epoch,
@@ -18,6 +18,7 @@ from logsift.streaming.epochs import (
     stream_verdicts,
     triage_stream,
 )
+from suite.streams import SOURCES, _polled_twice
 
 
 def lines_frame(spark, rows):
@@ -151,6 +152,33 @@ def test_lines_of_an_earlier_poll_are_left_out(spark, tmp_path):
     assert verdict_rows(spark, root) == [(0, False), (1, False), (2, True)]
 
 
+def test_lines_are_read_in_batches():
+    """The stream's reader gives the rows of the plain one, also after a failure, without a tuple per line."""
+    body = b"".join(b"line %d\n\n" % i for i in range(20_000))
+    opener = lambda url, timeout: io.BytesIO(body)
+    poll = UrlPoll("u", 7)
+    batches = list(ArrowPollReader(["u"], 1.0, opener).read(poll))
+    assert 1 < len(batches) < 10
+    assert [tuple(r.values()) for b in batches for r in b.to_pylist()] == list(PollReader(["u"], 1.0, opener).read(poll))
+    broken = ArrowPollReader(["u"], 1.0, lambda url, timeout: Breaking(b"one\ntwo\nthr")).read(poll)
+    assert [r["raw_text"] for b in broken for r in b.to_pylist()] == ["one", "two"]
+    assert isinstance(PolledLines({"urls": "u"}).streamReader(None), ArrowPollReader)
+
+
+def test_state_of_seen_lines_holds_no_text(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\ntwo\n")
+    once = lines_once(poll_urls(spark, f"file://{tmp_path}/a.txt"))
+    plan = once._jdf.queryExecution().analyzed().toString()
+    kept = next(row for row in plan.splitlines() if "DeduplicateWithinWatermark" in row.replace(" ", ""))
+    assert "_name" in kept and "raw_text" not in kept
+    assert once.columns == ["source_file", "_block", "raw_text", "_line_no"]
+
+
+def test_a_long_source_is_polled_as_several_files(spark, sf):
+    rows = lambda **o: sorted(map(tuple, _polled_twice(spark, sf, sources=SOURCES, keep_for="1 hour", **o).collect()))
+    assert rows(file_lines=100) == rows()
+
+
 def test_a_compacted_store_replays_from_any_step(spark, tmp_path):
     """An epoch that fails after any of its writes gives the same rows when it runs again."""
     options = ReuseOptions(0.9)
